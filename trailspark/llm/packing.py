@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right, insort
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -18,8 +19,8 @@ _ARROW = pa.schema([
 ])
 
 
-def fill(counts: dict[int, int], room: int) -> dict[int, int]:
-    """The multiset of lengths, {length: how many}, within ``counts`` whose sum is closest to ``room`` from below.
+def fill(lengths: list[int], count: Callable[[int], int], room: int) -> dict[int, int]:
+    """The multiset, {length: how many}, of the given sorted lengths whose sum is closest to ``room`` from below.
 
     Bit s of ``sums`` is set when some multiset of the lengths seen so far adds up to s. Copies of one length
     enter in powers of two. The search stops at the first exact fill; the states before each step lead back to
@@ -27,8 +28,9 @@ def fill(counts: dict[int, int], room: int) -> dict[int, int]:
     """
     sums, mask = 1, (1 << (room + 1)) - 1
     steps: list[tuple[int, int, int]] = []  # length, copies, sums before
-    for length in sorted(counts, reverse=True):
-        left, copies = min(counts[length], room // length if length else 0), 1
+    for k in range(bisect_right(lengths, room) - 1, -1, -1):
+        length = lengths[k]
+        left, copies = min(count(length), room // length), 1
         while left:
             copies = min(copies, left)
             steps.append((length, copies, sums))
@@ -57,6 +59,7 @@ class Packer:
     def __init__(self, capacity: int, first_sequence: int):
         self.capacity, self.sequence = capacity, first_sequence
         self.rest: dict[int, list[tuple]] = {}
+        self.lengths: list[int] = []  # those in rest, in ascending order
         self.tokens = 0
         self.rows: list[tuple] = []
 
@@ -78,14 +81,18 @@ class Packer:
             self._keep((doc_id, (len(ids) - tail) // 4, ids[len(ids) - tail :], tokens))
 
     def _keep(self, piece: tuple) -> None:
-        self.rest.setdefault(len(piece[2]) // 4, []).append(piece)
-        self.tokens += len(piece[2]) // 4
+        length = len(piece[2]) // 4
+        if length not in self.rest:
+            self.rest[length] = []
+            insort(self.lengths, length)
+        self.rest[length].append(piece)
+        self.tokens += length
 
     def _take(self, length: int) -> tuple:
         stack = self.rest[length]
         piece = stack.pop()
         if not stack:
-            del self.rest[length]
+            del self.rest[length], self.lengths[bisect_left(self.lengths, length)]
         self.tokens -= length
         return piece
 
@@ -99,14 +106,14 @@ class Packer:
     def pack(self, keep: int) -> None:
         """Fill windows while more than ``keep`` tokens remain, and at least one window's worth."""
         while self.tokens >= max(keep, self.capacity):
-            pieces = [self._take(max(self.rest))]
+            pieces = [self._take(self.lengths[-1])]
             room = self.capacity - len(pieces[0][2]) // 4
-            used = fill({k: len(v) for k, v in self.rest.items()}, room) if room else {}
+            used = fill(self.lengths, lambda n: len(self.rest[n]), room) if room else {}
             for length, n in used.items():
                 pieces += [self._take(length) for _ in range(n)]
             room -= sum(k * n for k, n in used.items())
             while room:
-                longest = max(self.rest)
+                longest = self.lengths[-1]
                 pieces.append(self._cut(longest, room))
                 room -= min(longest, room)
             self._emit(pieces)
@@ -116,7 +123,7 @@ class Packer:
         while self.tokens:
             room, pieces = 1 << (self.tokens.bit_length() - 1), []
             while room:
-                longest = max(self.rest)
+                longest = self.lengths[-1]
                 pieces.append(self._cut(longest, room))
                 room -= min(longest, room)
             self._emit(pieces)
