@@ -1,0 +1,39 @@
+"""Connected components of an edge table, by alternating large-star and small-star steps."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from trailspark.llm.common import written
+
+
+def _large_star(edges: DataFrame) -> DataFrame:
+    """Ties each larger neighbour of a node to the node's least neighbour."""
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    """Ties a node and its smaller neighbours to the least of these."""
+    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    least = down.groupBy("a").agg(F.min("b").alias("m"))
+    tied = down.join(least, "a")
+    return tied.where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct()
+
+
+def connected(edges: DataFrame) -> DataFrame:
+    """node and label, the least node of its component, for the nodes of edges (a, b of type long).
+
+    Each round's edges are written to the shared folder, so that a lost executor costs one round. A star's centre
+    may be a hot key: its least neighbour is an aggregate with partial sums, and the join back splits.
+    """
+    now, before = written(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()), None
+    while True:
+        mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if mark == before:
+            break
+        before = mark
+        now = written(_small_star(_large_star(now)))
+    return now.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())

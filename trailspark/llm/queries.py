@@ -8,18 +8,41 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailspark.llm import packing
+from trailspark.llm import jaccard, langid, packing, toxicity
 from trailspark.llm.common import remainder, table
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 2: every document's toxicity, learned from the labels of documents that aren't held out."""
+    docs = table(spark, sf_dir, "documents")
+    learned = toxicity.fit(docs.where(remainder("doc_id", 5) != 0), table(spark, sf_dir, "labels").where(remainder("doc_id", 5) != 0))
+    scored = toxicity.score(docs, learned)
+    return scored.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 5: every document's language, learned from documents that aren't held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(remainder("doc_id", 3) != 1))
+    return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "bits_per_byte")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 9: every document's tokens in windows of 2048; digests of the ids that the pieces hold."""
     pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_length")
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 10: documents linked at a Jaccard similarity of 85 in 100 on their 4-word shingles, as components."""
+    return jaccard.join(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_toxicity": op2_toxicity,
+    "op5_language_id": op5_language_id,
     "op9_packing": op9_packing,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 
 ORACLES: dict[str, str] = {}
