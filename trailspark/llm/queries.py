@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailspark.llm import jaccard, langid, packing, toxicity
+from trailspark.llm import jaccard, langid, linededup, lm, packing, toxicity
 from trailspark.llm.common import remainder, table
 
 
@@ -27,6 +27,18 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 6: every document's log10 probability, learned from documents that aren't held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (remainder("doc_id", 10) != 0).alias("train"))
+    scored = lm.score(docs, "train", public_tokenizers.path("piece_bpe_32k.model"))
+    return scored.withColumn("held_out", remainder("doc_id", 10) == 0)
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 8: every document without the multi-line chunks that stand in an earlier place."""
+    return linededup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 9: every document's tokens in windows of 2048; digests of the ids that the pieces hold."""
     pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -41,8 +53,12 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op5_language_id": op5_language_id,
+    "op6_lm_score": op6_lm_score,
+    "op8_line_dedup": op8_line_dedup,
     "op9_packing": op9_packing,
     "op10_jaccard_join": op10_jaccard_join,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_line_dedup": linededup.SQL.format(docs="documents"),
+}
