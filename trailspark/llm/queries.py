@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailspark.llm import jaccard, langid, linededup, lm, packing, toxicity
+from trailspark.llm import decontaminate, jaccard, langid, linededup, lm, packing, toxicity
 from trailspark.llm.common import remainder, table
 
 
@@ -20,6 +20,13 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 3: the documents that hold benchmark items, one row for each document and item."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find(docs, table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.*")
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 5: every document's language, learned from documents that aren't held out."""
     docs = table(spark, sf_dir, "documents")
@@ -52,6 +59,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
+    "op3_decontaminate": op3_decontaminate,
     "op5_language_id": op5_language_id,
     "op6_lm_score": op6_lm_score,
     "op8_line_dedup": op8_line_dedup,
