@@ -8,8 +8,25 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailspark.llm import decontaminate, jaccard, langid, linededup, lm, packing, toxicity
-from trailspark.llm.common import remainder, table
+from trailspark.llm import bitsliced, decontaminate, jaccard, langid, linededup, lm, packing, rangecoder, toxicity, urlfilter
+from trailspark.llm.common import remainder, shared_folder, table
+
+
+def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 1: the five highest integer inner products of every fiftieth vector with all others."""
+    return bitsliced.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+OP1_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: cast(floor(256 * x::double) as bigint)) as v from embeddings
+  where vec_id is not null and embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), scored as (
+  select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::bigint as score
+  from v q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id
+), ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from scored)
+select query_id, rank, vec_id, score from ranked where rank <= 5
+"""
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +44,40 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.*")
 
 
+#: Operator 4's rules, and the globs that decide where none fits.
+URL_RULES = (
+    urlfilter.Rule("allow", "org", "/"),
+    urlfilter.Rule("block", "example.org", "/es/"),
+    urlfilter.Rule("block", "example.org", "/en/1"),
+    urlfilter.Rule("allow", "com", "/fr/"),
+    urlfilter.Rule("block", "com", "/de/"),
+)
+BLOCK_GLOBS = ("*.spam-*", "*-pills.*", "*.*casino*\x00*", "*/admin/*", "*.exe")
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 4: every page's host, path, deciding rule and verdict."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urlfilter.judge(pages, URL_RULES, BLOCK_GLOBS).drop("url")
+
+
+OP4_SQL = """
+with p as (
+  select page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as r from pages
+), h as (
+  select page_id, translate(regexp_extract(r, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+    regexp_extract(r, '^[^/?#]*([^?#]*)', 1) as path from p
+), rules(verdict, h, p) as (values ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')
+), fit as (
+  select page_id, arg_max(h || p, length(h || p)) as rule, arg_max(verdict, length(h || p)) as verdict
+  from h join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, p) group by page_id
+)
+select h.page_id, host, path, rule, coalesce(verdict, case when '.' || host || '|' || path like '%.spam-%' or '.' || host || '|' || path like '%-pills.%'
+  or '.' || host || '|' || path like '%.%casino%|%' or '.' || host || '|' || path like '%/admin/%' or '.' || host || '|' || path like '%.exe' then 'block' else 'allow' end) as verdict
+from h left join fit using (page_id)
+"""
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 5: every document's language, learned from documents that aren't held out."""
     docs = table(spark, sf_dir, "documents")
@@ -41,6 +92,13 @@ def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("held_out", remainder("doc_id", 10) == 0)
 
 
+def op7_range_coder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 7: every document's ids, written in range-coded segments and read again."""
+    path = shared_folder(spark)
+    rangecoder.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
+    return rangecoder.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 8: every document without the multi-line chunks that stand in an earlier place."""
     return linededup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -58,15 +116,20 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_topk_search": op1_topk_search,
     "op2_toxicity": op2_toxicity,
     "op3_decontaminate": op3_decontaminate,
+    "op4_url_filter": op4_url_filter,
     "op5_language_id": op5_language_id,
     "op6_lm_score": op6_lm_score,
+    "op7_range_coder": op7_range_coder,
     "op8_line_dedup": op8_line_dedup,
     "op9_packing": op9_packing,
     "op10_jaccard_join": op10_jaccard_join,
 }
 
 ORACLES: dict[str, str] = {
+    "op1_topk_search": OP1_SQL,
+    "op4_url_filter": OP4_SQL,
     "op8_line_dedup": linededup.SQL.format(docs="documents"),
 }
