@@ -158,7 +158,7 @@ class PrefixTree:
     """Sets of ordered shingles as a trie: in sorted order, each shares its path with the one before up to ``common``."""
 
     def __init__(self, sets: list[np.ndarray]):
-        self.order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u8").tobytes())
+        self.order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u8").tobytes()) if len(sets) > 1 else [*range(len(sets))]
         self.sets = [sets[i] for i in self.order]
         self.common = [0] * len(sets)
         for i in range(1, len(sets)):
@@ -204,19 +204,22 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) ->
     wanted = pairs.select(F.explode(F.array("hub", "member")).alias("set_id")).distinct()
     grams = written(_grams_of(docs, wanted, k))
     parts = pairs.groupBy("hub").agg((F.floor(F.sum("n") / _GROUP_GRAMS) + 1).alias("parts"))
-    dealt = pairs.join(parts, "hub").withColumn("part", F.pmod(F.xxhash64("member"), F.col("parts")))
-    dealt = written(dealt.select("hub", "part", "member"))
-    members = dealt.join(grams.withColumnRenamed("set_id", "member"), "member").select("hub", "part", "member", "grams")
-    hubs = dealt.select(F.col("hub").alias("h"), F.col("part").alias("p")).distinct().join(grams.withColumnRenamed("set_id", "h"), "h").select("h", "p", F.col("grams").alias("own"))
+    tasks = 1 + (pairs.agg(F.sum("n")).first()[0] or 0) // _GROUP_GRAMS
+    dealt = pairs.join(parts, "hub").withColumn("part", F.pmod(F.xxhash64("member"), F.col("parts"))).withColumn("task", F.pmod(F.xxhash64("hub", "part"), F.lit(tasks)))
+    dealt = written(dealt.select("task", "hub", "part", "member"))
+    members = dealt.join(grams.withColumnRenamed("set_id", "member"), "member").select("task", "hub", "part", "member", "grams")
+    hubs = dealt.select(F.col("task").alias("t"), F.col("hub").alias("h")).distinct().join(grams.withColumnRenamed("set_id", "h"), "h").select("t", "h", F.col("grams").alias("own"))
 
     def compare(hub: pd.DataFrame, member: pd.DataFrame) -> pd.DataFrame:
-        if not len(hub) or not len(member):
-            return pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
-        tree = PrefixTree([np.frombuffer(g, dtype=np.uint64) for g in member["grams"]])
-        got = tree.linked(np.frombuffer(hub["own"].iloc[0], dtype=np.uint64), num, den)
-        return pd.DataFrame({"a": np.full(len(got), hub["h"].iloc[0], dtype=np.int64), "b": member["member"].to_numpy(dtype=np.int64)[got]})
-
-    return hubs.groupBy("h", "p").cogroup(members.groupBy("hub", "part")).applyInPandas(compare, "a long, b long")
+        own, a, b = dict(zip(hub["h"], hub["own"])), [], []
+        for name, some in member.groupby("hub", sort=False).indices.items():
+            ids, raw = member["member"].to_numpy()[some], member["grams"].to_numpy()[some]
+            found = PrefixTree([np.frombuffer(g, dtype=np.uint64) for g in raw]).linked(np.frombuffer(own[name], dtype=np.uint64), num, den)
+            a += [name] * len(found)
+            b += ids[found].tolist()
+        return pd.DataFrame({"a": np.array(a, dtype=np.int64), "b": np.array(b, dtype=np.int64)})
+
+    return hubs.groupBy("t").cogroup(members.groupBy("task")).applyInPandas(compare, "a long, b long")
 
 
 def similar(a: str, b: str, num: int, den: int) -> Column:

@@ -1,25 +1,29 @@
-"""64-bit fingerprints of word shingles, computed in batches inside tasks."""
+"""64-bit fingerprints of word shingles, computed on whole texts with numpy inside tasks."""
 
 from __future__ import annotations
 
 import numpy as np
-import xxhash
 
-#: Odd multipliers, one for each word of a shingle, from a fixed seed.
-_FACTORS = np.random.default_rng(20_261).integers(1 << 62, (1 << 63) - 1, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_WORDS: dict[bytes, int] = {}
+_RANDOM = np.random.default_rng(20_261)
+#: Odd multipliers, one for each word of a shingle, and one value for each byte, from a fixed seed.
+_FACTORS = _RANDOM.integers(1 << 62, (1 << 63) - 1, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BYTES = _RANDOM.integers(1, (1 << 64) - 1, 256, dtype=np.uint64)
+_BYTES[65:91] = _BYTES[97:123]  # A-Z count as a-z
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_BASE = 0x9E3779B97F4A7C15
+_UNDO = pow(_BASE, -1, 1 << 64)
+_powers = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    if len(_WORDS) > 1_000_000:
-        _WORDS.clear()
-    try:
-        return np.array([_WORDS[w] for w in words], dtype=np.uint64)
-    except KeyError:
-        for w in set(words):
-            if w not in _WORDS:
-                _WORDS[w] = xxhash.xxh3_64_intdigest(w)
-        return np.array([_WORDS[w] for w in words], dtype=np.uint64)
+def _to(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0 to n at least of the base and of its inverse, modulo 2^64."""
+    if len(_powers[0]) <= n:
+        for k, base in enumerate((_BASE, _UNDO)):
+            p = np.full(2 * n + 1, base, dtype=np.uint64)
+            p[0] = 1
+            _powers[k] = np.multiply.accumulate(p)
+    return _powers[0], _powers[1]
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -28,9 +32,22 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def rolling(words: list[bytes], k: int) -> np.ndarray:
+def word_hashes(text: bytes) -> np.ndarray:
+    """A fingerprint of each word: its bytes' values times rising powers of an odd base, moved to power 0."""
+    raw = np.frombuffer(text, dtype=np.uint8)
+    edge = np.flatnonzero(np.diff(_SPACE[raw].view(np.int8), prepend=1, append=1))
+    if not len(edge):
+        return np.zeros(0, dtype=np.uint64)
+    start, end = edge[::2], edge[1::2]
+    up, down = _to(len(raw))
+    total = np.zeros(len(raw) + 1, dtype=np.uint64)
+    np.cumsum(_BYTES[raw] * up[: len(raw)], out=total[1:])
+    return mixed((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+
+
+def rolling(text: bytes, k: int) -> np.ndarray:
     """Fingerprints of all runs of k words, in order; fewer words are one run."""
-    h = word_hashes(words)
+    h = word_hashes(text)
     if not len(h):
         return h
     k = min(k, len(h))
@@ -47,4 +64,4 @@ def words_of(text: bytes) -> list[bytes]:
 
 def shingle_set(text: bytes, k: int) -> np.ndarray:
     """Sorted distinct fingerprints of a text's k-word shingles; empty without words."""
-    return np.unique(rolling(words_of(text), k))
+    return np.unique(rolling(text, k))
