@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,8 +17,10 @@ from trailspark.llm.components import connected
 from trailspark.llm.shingles import mixed, shingle_set
 
 #: Shingle counts are kept in 2^SKETCH_BITS counters; they only order the shingles, so any size is right.
-SKETCH_BITS = 22
+SKETCH_BITS = 20
 _BLOCK = 1 << 16
+#: Prefix shingles that two linked sets share at least (fewer for sets of fewer shingles).
+SHARED = 4
 #: Grams of the members that one task compares with one hub.
 _GROUP_GRAMS = 1_000_000
 
@@ -49,7 +52,7 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
         for block in range(len(counts) // _BLOCK):
             some = counts[block * _BLOCK : (block + 1) * _BLOCK]
             if len(at := np.flatnonzero(some)):
-                rows.append((block, at.astype(np.uint16).tobytes(), some[at].tobytes()))
+                rows.append((block, zlib.compress(at.astype(np.uint16).tobytes(), 1), zlib.compress(some[at].tobytes(), 1)))
         if rows:
             n = len(rows)
             yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), *(pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary())))], names=names)
@@ -65,7 +68,7 @@ def _sketch(rows: DataFrame) -> np.ndarray:
     def one(batch: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(_BLOCK, dtype=np.uint32)
         for at, n in zip(batch["at"], batch["n_at"]):
-            total[np.frombuffer(at, dtype=np.uint16)] += np.frombuffer(n, dtype=np.uint32)
+            total[np.frombuffer(zlib.decompress(at), dtype=np.uint16)] += np.frombuffer(zlib.decompress(n), dtype=np.uint32)
         return pd.DataFrame({"block": batch["block"].iloc[:1], "total": [total.tobytes()]})
 
     out = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
@@ -76,21 +79,32 @@ def _sketch(rows: DataFrame) -> np.ndarray:
 
 
 def prefix(grams: np.ndarray, counts: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The first shingles in the global order, rare ones first: two sets that link share one of them.
+    """The first shingles in the global order, rare ones first: two sets that link share SHARED of them.
 
-    Sets with 100 * |x & y| >= t * |x | y| share at least t of either, so a link leaves room for n - ceil(t n)
-    misses, and one shingle more must hit. Equal ranks at the end are all kept.
+    Sets with den * |x & y| >= num * |x | y| have ceil(t n) shingles in common at least, for either size n. So a
+    link leaves room for n - ceil(t n) misses, and with SHARED shingles more in the prefix as many must hit.
+    Equal ranks at the end are all kept.
     """
     n = len(grams)
-    p = n - -(-num * n // den) + 1
+    p = n - -(-num * n // den) + least_shared(n, num, den)
     rank = (np.minimum(counts[_slots(grams)], (1 << 24) - 1).astype(np.uint64) << np.uint64(40)) | (grams >> np.uint64(24))
     if p >= n:
         return grams
     return grams[rank <= np.partition(rank, p - 1)[p - 1]]
 
 
-def _entries(docs: DataFrame, counts: np.ndarray, k: int, num: int, den: int) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(counts)
+def least_shared(n: int, num: int, den: int) -> int:
+    return min(SHARED, -(-num * n // den))
+
+
+def _enough(common: str, a: str, b: str, num: int, den: int) -> Column:
+    """Whether as many prefix shingles are shared as two linked sets of these sizes must share."""
+    return F.col(common) >= F.least(F.lit(SHARED), F.ceil(F.least(a, b) * num / den))
+
+
+def _entries(docs: DataFrame, counts: np.ndarray, k: int, num: int, den: int, only: np.ndarray | None = None) -> DataFrame:
+    """(token, set_id, n) of each set's prefix shingles, once a task and set; of those in the bitmap ``only`` if given."""
+    shared = docs.sparkSession.sparkContext.broadcast((counts, only))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # sets that this task has met
@@ -102,7 +116,9 @@ def _entries(docs: DataFrame, counts: np.ndarray, k: int, num: int, den: int) ->
                     continue
                 if len(seen) < 2_000_000:
                     seen.add(own)
-                first = prefix(grams, shared.value, num, den)
+                first = prefix(grams, shared.value[0], num, den)
+                if shared.value[1] is not None:
+                    first = first[_in_bitmap(first, shared.value[1])]
                 tokens.append(first)
                 owners.append(np.full(len(first), own, dtype=np.int64))
                 sizes.append(np.full(len(first), len(grams), dtype=np.int32))
@@ -112,27 +128,41 @@ def _entries(docs: DataFrame, counts: np.ndarray, k: int, num: int, den: int) ->
     return docs.select(F.col("text").cast("string").cast("binary")).mapInArrow(run, "token long, set_id long, n int")
 
 
-def _grams_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """set_id and shingles of the wanted sets (set_id), one row each. A bitmap of fixed size keeps most others out of the shuffle."""
-    bits = 1 << 25
+#: Bits of the bitmaps that keep what can't match out of shuffles; a full one would only keep less out.
+_BITS = 1 << 25
+
+
+def _in_bitmap(values: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+    slot = mixed(values) >> np.uint64(39)
+    return (bitmap[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
+def _bitmap(values: DataFrame) -> np.ndarray:
+    """Bitmap of the hashes of a column of longs, _BITS / 8 bytes."""
+    (name,) = values.columns
 
     def marked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at = np.zeros(bits // 8, dtype=np.uint8)
+        at = np.zeros(_BITS // 8, dtype=np.uint8)
         for batch in batches:
-            slot = mixed(batch["set_id"].to_numpy(dtype=np.int64).view(np.uint64)) % np.uint64(bits)
+            slot = mixed(batch[name].to_numpy(dtype=np.int64).view(np.uint64)) >> np.uint64(39)
             np.bitwise_or.at(at, (slot >> np.uint64(3)).astype(np.int64), np.left_shift(1, (slot & np.uint64(7)).astype(np.uint8)).astype(np.uint8))
         parts = at.reshape(-1, _BLOCK)
         some = np.flatnonzero(parts.any(axis=1))
-        yield pd.DataFrame({"block": some, "bits": [parts[i].tobytes() for i in some]})
+        yield pd.DataFrame({"block": some, "bits": [zlib.compress(parts[i].tobytes(), 1) for i in some]})
 
     def either(batch: pd.DataFrame) -> pd.DataFrame:
-        total = np.bitwise_or.reduce([np.frombuffer(x, dtype=np.uint8) for x in batch["bits"]])
+        total = np.bitwise_or.reduce([np.frombuffer(zlib.decompress(x), dtype=np.uint8) for x in batch["bits"]])
         return pd.DataFrame({"block": batch["block"].iloc[:1], "bits": [total.tobytes()]})
 
-    bitmap = np.zeros(bits // 8, dtype=np.uint8)
-    for r in wanted.mapInPandas(marked, "block int, bits binary").groupBy("block").applyInPandas(either, "block int, bits binary").collect():
+    bitmap = np.zeros(_BITS // 8, dtype=np.uint8)
+    for r in values.mapInPandas(marked, "block int, bits binary").groupBy("block").applyInPandas(either, "block int, bits binary").collect():
         bitmap[r["block"] * _BLOCK : (r["block"] + 1) * _BLOCK] = np.frombuffer(r["bits"], dtype=np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+    return bitmap
+
+
+def _grams_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """set_id and shingles of the wanted sets (set_id); a few others may come too."""
+    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -142,8 +172,7 @@ def _grams_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                 grams = shingle_set(text or b"", k)
                 if not len(grams) or (own := _set_id(grams)) in seen:
                     continue
-                slot = int(mixed(np.array([own], dtype=np.int64).view(np.uint64))[0]) % bits
-                if shared.value[slot >> 3] >> (slot & 7) & 1:
+                if _in_bitmap(np.array([own], dtype=np.int64).view(np.uint64), shared.value)[0]:
                     if len(seen) < 2_000_000:
                         seen.add(own)
                     ids.append(own)
@@ -151,7 +180,7 @@ def _grams_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.binary())], names=["set_id", "grams"])
 
     emitted = docs.select(F.col("text").cast("string").cast("binary")).mapInArrow(run, "set_id long, grams binary")
-    return emitted.join(wanted, "set_id", "left_semi").groupBy("set_id").agg(F.first("grams").alias("grams"))
+    return emitted.groupBy("set_id").agg(F.first("grams").alias("grams"))
 
 
 class PrefixTree:
@@ -201,25 +230,24 @@ class PrefixTree:
 def _verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Those of pairs (hub, member, n) of set ids that link. Members of one hub form tries of bounded size."""
     pairs = written(pairs)
-    wanted = pairs.select(F.explode(F.array("hub", "member")).alias("set_id")).distinct()
-    grams = written(_grams_of(docs, wanted, k))
     parts = pairs.groupBy("hub").agg((F.floor(F.sum("n") / _GROUP_GRAMS) + 1).alias("parts"))
     tasks = 1 + (pairs.agg(F.sum("n")).first()[0] or 0) // _GROUP_GRAMS
     dealt = pairs.join(parts, "hub").withColumn("part", F.pmod(F.xxhash64("member"), F.col("parts"))).withColumn("task", F.pmod(F.xxhash64("hub", "part"), F.lit(tasks)))
-    dealt = written(dealt.select("task", "hub", "part", "member"))
-    members = dealt.join(grams.withColumnRenamed("set_id", "member"), "member").select("task", "hub", "part", "member", "grams")
-    hubs = dealt.select(F.col("task").alias("t"), F.col("hub").alias("h")).distinct().join(grams.withColumnRenamed("set_id", "h"), "h").select("t", "h", F.col("grams").alias("own"))
-
-    def compare(hub: pd.DataFrame, member: pd.DataFrame) -> pd.DataFrame:
-        own, a, b = dict(zip(hub["h"], hub["own"])), [], []
-        for name, some in member.groupby("hub", sort=False).indices.items():
-            ids, raw = member["member"].to_numpy()[some], member["grams"].to_numpy()[some]
+    members = dealt.select(F.col("member").alias("set_id"), "hub", "task", F.lit(False).alias("is_hub"))
+    roles = written(members.unionByName(dealt.select(F.col("hub").alias("set_id"), "hub", "task", F.lit(True).alias("is_hub")).distinct()))
+    held = roles.join(_grams_of(docs, roles.select("set_id").distinct(), k), "set_id")
+
+    def compare(batch: pd.DataFrame) -> pd.DataFrame:
+        hubs, rest = batch[batch["is_hub"]], batch[~batch["is_hub"]]
+        own, a, b = dict(zip(hubs["set_id"], hubs["grams"])), [], []
+        for name, some in rest.groupby("hub", sort=False).indices.items():
+            ids, raw = rest["set_id"].to_numpy()[some], rest["grams"].to_numpy()[some]
             found = PrefixTree([np.frombuffer(g, dtype=np.uint64) for g in raw]).linked(np.frombuffer(own[name], dtype=np.uint64), num, den)
             a += [name] * len(found)
             b += ids[found].tolist()
         return pd.DataFrame({"a": np.array(a, dtype=np.int64), "b": np.array(b, dtype=np.int64)})
 
-    return hubs.groupBy("t").cogroup(members.groupBy("task")).applyInPandas(compare, "a long, b long")
+    return held.groupBy("task").applyInPandas(compare, "a long, b long")
 
 
 def similar(a: str, b: str, num: int, den: int) -> Column:
@@ -239,12 +267,14 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
     """
     rows = written(_sets(docs, k))
     info = rows.where("block is null").select("doc_id", "n", "set_id")
-    entries = _entries(docs, _sketch(rows), k, num, den).distinct()
-    entries = written(entries)
+    counts = _sketch(rows)
+    entries = _entries(docs, counts, k, num, den)
     groups = entries.groupBy("token").agg(F.min(F.struct("n", "set_id")).alias("hub"), F.min("set_id").alias("low"), F.max("set_id").alias("high")).where("low != high").select("token", F.col("hub.set_id").alias("hub"), F.col("hub.n").alias("hub_n"))
-    shared = written(entries.join(groups, "token"))
+    groups = written(groups)
+    shared = written(_entries(docs, counts, k, num, den, _bitmap(groups.select("token"))).join(groups, "token").distinct())
 
-    tied = shared.where("hub != set_id").where(similar("n", "hub_n", num, den)).groupBy("set_id", "hub").agg(F.count("*").alias("common"), F.first("n").alias("n"))
+    tied = shared.where("hub != set_id").where(similar("n", "hub_n", num, den)).groupBy("set_id", "hub").agg(F.count("*").alias("common"), F.first("n").alias("n"), F.first("hub_n").alias("hub_n"))
+    tied = tied.where(_enough("common", "n", "hub_n", num, den))
     best = tied.groupBy(F.col("set_id").alias("member")).agg(F.max(F.struct("common", "hub")).alias("best"), F.first("n").alias("n"))
     first = written(_verified(best.select(F.col("best.hub").alias("hub"), "member", "n"), docs, k, num, den))
     labels = connected(first)
@@ -254,7 +284,8 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
     left = written(named.join(open_tokens, "token", "left_semi"))
     a, b = left.alias("a"), left.alias("b")
     pairs = a.join(b, "token").where("a.label < b.label").where(similar("a.n", "b.n", num, den))
-    second = _verified(pairs.select(F.col("a.set_id").alias("hub"), F.col("b.set_id").alias("member"), F.col("b.n").alias("n")).distinct(), docs, k, num, den)
+    pairs = pairs.groupBy(F.col("a.set_id").alias("hub"), F.col("b.set_id").alias("member")).agg(F.count("*").alias("common"), F.first("a.n").alias("hub_n"), F.first("b.n").alias("n"))
+    second = _verified(pairs.where(_enough("common", "n", "hub_n", num, den)).select("hub", "member", "n"), docs, k, num, den)
     labels = connected(written(first.unionByName(second)))
 
     sets = info.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("least"))
