@@ -2,5 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from trailspark.plans import collections, places, relational, roads, tracks
+
+_PLANS = (places, tracks, roads, collections, relational)
+
+QUERIES: dict = {name: f for plan in _PLANS for name, f in plan.QUERIES.items()}
+ORACLES: dict[str, str] = {name: sql for plan in _PLANS for name, sql in plan.ORACLES.items()}
