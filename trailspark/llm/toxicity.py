@@ -21,17 +21,34 @@ from pyspark.sql import functions as F
 from trailspark.llm.common import bounded_share, in_share, written
 
 _WORD = re.compile(r"[^\W\d_]+")
+#: How much a known label counts against the label model's own posterior.
+ANCHOR = 0.9
 #: A pattern is a word's first letters, that many of them.
 STEMS = (4, 5, 6)
 
 
+#: A feature that makes up this share of a document's words also counts as dense; its name then ends with "^".
+DENSE = 0.01
+
+
 def marks(word: str) -> list[str]:
     """The features of a word: itself, and its stems with a star."""
     return [word, *(word[:k] + "*" for k in STEMS if len(word) > k)]
 
 
-def words(text: str) -> set[str]:
-    return set(_WORD.findall(text.lower()))
+def words(text: str) -> Counter:
+    return Counter(_WORD.findall(text.lower()))
+
+
+def features_of(text: str) -> set[str]:
+    """All features of a text, plain and dense."""
+    seen: Counter = Counter()
+    total = 0
+    for word, n in words(text).items():
+        total += n
+        for m in marks(word):
+            seen[m] += n
+    return {*seen, *(m + "^" for m, n in seen.items() if n >= DENSE * total)}
 
 
 def _tallied(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -47,7 +64,7 @@ def _tallied(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     for batch in batches:
         for text, toxic in zip(batch["text"], batch["toxic"]):
-            seen[toxic].update({m for w in words(text) for m in marks(w)})
+            seen[toxic].update(features_of(text))
             if len(seen[0]) + len(seen[1]) > 1_000_000:
                 yield taken()
     yield taken()
@@ -55,26 +72,29 @@ def _tallied(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 @dataclass(frozen=True)
 class Matcher:
-    """Finds features in texts; remembers each word's features for the life of the task."""
+    """Finds the features of ``index`` in texts; remembers which of them a word can have for the life of the task."""
 
     index: dict[str, int]
 
-    def of(self, text: str, cache: dict[str, tuple[int, ...]]) -> list[int]:
-        found: set[int] = set()
-        for word in words(text):
+    def of(self, text: str, cache: dict[str, tuple[str, ...]]) -> list[int]:
+        index, seen, total = self.index, Counter(), 0
+        for word, n in words(text).items():
+            total += n
             got = cache.get(word)
             if got is None:
                 if len(cache) > 500_000:
                     cache.clear()
-                got = cache[word] = tuple(self.index[m] for m in marks(word) if m in self.index)
-            if got:
-                found.update(got)
+                got = cache[word] = tuple(m for m in marks(word) if m in index or m + "^" in index)
+            for m in got:
+                seen[m] += n
+        found = [index[m] for m in seen if m in index]
+        found += [index[m + "^"] for m, n in seen.items() if n >= DENSE * total and m + "^" in index]
         return sorted(found)
 
 
 @dataclass(frozen=True)
 class LabelModel:
-    """Votes x of a document give the log odds w.x + b. toxic and clean have the voters' rates by class."""
+    """Votes x of a document give the log odds w.x + b. toxic and clean hold how often each voter fires in a class."""
 
     toxic: np.ndarray
     clean: np.ndarray
@@ -86,20 +106,23 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(votes @ self.weight + self.bias, -30, 30)))
 
 
-def label_model(toxic: np.ndarray, clean: np.ndarray, covariance: np.ndarray, prior: float) -> LabelModel:
-    """Weights that allow for voters which fire together: the pooled covariance within the classes, inverted."""
-    k = len(toxic)
-    ridge = covariance + np.diag(0.05 * np.diag(covariance) + 1e-4)
-    weight = np.linalg.solve(ridge, toxic - clean) if k else np.zeros(0)
-    bias = float(np.log(prior / (1 - prior)) - 0.5 * weight @ (toxic + clean))
-    spread = np.sqrt(np.maximum(np.diag(covariance), 1e-12))
-    return LabelModel(toxic, clean, covariance / np.outer(spread, spread), weight, bias)
+def label_model(toxic: np.ndarray, clean: np.ndarray, correlation: np.ndarray, prior: float) -> LabelModel:
+    """A voter that fires adds its log odds, shared among those that fire with it; one that doesn't abstains.
+
+    The share is one over the sum of its squared correlations, itself included: k copies of a voter weigh as one.
+    """
+    odds = np.log(np.maximum(toxic, 1e-6)) - np.log(np.maximum(clean, 1e-6))
+    weight = odds / (1 + (np.maximum(correlation * (1 - np.eye(len(toxic))), 0) ** 2).sum(axis=1)) if len(toxic) else odds
+    return LabelModel(toxic, clean, correlation, weight, float(np.log(prior / (1 - prior))))
 
 
 def estimate(votes: DataFrame, toxic: np.ndarray, clean: np.ndarray, prior: float, rounds: int) -> LabelModel:
-    """Expectation-maximisation over all rows of votes (an array of the voters that fired)."""
+    """Expectation-maximisation over all rows of votes (the voters that fired, and the label or -1).
+
+    A known label counts ANCHOR of a document, the model's own posterior the rest.
+    """
     k = len(toxic)
-    model = label_model(toxic, clean, np.diag((toxic + clean) / 2 * (1 - (toxic + clean) / 2)), prior)
+    model = label_model(toxic, clean, np.eye(k), prior)
     for _ in range(rounds if k else 0):
         now = model
 
@@ -110,7 +133,8 @@ def estimate(votes: DataFrame, toxic: np.ndarray, clean: np.ndarray, prior: floa
                     x = np.zeros((len(some := batch["votes"].iloc[a : a + 4096]), k))
                     for i, fired in enumerate(some):
                         x[i, fired] = 1
-                    p = now.posterior(x)
+                    p, known = now.posterior(x), batch["label"].to_numpy()[a : a + 4096]
+                    p = np.where(known >= 0, ANCHOR * known + (1 - ANCHOR) * p, p)
                     n += p.sum(), (1 - p).sum()
                     s1, s0 = s1 + p @ x, s0 + (1 - p) @ x
                     both1, both0 = both1 + (x * p[:, None]).T @ x, both0 + (x * (1 - p)[:, None]).T @ x
@@ -121,7 +145,8 @@ def estimate(votes: DataFrame, toxic: np.ndarray, clean: np.ndarray, prior: floa
         both1, both0 = total[2 + 2 * k :].reshape(2, k, k)
         toxic, clean = (s1 + 0.5) / n[0], (s0 + 0.05) / n[1]
         covariance = (both1 - n[0] * np.outer(toxic, toxic) + both0 - n[1] * np.outer(clean, clean)) / n.sum()
-        model = label_model(toxic, clean, (covariance + covariance.T) / 2 * (1 - np.eye(k)) + np.diag((n[0] * toxic * (1 - toxic) + n[1] * clean * (1 - clean)) / n.sum()), float(np.clip(n[0] / n.sum(), 0.001, 0.9)))
+        spread = np.sqrt(np.maximum(np.diag(covariance), 1e-9))
+        model = label_model(toxic, clean, np.clip(covariance / np.outer(spread, spread), -1, 1), float(np.clip(n[0] / n.sum(), 0.001, 0.9)))
     return model
 
 
@@ -183,7 +208,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, max_vote
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "votes": [finder.of(t, cache) for t in batch["text"]]})
 
-    votes = written(texts.where("doc_id is not null").mapInPandas(vote, "doc_id long, votes array<int>"))
+    voted = texts.where("doc_id is not null").mapInPandas(vote, "doc_id long, votes array<int>")
+    votes = written(voted.join(marked, "doc_id", "left").select("doc_id", "votes", F.coalesce("toxic", F.lit(-1)).alias("label")))
     toxic = (chosen["toxic"].to_numpy() + 0.5) / (n1 + 1)
     clean = (chosen["clean"].to_numpy() + 0.05) / (n0 + 1)
     model = estimate(votes, toxic, clean, totals[1] / (totals[0] + totals[1]), rounds)
@@ -193,7 +219,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, max_vote
             x = np.zeros((len(batch), k))
             for i, fired in enumerate(batch["votes"]):
                 x[i, fired] = 1
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "p": model.posterior(x)})
+            known, p = batch["label"].to_numpy(), model.posterior(x)
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "p": np.where(known >= 0, ANCHOR * known + (1 - ANCHOR) * p, p)})
 
     posterior = written(votes.mapInPandas(judged, "doc_id long, p double").dropDuplicates(["doc_id"]))
     counts = posterior.agg(F.sum((F.col("p") > 0.5).cast("long")).alias("t"), F.count("*").alias("n")).first()
