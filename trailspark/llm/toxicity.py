@@ -190,7 +190,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, max_vote
     if len(totals) < 2:
         return Classifier(Matcher({}), np.zeros(0), -4.0)
     share = F.when(F.col("toxic") == 1, bounded_share(totals[1], max_labelled // 2)).otherwise(bounded_share(totals[0], max_labelled // 2))
-    sample = written(texts.join(marked.where(in_share("doc_id", share)), "doc_id"))
+    sample = written(texts.join(F.broadcast(marked.where(in_share("doc_id", share))), "doc_id"))  # about max_labelled rows, whatever the corpus
     size = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = size.get(1, 0), size.get(0, 0)
     tallies = sample.select("text", "toxic").mapInPandas(_tallied, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
@@ -233,7 +233,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, max_vote
         for batch in batches:
             yield pd.DataFrame({"found": [known.of(t, cache) for t in batch["text"]], "p": batch["p"]})
 
-    rows = texts.join(posterior.where(in_share("doc_id", share, 23)), "doc_id").select("text", "p").mapInPandas(featured, "found array<int>, p double").toPandas()
+    chosen_docs = F.broadcast(posterior.where(in_share("doc_id", share, 23)))  # about max_trained rows, whatever the corpus
+    rows = texts.join(chosen_docs, "doc_id").select("text", "p").mapInPandas(featured, "found array<int>, p double").toPandas()
     weight, bias = logistic([np.asarray(r, dtype=np.int64) for r in rows["found"]], rows["p"].to_numpy(dtype=float), index)
     return Classifier(known, weight, bias, voters, model)
 
