@@ -23,6 +23,8 @@ _BLOCK = 1 << 16
 SHARED = 4
 #: Grams of the members that one task compares with one hub.
 _GROUP_GRAMS = 1_000_000
+#: Sets in a block; a task compares two blocks.
+_BLOCK_SETS = 400
 
 
 def _set_id(grams: np.ndarray) -> int:
@@ -103,13 +105,17 @@ def _enough(common: str, a: str, b: str, num: int, den: int) -> Column:
 
 
 def _entries(docs: DataFrame, counts: np.ndarray, k: int, num: int, den: int, only: np.ndarray | None = None) -> DataFrame:
-    """(token, set_id, n) of each set's prefix shingles, once a task and set; of those in the bitmap ``only`` if given."""
+    """(token, set_id, n, score) of each set's prefix shingles, once a task and set.
+
+    With a bitmap ``only``, of those in it, and of sets with as many there as a link needs; score is their share
+    of the prefix in thousandths, highest for the text that copies were made from.
+    """
     shared = docs.sparkSession.sparkContext.broadcast((counts, only))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # sets that this task has met
         for batch in batches:
-            tokens, owners, sizes = [], [], []
+            tokens, owners, sizes, scores = [], [], [], []
             for text in batch.column(0).to_pylist():
                 grams = shingle_set(text or b"", k)
                 if not len(grams) or (own := _set_id(grams)) in seen:
@@ -117,15 +123,20 @@ def _entries(docs: DataFrame, counts: np.ndarray, k: int, num: int, den: int, on
                 if len(seen) < 2_000_000:
                     seen.add(own)
                 first = prefix(grams, shared.value[0], num, den)
+                score = 1000
                 if shared.value[1] is not None:
-                    first = first[_in_bitmap(first, shared.value[1])]
+                    there = first[_in_bitmap(first, shared.value[1])]
+                    if len(there) < least_shared(len(grams), num, den):
+                        continue
+                    first, score = there, 1000 * len(there) // len(first)
                 tokens.append(first)
                 owners.append(np.full(len(first), own, dtype=np.int64))
                 sizes.append(np.full(len(first), len(grams), dtype=np.int32))
+                scores.append(np.full(len(first), score, dtype=np.int32))
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(owners)), pa.array(np.concatenate(sizes))], names=["token", "set_id", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(owners)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(scores))], names=["token", "set_id", "n", "score"])
 
-    return docs.select(F.col("text").cast("string").cast("binary")).mapInArrow(run, "token long, set_id long, n int")
+    return docs.select(F.col("text").cast("string").cast("binary")).mapInArrow(run, "token long, set_id long, n int, score int")
 
 
 #: Bits of the bitmaps that keep what can't match out of shuffles; a full one would only keep less out.
@@ -189,62 +200,108 @@ class PrefixTree:
     def __init__(self, sets: list[np.ndarray]):
         self.order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u8").tobytes()) if len(sets) > 1 else [*range(len(sets))]
         self.sets = [sets[i] for i in self.order]
-        self.common = [0] * len(sets)
+        self.sizes = np.array([len(x) for x in self.sets], dtype=np.int64)
+        self.common = np.zeros(len(sets), dtype=np.int64)
         for i in range(1, len(sets)):
             a, b = self.sets[i - 1], self.sets[i]
             n = min(len(a), len(b))
             differ = np.flatnonzero(a[:n] != b[:n])
             self.common[i] = int(differ[0]) if len(differ) else n
 
-    def linked(self, probe: np.ndarray, num: int, den: int) -> list[int]:
-        """Positions (as given) of the sets with den * |x & probe| >= num * |x | probe|.
+    def linked(self, probe: np.ndarray, num: int, den: int, wanted: np.ndarray | None = None) -> list[int]:
+        """Places in the tree's order of the (wanted) sets with den * |x & probe| >= num * |x | probe|.
 
         Overlaps along a path are shared with the next set below the same node. A subtree is left as soon as the
         overlap so far and what remains on either side can't reach what its set needs.
         """
+        m = len(probe)
+        needs = -(-num * (self.sizes + m) // (num + den))
+        fit = np.minimum(self.sizes, m) >= needs
         found, path = [], np.zeros(1, dtype=np.int64)  # overlap after each step of the current path
-        dead = -1  # depth at which the last subtree was pruned
-        for i, x in enumerate(self.sets):
-            n, total = len(x), len(x) + len(probe)
-            need = -(-num * total // (num + den))
-            if min(n, len(probe)) < need:
-                dead = -1
-                path = path[: self.common[i] + 1] if i else path[:1]
-                continue
-            depth = min(self.common[i], len(path) - 1)
-            if 0 <= dead <= depth and path[dead] + min(n - dead, len(probe) - path[dead]) < need:
+        dead, last = -1, None  # depth at which the last subtree was pruned; the set visited before
+        for i in np.flatnonzero(fit if wanted is None else fit & wanted).tolist():
+            x, n, need = self.sets[i], int(self.sizes[i]), int(needs[i])
+            depth = 0 if last is None else min(len(path) - 1, int(self.common[last + 1 : i + 1].min()))
+            last = i
+            if 0 <= dead <= depth and path[dead] + min(n - dead, m - path[dead]) < need:
                 path = path[: depth + 1]
                 continue
             dead = -1
             at = np.searchsorted(probe, x[depth:])
-            hit = probe[np.minimum(at, len(probe) - 1)] == x[depth:]
+            hit = probe[np.minimum(at, m - 1)] == x[depth:]
             path = np.concatenate([path[: depth + 1], path[depth] + np.cumsum(hit)])
-            reach = path + np.minimum(n - np.arange(n + 1), len(probe) - path)
+            reach = path + np.minimum(n - np.arange(n + 1), m - path)
             if len(short := np.flatnonzero(reach < need)):
                 dead = int(short[0])
             elif path[-1] >= need:
-                found.append(self.order[i])
+                found.append(i)
         return found
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+def _verified(pairs: DataFrame, grams: DataFrame, num: int, den: int) -> DataFrame:
     """Those of pairs (hub, member, n) of set ids that link. Members of one hub form tries of bounded size."""
     pairs = written(pairs)
     parts = pairs.groupBy("hub").agg((F.floor(F.sum("n") / _GROUP_GRAMS) + 1).alias("parts"))
     tasks = 1 + (pairs.agg(F.sum("n")).first()[0] or 0) // _GROUP_GRAMS
     dealt = pairs.join(parts, "hub").withColumn("part", F.pmod(F.xxhash64("member"), F.col("parts"))).withColumn("task", F.pmod(F.xxhash64("hub", "part"), F.lit(tasks)))
     members = dealt.select(F.col("member").alias("set_id"), "hub", "task", F.lit(False).alias("is_hub"))
-    roles = written(members.unionByName(dealt.select(F.col("hub").alias("set_id"), "hub", "task", F.lit(True).alias("is_hub")).distinct()))
-    held = roles.join(_grams_of(docs, roles.select("set_id").distinct(), k), "set_id")
+    roles = members.unionByName(dealt.select(F.col("hub").alias("set_id"), "hub", "task", F.lit(True).alias("is_hub")).distinct())
+    held = roles.join(grams, "set_id")
 
     def compare(batch: pd.DataFrame) -> pd.DataFrame:
         hubs, rest = batch[batch["is_hub"]], batch[~batch["is_hub"]]
         own, a, b = dict(zip(hubs["set_id"], hubs["grams"])), [], []
         for name, some in rest.groupby("hub", sort=False).indices.items():
             ids, raw = rest["set_id"].to_numpy()[some], rest["grams"].to_numpy()[some]
-            found = PrefixTree([np.frombuffer(g, dtype=np.uint64) for g in raw]).linked(np.frombuffer(own[name], dtype=np.uint64), num, den)
+            tree = PrefixTree([np.frombuffer(g, dtype=np.uint64) for g in raw])
+            found = tree.linked(np.frombuffer(own[name], dtype=np.uint64), num, den)
             a += [name] * len(found)
-            b += ids[found].tolist()
+            b += [ids[tree.order[i]] for i in found]
+        return pd.DataFrame({"a": np.array(a, dtype=np.int64), "b": np.array(b, dtype=np.int64)})
+
+    return held.groupBy("task").applyInPandas(compare, "a long, b long")
+
+
+def _within(homes: DataFrame, grams: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) between sets of different labels that share a home (set_id, n, home, label).
+
+    A home's sets are dealt into blocks of bounded size, and each pair of blocks meets in one task: one block as a
+    trie, the other's sets as probes. What is linked already, there or by label, isn't compared again.
+    """
+    sizes = homes.groupBy("home").agg(F.count("*").alias("c"), F.sum("n").alias("all"), F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
+    sizes = sizes.select("home", F.greatest(F.ceil(F.col("c") / _BLOCK_SETS), F.ceil(F.col("all") / _GROUP_GRAMS)).cast("int").alias("blocks"))
+    own = homes.join(sizes, "home").withColumn("at", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("set_id", "n", "label", "home", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), (F.col("at") > F.col("other")).alias("probe"))
+    dealt = written(dealt)
+    total = dealt.agg(F.count("*").alias("c"), F.sum("n").alias("n")).first()
+    tasks = 1 + total["c"] // (4 * _BLOCK_SETS) + (total["n"] or 0) // _GROUP_GRAMS
+    held = dealt.join(grams, "set_id").withColumn("task", F.pmod(F.xxhash64("home", "i", "j"), F.lit(tasks)))
+
+    def compare(batch: pd.DataFrame) -> pd.DataFrame:
+        a, b = [], []
+        for (_, i, j), some in batch.groupby(["home", "i", "j"], sort=False).indices.items():
+            part = batch.iloc[some]
+            rows, probes = (part, part) if i == j else (part[~part["probe"]], part[part["probe"]])
+            if not len(rows) or not len(probes):
+                continue
+            tree = PrefixTree([np.frombuffer(g, dtype=np.uint64) for g in rows["grams"]])
+            ids, of = rows["set_id"].to_numpy()[tree.order], rows["label"].to_numpy()[tree.order].copy()
+            places = np.arange(len(of))
+            mine = of if i == j else probes["label"].to_numpy().copy()
+            for p, raw in enumerate(tree.sets if i == j else probes["grams"]):
+                open_ = of != mine[p]
+                if i == j:
+                    open_ &= places > p
+                if not open_.any():
+                    continue
+                for q in tree.linked(np.frombuffer(raw, dtype=np.uint64), num, den, open_):
+                    if of[q] != mine[p]:
+                        a.append(ids[p] if i == j else probes["set_id"].iloc[p])
+                        b.append(ids[q])
+                        old, new = of[q], mine[p]
+                        of[of == old] = new
+                        mine[mine == old] = new
         return pd.DataFrame({"a": np.array(a, dtype=np.int64), "b": np.array(b, dtype=np.int64)})
 
     return held.groupBy("task").applyInPandas(compare, "a long, b long")
@@ -255,38 +312,47 @@ def similar(a: str, b: str, num: int, den: int) -> Column:
     return den * F.least(a, b) >= num * F.greatest(a, b)
 
 
+def _labelled(sets: DataFrame, links: DataFrame) -> DataFrame:
+    """Every row of sets with the label of its component."""
+    return sets.join(connected(links).withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
+
+
 def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of docs (doc_id, text; other columns are ignored).
 
     Two documents link when den * |x & y| >= num * |x | y| of their sets of k-word shingles; component_id is the
     smallest doc_id that links reach. Documents with equal sets are one set from the first pass on. The sets that
-    share a rare shingle are first compared with one of them, the hub; what one hub ties together needs no further
-    comparison, and only sets of different components that still share a prefix shingle are paired. No link
-    between components is lost, and no group is expanded into all its pairs unless each of its sets stands alone.
-    Documents without words have an empty set and stand alone. Repeated rows are kept, each with its component.
+    share a rare shingle are first compared with one of them, the hub; what a hub ties together needs no further
+    comparison. Each set has a home, the hub it has most prefix shingles in common with. Sets of one home meet in
+    blocks, as tries; sets of different homes and components are paired where they share as many prefix shingles as
+    a link needs. So no link between components is lost. Documents without words have an empty set and stand alone.
+    Repeated rows are kept, each with its component.
     """
     rows = written(_sets(docs, k))
     info = rows.where("block is null").select("doc_id", "n", "set_id")
     counts = _sketch(rows)
-    entries = _entries(docs, counts, k, num, den)
-    groups = entries.groupBy("token").agg(F.min(F.struct("n", "set_id")).alias("hub"), F.min("set_id").alias("low"), F.max("set_id").alias("high")).where("low != high").select("token", F.col("hub.set_id").alias("hub"), F.col("hub.n").alias("hub_n"))
-    groups = written(groups)
-    shared = written(_entries(docs, counts, k, num, den, _bitmap(groups.select("token"))).join(groups, "token").distinct())
-
-    tied = shared.where("hub != set_id").where(similar("n", "hub_n", num, den)).groupBy("set_id", "hub").agg(F.count("*").alias("common"), F.first("n").alias("n"), F.first("hub_n").alias("hub_n"))
-    tied = tied.where(_enough("common", "n", "hub_n", num, den))
-    best = tied.groupBy(F.col("set_id").alias("member")).agg(F.max(F.struct("common", "hub")).alias("best"), F.first("n").alias("n"))
-    first = written(_verified(best.select(F.col("best.hub").alias("hub"), "member", "n"), docs, k, num, den))
-    labels = connected(first)
-
-    named = shared.select("token", "set_id", "n").join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
-    open_tokens = named.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("token")
-    left = written(named.join(open_tokens, "token", "left_semi"))
-    a, b = left.alias("a"), left.alias("b")
-    pairs = a.join(b, "token").where("a.label < b.label").where(similar("a.n", "b.n", num, den))
-    pairs = pairs.groupBy(F.col("a.set_id").alias("hub"), F.col("b.set_id").alias("member")).agg(F.count("*").alias("common"), F.first("a.n").alias("hub_n"), F.first("b.n").alias("n"))
-    second = _verified(pairs.where(_enough("common", "n", "hub_n", num, den)).select("hub", "member", "n"), docs, k, num, den)
-    labels = connected(written(first.unionByName(second)))
+    common = _entries(docs, counts, k, num, den).groupBy("token").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high")).where("low != high").select("token")
+    entries = written(_entries(docs, counts, k, num, den, _bitmap(common)).distinct())
+    grams = written(_grams_of(docs, entries.select("set_id").distinct(), k))
+
+    hubs = entries.groupBy("token").agg(F.max(F.struct("score", "set_id", "n")).alias("hub"), F.count("*").alias("c")).where("c > 1").select("token", F.col("hub.set_id").alias("hub"), F.col("hub.n").alias("hub_n"))
+    tied = entries.join(hubs, "token").groupBy("set_id", "hub").agg(F.count("*").alias("common"), F.first("n").alias("n"), F.first("hub_n").alias("hub_n"))
+    near = F.when(similar("n", "hub_n", num, den) & _enough("common", "n", "hub_n", num, den) & (F.col("set_id") != F.col("hub")), F.struct("common", "hub"))
+    homes = written(tied.groupBy("set_id").agg(F.first("n").alias("n"), F.max(F.struct("common", "hub")).alias("home"), F.max(near).alias("near")).select("set_id", "n", F.col("home.hub").alias("home"), F.col("near.hub").alias("hub")))
+    links = written(_verified(homes.where("hub is not null").select("hub", F.col("set_id").alias("member"), "n"), grams, num, den))
+    homes = written(_labelled(homes.drop("hub"), links))
+    links = written(links.unionByName(_within(homes, grams, num, den)))
+
+    homes = _labelled(homes.drop("label"), links)
+    named = written(entries.drop("n", "score").join(homes, "set_id"))
+    most = named.groupBy("token", "home").agg(F.count("*").alias("c"), F.min("label").alias("low"), F.max("label").alias("high"))
+    most = most.groupBy("token").agg(F.max(F.struct("c", "home")).alias("m"), F.count("*").alias("homes"), F.min("low").alias("low"), F.max("high").alias("high")).where("homes > 1 and low != high").select("token", F.col("m.home").alias("most"))
+    left = written(named.join(most, "token"))
+    a, b = left.where("home != most").alias("a"), left.alias("b")  # a token's most frequent home needs no pairs with itself
+    pairs = a.join(b, "token").where("a.label != b.label and a.home != b.home and (b.home = b.most or a.set_id < b.set_id)").where(similar("a.n", "b.n", num, den))
+    pairs = pairs.groupBy(F.least("a.set_id", "b.set_id").alias("hub"), F.greatest("a.set_id", "b.set_id").alias("member")).agg(F.count("*").alias("common"), F.first("a.n").alias("hub_n"), F.first("b.n").alias("n"))
+    last = _verified(pairs.where(_enough("common", "n", "hub_n", num, den)).select("hub", "member", F.greatest("n", "hub_n").alias("n")), grams, num, den)
+    labels = connected(written(links.unionByName(last)))
 
     sets = info.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("least"))
     sets = sets.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
