@@ -16,8 +16,8 @@ from trailspark.llm.common import written
 from trailspark.llm.components import connected
 from trailspark.llm.shingles import mixed, shingle_set
 
-#: Shingle counts are kept in 2^SKETCH_BITS counters; they only order the shingles, so any size is right.
-SKETCH_BITS = 20
+#: Shingle counts are kept in 2^SKETCH_BITS bytes that stop at 255; they only order the shingles, so any size is right.
+SKETCH_BITS = 25
 _BLOCK = 1 << 16
 #: Prefix shingles that two linked sets share at least (fewer for sets of fewer shingles).
 SHARED = 4
@@ -40,14 +40,15 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
     """One row per document (doc_id, n, set_id), and rows that hold counts of shingles (block, at, n_at)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
+        counts = np.zeros(1 << SKETCH_BITS, dtype=np.uint8)
         for batch in batches:
             sizes, ids = [], []
             for text in batch.column(1).to_pylist():
                 grams = shingle_set(text or b"", k)
                 sizes.append(len(grams))
                 ids.append(_set_id(grams) if len(grams) else None)
-                np.add.at(counts, _slots(grams), np.uint32(1))
+                at = _slots(grams)
+                counts[at] = np.minimum(counts[at], 254) + 1
             n = len(sizes)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], names=names)
         rows = []
@@ -65,18 +66,18 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _sketch(rows: DataFrame) -> np.ndarray:
-    """How often the shingles of each slot occur; 4 * 2^SKETCH_BITS bytes, whatever the corpus."""
+    """How often the shingles of each slot occur; 2^SKETCH_BITS bytes, whatever the corpus."""
 
     def one(batch: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(_BLOCK, dtype=np.uint32)
+        total = np.zeros(_BLOCK, dtype=np.uint16)
         for at, n in zip(batch["at"], batch["n_at"]):
-            total[np.frombuffer(zlib.decompress(at), dtype=np.uint16)] += np.frombuffer(zlib.decompress(n), dtype=np.uint32)
-        return pd.DataFrame({"block": batch["block"].iloc[:1], "total": [total.tobytes()]})
-
-    out = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
+            at = np.frombuffer(zlib.decompress(at), dtype=np.uint16)
+            total[at] = np.minimum(total[at] + np.frombuffer(zlib.decompress(n), dtype=np.uint8), 255)
+        return pd.DataFrame({"block": batch["block"].iloc[:1], "total": [total.astype(np.uint8).tobytes()]})
 
+    out = np.zeros(1 << SKETCH_BITS, dtype=np.uint8)
     for r in rows.where("block is not null").select("block", "at", "n_at").groupBy("block").applyInPandas(one, "block int, total binary").collect():
-        out[r["block"] * _BLOCK : (r["block"] + 1) * _BLOCK] = np.frombuffer(r["total"], dtype=np.uint32)
+        out[r["block"] * _BLOCK : (r["block"] + 1) * _BLOCK] = np.frombuffer(r["total"], dtype=np.uint8)
     return out
 
 
@@ -89,7 +90,7 @@ def prefix(grams: np.ndarray, counts: np.ndarray, num: int, den: int) -> np.ndar
     """
     n = len(grams)
     p = n - -(-num * n // den) + least_shared(n, num, den)
-    rank = (np.minimum(counts[_slots(grams)], (1 << 24) - 1).astype(np.uint64) << np.uint64(40)) | (grams >> np.uint64(24))
+    rank = (counts[_slots(grams)].astype(np.uint64) << np.uint64(40)) | (grams >> np.uint64(24))
     if p >= n:
         return grams
     return grams[rank <= np.partition(rank, p - 1)[p - 1]]
@@ -194,6 +195,17 @@ def _grams_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     return emitted.groupBy("set_id").agg(F.first("grams").alias("grams"))
 
 
+def _only(grams: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of grams whose set_id is wanted, and a few others; keeps the rest out of a shuffle."""
+    shared = grams.sparkSession.sparkContext.broadcast(_bitmap(wanted.select("set_id").distinct()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_in_bitmap(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), shared.value)))
+
+    return grams.select("set_id", "grams").mapInArrow(run, "set_id long, grams binary")
+
+
 class PrefixTree:
     """Sets of ordered shingles as a trie: in sorted order, each shares its path with the one before up to ``common``."""
 
@@ -245,8 +257,8 @@ def _verified(pairs: DataFrame, grams: DataFrame, num: int, den: int) -> DataFra
     tasks = 1 + (pairs.agg(F.sum("n")).first()[0] or 0) // _GROUP_GRAMS
     dealt = pairs.join(parts, "hub").withColumn("part", F.pmod(F.xxhash64("member"), F.col("parts"))).withColumn("task", F.pmod(F.xxhash64("hub", "part"), F.lit(tasks)))
     members = dealt.select(F.col("member").alias("set_id"), "hub", "task", F.lit(False).alias("is_hub"))
-    roles = members.unionByName(dealt.select(F.col("hub").alias("set_id"), "hub", "task", F.lit(True).alias("is_hub")).distinct())
-    held = roles.join(grams, "set_id")
+    roles = written(members.unionByName(dealt.select(F.col("hub").alias("set_id"), "hub", "task", F.lit(True).alias("is_hub")).distinct()))
+    held = roles.join(_only(grams, roles), "set_id")
 
     def compare(batch: pd.DataFrame) -> pd.DataFrame:
         hubs, rest = batch[batch["is_hub"]], batch[~batch["is_hub"]]
@@ -276,7 +288,7 @@ def _within(homes: DataFrame, grams: DataFrame, num: int, den: int) -> DataFrame
     dealt = written(dealt)
     total = dealt.agg(F.count("*").alias("c"), F.sum("n").alias("n")).first()
     tasks = 1 + total["c"] // (4 * _BLOCK_SETS) + (total["n"] or 0) // _GROUP_GRAMS
-    held = dealt.join(grams, "set_id").withColumn("task", F.pmod(F.xxhash64("home", "i", "j"), F.lit(tasks)))
+    held = dealt.join(_only(grams, dealt), "set_id").withColumn("task", F.pmod(F.xxhash64("home", "i", "j"), F.lit(tasks)))
 
     def compare(batch: pd.DataFrame) -> pd.DataFrame:
         a, b = [], []
@@ -338,7 +350,7 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
     hubs = entries.groupBy("token").agg(F.max(F.struct("score", "set_id", "n")).alias("hub"), F.count("*").alias("c")).where("c > 1").select("token", F.col("hub.set_id").alias("hub"), F.col("hub.n").alias("hub_n"))
     tied = entries.join(hubs, "token").groupBy("set_id", "hub").agg(F.count("*").alias("common"), F.first("n").alias("n"), F.first("hub_n").alias("hub_n"))
     near = F.when(similar("n", "hub_n", num, den) & _enough("common", "n", "hub_n", num, den) & (F.col("set_id") != F.col("hub")), F.struct("common", "hub"))
-    homes = written(tied.groupBy("set_id").agg(F.first("n").alias("n"), F.max(F.struct("common", "hub")).alias("home"), F.max(near).alias("near")).select("set_id", "n", F.col("home.hub").alias("home"), F.col("near.hub").alias("hub")))
+    homes = written(tied.groupBy("set_id").agg(F.first("n").alias("n"), F.max(F.struct("common", "hub")).alias("home"), F.max(near).alias("near"), F.sum("common").alias("common")).where(F.col("common") >= F.least(F.lit(SHARED), F.ceil(F.col("n") * num / den))).select("set_id", "n", F.col("home.hub").alias("home"), F.col("near.hub").alias("hub")))
     links = written(_verified(homes.where("hub is not null").select("hub", F.col("set_id").alias("member"), "n"), grams, num, den))
     homes = written(_labelled(homes.drop("hub"), links))
     links = written(links.unionByName(_within(homes, grams, num, den)))
