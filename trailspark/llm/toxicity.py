@@ -27,6 +27,8 @@ ANCHOR = 0.9
 STEMS = (4, 5, 6)
 
 
+#: Standard errors that a feature's log odds are from nought at least; what chance brings stays below.
+SURE = 3.5
 #: A feature that makes up this share of a document's words also counts as dense; its name then ends with "^".
 DENSE = 0.01
 
@@ -150,7 +152,7 @@ def estimate(votes: DataFrame, toxic: np.ndarray, clean: np.ndarray, prior: floa
     return model
 
 
-def logistic(rows: list[np.ndarray], target: np.ndarray, features: int, rounds: int = 300, l2: float = 1e-4) -> tuple[np.ndarray, float]:
+def logistic(rows: list[np.ndarray], target: np.ndarray, features: int, rounds: int = 300, l2: float = 2e-3) -> tuple[np.ndarray, float]:
     """Logistic regression on sets of features, by full gradients with momentum; targets are probabilities."""
     w, b, v, vb = np.zeros(features), 0.0, np.zeros(features), 0.0
     if not rows:
@@ -195,7 +197,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, max_vote
     n1, n0 = size.get(1, 0), size.get(0, 0)
     tallies = sample.select("text", "toxic").mapInPandas(_tallied, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     odds = F.log((F.col("toxic") + 0.5) / (n1 + 1.0)) - F.log((F.col("clean") + 0.5) / (n0 + 1.0))
-    strong = tallies.where(F.col("toxic") + F.col("clean") >= 4).withColumn("odds", odds)
+    spread = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
+    strong = tallies.where(F.col("toxic") + F.col("clean") >= 4).withColumn("odds", odds).where(F.abs("odds") >= SURE * spread)
     gain = (F.col("toxic") / max(n1, 1) - F.col("clean") / max(n0, 1)) * F.abs("odds")
     best = strong.withColumn("gain", F.abs(gain)).orderBy(F.desc("gain"), "feature").limit(max_features).toPandas()
     chosen = best[(best["odds"] > 2) & (best["toxic"] >= 4)].head(max_voters)
