@@ -34,6 +34,14 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(name: str, df: DataFrame) -> str:
+    """name, or one with further underscores that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def bounded_share(total: int, bound: int) -> int:
     """Share, in 2^20ths, of ``total`` rows that gives about ``bound`` of them."""
     return 1 << 20 if total <= bound else max(1, (bound << 20) // total)

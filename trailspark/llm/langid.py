@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailspark.llm.common import bounded_share, in_share
+from trailspark.llm.common import bounded_share, free_name, in_share
 
 #: Bytes of context at most; a code of order + 1 bytes fits 32 bits.
 ORDER = 3
@@ -178,6 +178,6 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], *made], names=[*rest, *new])
 
     text = F.col("text").cast("string")
-    given = docs.select(*[f"`{c}`" for c in rest], text.cast("binary").alias("_text"), F.coalesce(text.rlike("\\p{L}"), F.lit(False)).alias("_letters"))
+    given = docs.select(*[f"`{c}`" for c in rest], text.cast("binary").alias(free_name("_text", docs)), F.coalesce(text.rlike("\\p{L}"), F.lit(False)).alias(free_name("_letters", docs)))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[f"`{c}`" for c in rest]).schema)
     return given.mapInArrow(run, f"{fields}, lang_pred string, score double, bits_per_byte double")

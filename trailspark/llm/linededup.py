@@ -37,12 +37,13 @@ def dedup(docs: DataFrame, divisor: int = 3, min_lines: int = 2) -> DataFrame:
     Lines are what "\\n" separates. A chunk of min_lines or more lines that stands elsewhere with the same bytes is
     kept where it comes first, by doc_id and then by position, and removed everywhere else. Chunks that meet by
     hash are compared byte by byte. Rows with equal doc_id and text are treated alike; a null doc_id comes last; a
-    null text stays null with 0 lines; a text may become empty. Columns n_lines and n_removed in docs are replaced.
+    null text stays null with 0 lines; a text may become empty. Columns n_lines and n_removed in docs are replaced, and
+    _doc, _text_hash, _gone, _l and _k, which are used inside, are left out.
 
     Only hashes are shuffled to find repeats; texts move once for the comparison, from documents that have some,
     and once to be cut. Counts per hash have partial sums, and joins on a hot hash can be split.
     """
-    columns = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
+    columns = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed", "_doc", "_text_hash", "_gone", "_l", "_k")]
     keyed = docs.select(*[f"`{c}`" for c in columns]).withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))).withColumn("_text_hash", F.xxhash64("text"))
     chunks = written(_chunks(keyed.where("instr(text, '\\n') > 0"), divisor, min_lines))
     firsts = chunks.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("_doc", "a", "b", "_text_hash")).alias("f")).where("n > 1").select("h", "f")

@@ -161,7 +161,7 @@ def _code(coder: _Lanes, sizes: np.ndarray, ids: np.ndarray | None) -> np.ndarra
 
 
 def compress(ids: np.ndarray) -> bytes:
-    """A segment: header, a table of its blocks (ids, bytes, crc32 of the ids), and the blocks."""
+    """A segment: header, a table of its blocks (ids, bytes, crc32 of the ids and then of the bytes), and the blocks."""
     ids = np.asarray(ids, dtype="<u4")
     if len(ids) and ids.max() > 0xFFFF:
         raise ValueError("ids must be below 65536")
@@ -174,7 +174,7 @@ def compress(ids: np.ndarray) -> bytes:
     coder = _Lanes(len(sizes), 4 * BLOCK + 64)
     _code(coder, sizes, padded.reshape(len(sizes), BLOCK)[:, : int(sizes.max())])
     coder.flush()
-    table = b"".join(struct.pack("<III", n, size, zlib.crc32(ids[a * BLOCK : a * BLOCK + n].tobytes())) for a, (n, size) in enumerate(zip(sizes.tolist(), coder.at.tolist())))
+    table = b"".join(struct.pack("<III", n, size, zlib.crc32(coder.out[a, :size].tobytes(), zlib.crc32(ids[a * BLOCK : a * BLOCK + n].tobytes()))) for a, (n, size) in enumerate(zip(sizes.tolist(), coder.at.tolist())))
     head += table
     return head + struct.pack("<I", zlib.crc32(head)) + b"".join(coder.out[k, :n].tobytes() for k, n in enumerate(coder.at.tolist()))
 
@@ -200,11 +200,11 @@ def decompress(segment: bytes) -> np.ndarray:
     coder = _Lanes(blocks, 0, source, np.cumsum(table[:, 1]) - table[:, 1])
     got = _code(coder, table[:, 0], None)
     ids = np.concatenate([got[k, :n] for k, n in enumerate(table[:, 0])]).astype("<u4")
-    at = 0
-    for n, _, crc in table.tolist():
-        if zlib.crc32(ids[at : at + n].tobytes()) != crc:
+    at, byte = 0, start
+    for n, size, crc in table.tolist():
+        if zlib.crc32(segment[byte : byte + size], zlib.crc32(ids[at : at + n].tobytes())) != crc:
             raise Corrupt("a block's checksum is wrong")
-        at += n
+        at, byte = at + n, byte + size
     return ids
 
 
