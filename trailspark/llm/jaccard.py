@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +18,7 @@ from trailspark.llm.components import connected
 from trailspark.llm.shingles import mixed, shingle_set
 
 #: Shingle counts are kept in 2^SKETCH_BITS bytes that stop at 255; they only order the shingles, so any size is right.
-SKETCH_BITS = 25
+SKETCH_BITS = 24
 _BLOCK = 1 << 16
 #: Prefix shingles that two linked sets share at least (fewer for sets of fewer shingles).
 SHARED = 4
@@ -105,13 +106,13 @@ def _enough(common: str, a: str, b: str, num: int, den: int) -> Column:
     return F.col(common) >= F.least(F.lit(SHARED), F.ceil(F.least(a, b) * num / den))
 
 
-def _entries(docs: DataFrame, counts: np.ndarray, k: int, num: int, den: int, only: np.ndarray | None = None) -> DataFrame:
+def _entries(docs: DataFrame, counts: Broadcast, k: int, num: int, den: int, only: np.ndarray | None = None) -> DataFrame:
     """(token, set_id, n, score) of each set's prefix shingles, once a task and set.
 
     With a bitmap ``only``, of those in it, and of sets with as many there as a link needs; score is their share
     of the prefix in thousandths, highest for the text that copies were made from.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((counts, only))
+    bitmap = docs.sparkSession.sparkContext.broadcast(only)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # sets that this task has met
@@ -123,10 +124,10 @@ def _entries(docs: DataFrame, counts: np.ndarray, k: int, num: int, den: int, on
                     continue
                 if len(seen) < 2_000_000:
                     seen.add(own)
-                first = prefix(grams, shared.value[0], num, den)
+                first = prefix(grams, counts.value, num, den)
                 score = 1000
-                if shared.value[1] is not None:
-                    there = first[_in_bitmap(first, shared.value[1])]
+                if bitmap.value is not None:
+                    there = first[_in_bitmap(first, bitmap.value)]
                     if len(there) < least_shared(len(grams), num, den):
                         continue
                     first, score = there, 1000 * len(there) // len(first)
@@ -195,17 +196,6 @@ def _grams_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     return emitted.groupBy("set_id").agg(F.first("grams").alias("grams"))
 
 
-def _only(grams: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows of grams whose set_id is wanted, and a few others; keeps the rest out of a shuffle."""
-    shared = grams.sparkSession.sparkContext.broadcast(_bitmap(wanted.select("set_id").distinct()))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(_in_bitmap(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), shared.value)))
-
-    return grams.select("set_id", "grams").mapInArrow(run, "set_id long, grams binary")
-
-
 class PrefixTree:
     """Sets of ordered shingles as a trie: in sorted order, each shares its path with the one before up to ``common``."""
 
@@ -250,7 +240,7 @@ class PrefixTree:
         return found
 
 
-def _verified(pairs: DataFrame, grams: DataFrame, num: int, den: int) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Those of pairs (hub, member, n) of set ids that link. Members of one hub form tries of bounded size."""
     pairs = written(pairs)
     parts = pairs.groupBy("hub").agg((F.floor(F.sum("n") / _GROUP_GRAMS) + 1).alias("parts"))
@@ -258,7 +248,7 @@ def _verified(pairs: DataFrame, grams: DataFrame, num: int, den: int) -> DataFra
     dealt = pairs.join(parts, "hub").withColumn("part", F.pmod(F.xxhash64("member"), F.col("parts"))).withColumn("task", F.pmod(F.xxhash64("hub", "part"), F.lit(tasks)))
     members = dealt.select(F.col("member").alias("set_id"), "hub", "task", F.lit(False).alias("is_hub"))
     roles = written(members.unionByName(dealt.select(F.col("hub").alias("set_id"), "hub", "task", F.lit(True).alias("is_hub")).distinct()))
-    held = roles.join(_only(grams, roles), "set_id")
+    held = roles.join(_grams_of(docs, roles.select("set_id").distinct(), k), "set_id")
 
     def compare(batch: pd.DataFrame) -> pd.DataFrame:
         hubs, rest = batch[batch["is_hub"]], batch[~batch["is_hub"]]
@@ -274,21 +264,21 @@ def _verified(pairs: DataFrame, grams: DataFrame, num: int, den: int) -> DataFra
     return held.groupBy("task").applyInPandas(compare, "a long, b long")
 
 
-def _within(homes: DataFrame, grams: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) between sets of different labels that share a home (set_id, n, home, label).
+def _within(homes: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) that tie together the sets of each home (set_id, n, home) as far as they link.
 
     A home's sets are dealt into blocks of bounded size, and each pair of blocks meets in one task: one block as a
-    trie, the other's sets as probes. What is linked already, there or by label, isn't compared again.
+    trie, the other's sets as probes. What is tied together there isn't compared again.
     """
-    sizes = homes.groupBy("home").agg(F.count("*").alias("c"), F.sum("n").alias("all"), F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
+    sizes = homes.groupBy("home").agg(F.count("*").alias("c"), F.sum("n").alias("all")).where("c > 1")
     sizes = sizes.select("home", F.greatest(F.ceil(F.col("c") / _BLOCK_SETS), F.ceil(F.col("all") / _GROUP_GRAMS)).cast("int").alias("blocks"))
     own = homes.join(sizes, "home").withColumn("at", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
     dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("set_id", "n", "label", "home", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), (F.col("at") > F.col("other")).alias("probe"))
+    dealt = dealt.select("set_id", "n", "home", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), (F.col("at") > F.col("other")).alias("probe"))
     dealt = written(dealt)
     total = dealt.agg(F.count("*").alias("c"), F.sum("n").alias("n")).first()
     tasks = 1 + total["c"] // (4 * _BLOCK_SETS) + (total["n"] or 0) // _GROUP_GRAMS
-    held = dealt.join(_only(grams, dealt), "set_id").withColumn("task", F.pmod(F.xxhash64("home", "i", "j"), F.lit(tasks)))
+    held = dealt.join(_grams_of(docs, dealt.select("set_id").distinct(), k), "set_id").withColumn("task", F.pmod(F.xxhash64("home", "i", "j"), F.lit(tasks)))
 
     def compare(batch: pd.DataFrame) -> pd.DataFrame:
         a, b = [], []
@@ -298,9 +288,10 @@ def _within(homes: DataFrame, grams: DataFrame, num: int, den: int) -> DataFrame
             if not len(rows) or not len(probes):
                 continue
             tree = PrefixTree([np.frombuffer(g, dtype=np.uint64) for g in rows["grams"]])
-            ids, of = rows["set_id"].to_numpy()[tree.order], rows["label"].to_numpy()[tree.order].copy()
+            ids = rows["set_id"].to_numpy()[tree.order]
+            of = ids.copy()  # what each set is tied to so far
             places = np.arange(len(of))
-            mine = of if i == j else probes["label"].to_numpy().copy()
+            mine = of if i == j else probes["set_id"].to_numpy().copy()
             for p, raw in enumerate(tree.sets if i == j else probes["grams"]):
                 open_ = of != mine[p]
                 if i == j:
@@ -334,28 +325,25 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
 
     Two documents link when den * |x & y| >= num * |x | y| of their sets of k-word shingles; component_id is the
     smallest doc_id that links reach. Documents with equal sets are one set from the first pass on. The sets that
-    share a rare shingle are first compared with one of them, the hub; what a hub ties together needs no further
-    comparison. Each set has a home, the hub it has most prefix shingles in common with. Sets of one home meet in
-    blocks, as tries; sets of different homes and components are paired where they share as many prefix shingles as
+    share a rare shingle have a hub, the one of them whose prefix is shared most; each set's home is the hub it has
+    most prefix shingles in common with. Sets of one home meet in blocks, as tries; sets of different homes and components are paired where they share as many prefix shingles as
     a link needs. So no link between components is lost. Documents without words have an empty set and stand alone.
     Repeated rows are kept, each with its component.
     """
     rows = written(_sets(docs, k))
     info = rows.where("block is null").select("doc_id", "n", "set_id")
-    counts = _sketch(rows)
+    counts = docs.sparkSession.sparkContext.broadcast(_sketch(rows))
     common = _entries(docs, counts, k, num, den).groupBy("token").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high")).where("low != high").select("token")
     entries = written(_entries(docs, counts, k, num, den, _bitmap(common)).distinct())
-    grams = written(_grams_of(docs, entries.select("set_id").distinct(), k))
+    counts.unpersist()  # comes again where a lost executor's rows need it
 
-    hubs = entries.groupBy("token").agg(F.max(F.struct("score", "set_id", "n")).alias("hub"), F.count("*").alias("c")).where("c > 1").select("token", F.col("hub.set_id").alias("hub"), F.col("hub.n").alias("hub_n"))
-    tied = entries.join(hubs, "token").groupBy("set_id", "hub").agg(F.count("*").alias("common"), F.first("n").alias("n"), F.first("hub_n").alias("hub_n"))
-    near = F.when(similar("n", "hub_n", num, den) & _enough("common", "n", "hub_n", num, den) & (F.col("set_id") != F.col("hub")), F.struct("common", "hub"))
-    homes = written(tied.groupBy("set_id").agg(F.first("n").alias("n"), F.max(F.struct("common", "hub")).alias("home"), F.max(near).alias("near"), F.sum("common").alias("common")).where(F.col("common") >= F.least(F.lit(SHARED), F.ceil(F.col("n") * num / den))).select("set_id", "n", F.col("home.hub").alias("home"), F.col("near.hub").alias("hub")))
-    links = written(_verified(homes.where("hub is not null").select("hub", F.col("set_id").alias("member"), "n"), grams, num, den))
-    homes = written(_labelled(homes.drop("hub"), links))
-    links = written(links.unionByName(_within(homes, grams, num, den)))
+    hubs = entries.groupBy("token").agg(F.max(F.struct("score", "set_id")).alias("hub"), F.count("*").alias("c")).where("c > 1").select("token", F.col("hub.set_id").alias("hub"))
+    tied = entries.join(hubs, "token").groupBy("set_id", "hub").agg(F.count("*").alias("common"), F.first("n").alias("n"))
+    homes = tied.groupBy("set_id").agg(F.first("n").alias("n"), F.max(F.struct("common", "hub")).alias("home"), F.sum("common").alias("common"))
+    homes = written(homes.where(F.col("common") >= F.least(F.lit(SHARED), F.ceil(F.col("n") * num / den))).select("set_id", "n", F.col("home.hub").alias("home")))
+    links = written(_within(homes, docs, k, num, den))
 
-    homes = _labelled(homes.drop("label"), links)
+    homes = _labelled(homes, links)
     named = written(entries.drop("n", "score").join(homes, "set_id"))
     most = named.groupBy("token", "home").agg(F.count("*").alias("c"), F.min("label").alias("low"), F.max("label").alias("high"))
     most = most.groupBy("token").agg(F.max(F.struct("c", "home")).alias("m"), F.count("*").alias("homes"), F.min("low").alias("low"), F.max("high").alias("high")).where("homes > 1 and low != high").select("token", F.col("m.home").alias("most"))
@@ -363,7 +351,7 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
     a, b = left.where("home != most").alias("a"), left.alias("b")  # a token's most frequent home needs no pairs with itself
     pairs = a.join(b, "token").where("a.label != b.label and a.home != b.home and (b.home = b.most or a.set_id < b.set_id)").where(similar("a.n", "b.n", num, den))
     pairs = pairs.groupBy(F.least("a.set_id", "b.set_id").alias("hub"), F.greatest("a.set_id", "b.set_id").alias("member")).agg(F.count("*").alias("common"), F.first("a.n").alias("hub_n"), F.first("b.n").alias("n"))
-    last = _verified(pairs.where(_enough("common", "n", "hub_n", num, den)).select("hub", "member", F.greatest("n", "hub_n").alias("n")), grams, num, den)
+    last = _verified(pairs.where(_enough("common", "n", "hub_n", num, den)).select("hub", "member", F.greatest("n", "hub_n").alias("n")), docs, k, num, den)
     labels = connected(written(links.unionByName(last)))
 
     sets = info.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("least"))
