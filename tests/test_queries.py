@@ -1,6 +1,8 @@
 """Every registered query over the smallest tables, against its SQL where it has one."""
 
 import math
+import subprocess
+import sys
 from pathlib import Path
 
 import duckdb
@@ -57,6 +59,10 @@ def test_entry(spark):
     assert set(registry.QUERIES) <= set(__spark_entry__.queries())
 
 
+def test_the_registry_needs_no_session():
+    subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert e.queries() and e.oracle_sql()"], cwd=ROOT, check=True, timeout=120)
+
+
 def test_the_library_stands_without_its_optional_subpackage():
     for f in (ROOT / "trailspark").rglob("*.py"):
         if "llm" not in f.parts:

@@ -14,7 +14,7 @@ from trailspark.tables import table
 LIMIT, NEAR_KM, SUBSTRING = 100, 25.0, 3
 QUERY, LON, LAT = "an", -20.0, 64.5
 
-_RANK = F.expr("case kind when 'point' then 0 when 'polygon' then 1 else 2 end")
+_RANK = "case kind when 'point' then 0 when 'polygon' then 1 else 2 end"
 _HAV = "2 * {r} * asin(least(1.0, sqrt(pow(sin(radians({b}lat - {a}lat) / 2), 2) + cos(radians({a}lat)) * cos(radians({b}lat)) * pow(sin(radians({b}lon - {a}lon) / 2), 2))))"
 
 
@@ -24,7 +24,7 @@ def _scored(df: DataFrame, query: str) -> DataFrame:
     score = F.when(F.col("norm").startswith(query), 0).when(F.contains("norm", F.lit(" " + query)), 1)
     if len(query) >= SUBSTRING:
         score = score.when(F.contains("norm", F.lit(query)), 2)
-    return norm.withColumn("score", score).where("score is not null").withColumn("rank", _RANK)
+    return norm.withColumn("score", score).where("score is not null").withColumn("rank", F.expr(_RANK))
 
 
 def search(df: DataFrame, query: str, limit: int = LIMIT) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from trailspark.functions import geo
@@ -10,13 +10,15 @@ from trailspark.operators import sequence, spatial
 from trailspark.plans import adapters as A
 from trailspark.tables import table
 
-_W = Window.partitionBy("track").orderBy("ts", "i")
+
+def _in_order() -> WindowSpec:
+    return Window.partitionBy("track").orderBy("ts", "i")
 
 
 def _steps(spark: SparkSession, d: str) -> DataFrame:
     """Fixes with ``m``, metres from the one before."""
     f = A.fixes(spark, d)
-    prev = lambda c: F.lag(c).over(_W)
+    prev = lambda c: F.lag(c).over(_in_order())
     return f.withColumn("m", F.coalesce(geo.haversine_m(prev("lon"), prev("lat"), F.col("lon"), F.col("lat")), F.lit(0.0)))
 
 
@@ -32,8 +34,8 @@ def track_stats(spark: SparkSession, d: str) -> DataFrame:
 
 def cumulative_distance(spark: SparkSession, d: str) -> DataFrame:
     f = A.fixes(spark, d)
-    m = F.coalesce(geo.plane_m(F.lag("lon").over(_W), F.lag("lat").over(_W), F.col("lon"), F.col("lat")), F.lit(0.0))
-    return f.withColumn("m", m).select("i", F.round(F.sum("m").over(_W.rowsBetween(Window.unboundedPreceding, 0)), 2).alias("along"))
+    m = F.coalesce(geo.plane_m(F.lag("lon").over(_in_order()), F.lag("lat").over(_in_order()), F.col("lon"), F.col("lat")), F.lit(0.0))
+    return f.withColumn("m", m).select("i", F.round(F.sum("m").over(_in_order().rowsBetween(Window.unboundedPreceding, 0)), 2).alias("along"))
 
 
 def climb_fold(spark: SparkSession, d: str) -> DataFrame:
@@ -43,7 +45,7 @@ def climb_fold(spark: SparkSession, d: str) -> DataFrame:
 
 def spacing_sample(spark: SparkSession, d: str) -> DataFrame:
     """Positions kept so that they lie at least 250 m apart along the track."""
-    along = F.round(F.sum("m").over(_W.rowsBetween(Window.unboundedPreceding, 0)), 2)
+    along = F.round(F.sum("m").over(_in_order().rowsBetween(Window.unboundedPreceding, 0)), 2)
     rows = sequence.collected(_steps(spark, d).withColumn("along", along), "track", ["n"], ["along"])
     return rows.select("track", F.array_join(sequence.spaced(F.expr("transform(rows, r -> r.along)"), 250.0), ",").alias("kept"))
 
@@ -91,15 +93,15 @@ def repeat_coalesce(spark: SparkSession, d: str) -> DataFrame:
 def consecutive_dedupe(spark: SparkSession, d: str) -> DataFrame:
     """Fixes left after dropping those that round to the tile position of the one before."""
     f = A.fixes(spark, d).withColumn("x", geo.js_round(F.col("lon") * 1000)).withColumn("y", geo.js_round(F.col("lat") * 1000))
-    same = (F.lag("x").over(_W) == F.col("x")) & (F.lag("y").over(_W) == F.col("y"))
+    same = (F.lag("x").over(_in_order()) == F.col("x")) & (F.lag("y").over(_in_order()) == F.col("y"))
     return f.withColumn("same", F.coalesce(same, F.lit(False))).where("not same").groupBy("track").agg(F.count("*").alias("kept"))
 
 
 def delta_encode(spark: SparkSession, d: str) -> DataFrame:
     """Whole 1e-5 degrees as differences, and back as running sums; ``ok`` says that they agree."""
     e5 = A.fixes(spark, d).withColumn("e5", geo.js_round(F.col("lat") * 100000))
-    delta = e5.withColumn("delta", F.col("e5") - F.coalesce(F.lag("e5").over(_W), F.lit(0).cast("long")))
-    back = F.sum("delta").over(_W.rowsBetween(Window.unboundedPreceding, 0))
+    delta = e5.withColumn("delta", F.col("e5") - F.coalesce(F.lag("e5").over(_in_order()), F.lit(0).cast("long")))
+    back = F.sum("delta").over(_in_order().rowsBetween(Window.unboundedPreceding, 0))
     return delta.withColumn("back", back).groupBy("track").agg(F.sum(F.abs("delta")).alias("moved"), F.min((F.col("back") == F.col("e5")).cast("int")).alias("ok"))
 
 
@@ -114,7 +116,7 @@ def monotone_unwrap(spark: SparkSession, d: str) -> DataFrame:
 
 def turn_angles(spark: SparkSession, d: str) -> DataFrame:
     """Turns by kind: slight from 20, plain from 45, sharp from 135, u-turn from 170 degrees."""
-    f = A.fixes(spark, d).withColumn("turn", geo.turn(F.lag("heading").over(_W), F.col("heading"))).where("turn is not null")
+    f = A.fixes(spark, d).withColumn("turn", geo.turn(F.lag("heading").over(_in_order()), F.col("heading"))).where("turn is not null")
     a = F.abs("turn")
     kind = F.when(a < 20, "straight").when(a < 45, "slight").when(a < 135, "turn").when(a < 170, "sharp").otherwise("u-turn")
     return f.groupBy("track", kind.alias("kind"), (F.col("turn") > 0).alias("right")).agg(F.count("*").alias("n"), F.round(F.sum("turn"), 3).alias("sum"))
@@ -122,8 +124,8 @@ def turn_angles(spark: SparkSession, d: str) -> DataFrame:
 
 def close_turn_suppress(spark: SparkSession, d: str) -> DataFrame:
     """Instructions that aren't followed by another within 20 m."""
-    t = _steps(spark, d).withColumn("along", F.round(F.sum("m").over(_W.rowsBetween(Window.unboundedPreceding, 0)), 2))
-    gap = F.lead("along").over(_W) - F.col("along")
+    t = _steps(spark, d).withColumn("along", F.round(F.sum("m").over(_in_order().rowsBetween(Window.unboundedPreceding, 0)), 2))
+    gap = F.lead("along").over(_in_order()) - F.col("along")
     return t.withColumn("gap", gap).where("gap is null or gap >= 20").groupBy("track").agg(F.count("*").alias("kept"))
 
 
