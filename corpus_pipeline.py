@@ -25,8 +25,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without multi-line chunks that stand in an earlier place; n_chars follows the text."""
-    cut = linededup.dedup(docs)
+    """All documents, without runs of two or more lines that stand in an earlier place; n_chars follows the text."""
+    cut = linededup.dedup_passages(docs)
     return cut.select(*[F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 

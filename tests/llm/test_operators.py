@@ -269,6 +269,37 @@ def test_line_dedup_of_odd_rows(spark):
     assert linededup.dedup(odd_docs(spark).limit(0)).count() == 0
 
 
+def test_planted_passages_go_whole(spark):
+    import corpus_pipeline
+
+    rng = random.Random(18)
+    passages = [[f"planted {p} line {j}" for j in range(rng.randrange(2, 7))] for p in range(40)]
+    held = [(rng.sample(passages, 2), i) for i in range(120)]
+    texts = ["\n".join([f"own {i}", *a, f"between {i}", *b, f"tail {i}"]) for (a, b), i in held]
+    texts += ["x\nx\nx", "y\ny\ny\ny\ny", None, "", "one line", "own 0\nplanted", texts[3]]
+    df = docs_of(spark, texts).select("doc_id", "text")
+    con = duckdb.connect()
+    con.register("documents", df.toPandas())
+    want = con.execute(linededup.PASSAGE_SQL.format(docs="documents")).fetchall()
+    got = linededup.dedup_passages(df).select("doc_id", "text", "n_lines", "n_removed").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+    text, seen = {r["doc_id"]: r["text"] for r in got}, set()
+    assert {r["doc_id"]: r["text"] for r in corpus_pipeline.remove_repeated_lines(spark, df, SMALL).collect()} == text
+    for two, i in held:
+        left = [f"own {i}", *(() if two[0][0] in seen else two[0]), f"between {i}", *(() if two[1][0] in seen else two[1]), f"tail {i}"]
+        assert text[i] == "\n".join(left)
+        seen |= {p[0] for p in two}
+    assert [text[i] for i in range(120, 127)] == ["x\nx\nx", "y\ny", None, "", "one line", "own 0\nplanted", ""]
+
+
+def test_passages_of_odd_rows(spark):
+    rows = [(None, "a\nb\nc"), (None, "b\nc\nd"), (1, "p\nq"), (1, "p\nq\nr"), (2, "p\nq\nr")]
+    got = linededup.dedup_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r["n_removed"] for r in got) == [0, 0, 2, 2, 3]
+    assert linededup.dedup_passages(odd_docs(spark).withColumn("_gone", F.lit("old"))).count() == 10
+    assert linededup.dedup_passages(odd_docs(spark).limit(0)).count() == 0
+
+
 # 9 packing
 
 

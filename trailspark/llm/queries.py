@@ -104,6 +104,11 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op8_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 8 over whole passages: every document without any run of two or more lines that stands in an earlier place."""
+    return linededup.dedup_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 9: every document's tokens in windows of 2048; digests of the ids that the pieces hold."""
     pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -124,6 +129,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_lm_score": op6_lm_score,
     "op7_range_coder": op7_range_coder,
     "op8_line_dedup": op8_line_dedup,
+    "op8_passage_dedup": op8_passage_dedup,
     "op9_packing": op9_packing,
     "op10_jaccard_join": op10_jaccard_join,
 }
@@ -132,4 +138,5 @@ ORACLES: dict[str, str] = {
     "op1_topk_search": OP1_SQL,
     "op4_url_filter": OP4_SQL,
     "op8_line_dedup": linededup.SQL.format(docs="documents"),
+    "op8_passage_dedup": linededup.PASSAGE_SQL.format(docs="documents"),
 }
