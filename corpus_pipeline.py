@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailspark.llm import decontaminate, jaccard, langid, linededup, packing
-from trailspark.llm.common import table, written
+from trailspark.llm.common import free_name, table, written
 
 #: Bits a byte beyond which no learned language explains a text; prose stays below 4.
 MOST_BITS_PER_BYTE = 6.0
@@ -31,10 +31,17 @@ def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group that five-word shingles link at 0.8; repeated ids stay once."""
-    classes = jaccard.join(docs, k=5, num=80, den=100)
-    kept = classes.where("doc_id <=> component_id").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").dropDuplicates(["doc_id"])
+    """One row of each group that five-word shingles link at 0.8, with the smallest id; a null id comes last.
+
+    Rows are told apart by id and text together, so unlike texts stay under a null or repeated id and a copy goes
+    whatever its id is. Texts without words link to nothing: of these only rows with equal id and text become one.
+    """
+    key = free_name("_key", docs)
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    classes = jaccard.join(keyed.select(F.col(key).alias("doc_id"), "text"), k=5, num=80, den=100).select(F.col("doc_id").alias(key), "component_id")
+    ids = keyed.select(key, "doc_id").join(classes.distinct(), key)
+    kept = ids.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", key)).alias("first")).select(f"first.{key}")
+    return keyed.dropDuplicates([key]).join(kept, key, "left_semi").select(*[f"`{c}`" for c in docs.columns])
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

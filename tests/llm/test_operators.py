@@ -414,6 +414,22 @@ def test_pipeline_stages(spark):
     assert {r["doc_id"] for r in corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).collect()} == {r["doc_id"] for r in docs.collect()}
 
 
+def test_near_duplicates_go_by_text_not_by_id(spark):
+    import corpus_pipeline
+
+    words = lambda name, n=60: " ".join(f"{name}{j}" for j in range(n))
+    rows = [(None, words("a")), (None, words("b")), (None, words("b") + " more"), (None, words("c")), (7, words("d")), (7, words("e")), (3, words("f")), (7, words("f")), (9, words("g")), (None, words("g"))]
+    rows += [(5, words("h")), (5, words("h")), (1, "..."), (1, "!"), (1, "!"), (None, ""), (None, ""), (None, None)]
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, _key int")
+    left = corpus_pipeline.remove_near_duplicates(spark, docs, SMALL)
+    assert left.columns == docs.columns
+    got = Counter((r["doc_id"], r["text"]) for r in left.collect())
+    b = [(i, t) for i, t in got if t and t.startswith("b0 ")]
+    assert len(b) == 1 and b[0] in rows
+    want = [(None, words("a")), b[0], (None, words("c")), (7, words("d")), (7, words("e")), (3, words("f")), (9, words("g")), (5, words("h")), (1, "..."), (1, "!"), (None, ""), (None, None)]
+    assert got == Counter(want)
+
+
 def test_pipeline_of_odd_and_empty_tables(spark, tmp_path):
     import corpus_pipeline
 
