@@ -16,6 +16,7 @@ from tokenizers import Tokenizer
 
 from trailspark.llm import bitsliced, decontaminate, jaccard, langid, linededup, lm, packing, queries, rangecoder, toxicity, urlfilter
 from trailspark.llm.common import table
+from trailspark.llm.tokens import CachedEncoder
 
 SMALL, MORE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, label string, _text string, h int"
@@ -212,7 +213,7 @@ def test_base_scores_equal_the_formula(spark):
 
 def test_range_coder_round_trip_and_corruption():
     rng = np.random.default_rng(7)
-    for ids in (np.zeros(0, int), np.array([65535]), np.full(10_000, 3), rng.integers(0, 65_536, 9_001), rng.zipf(1.3, 20_000) % 49_408):
+    for ids in (np.zeros(0, int), np.array([65535]), np.array([(1 << 32) - 1, 0, 7]), np.full(10_000, 3), rng.integers(0, 65_536, 9_001), rng.integers(0, 1 << 32, 5_000), rng.zipf(1.3, 20_000) % 49_408):
         packed = rangecoder.compress(ids)
         assert rangecoder.decompress(packed).tolist() == ids.tolist()
         for k in (0, len(packed) // 2, len(packed) - 1):
@@ -222,8 +223,25 @@ def test_range_coder_round_trip_and_corruption():
                 rangecoder.decompress(bytes(bad))
         with pytest.raises(rangecoder.Corrupt):
             rangecoder.decompress(packed[:-1])
-    with pytest.raises(ValueError):
-        rangecoder.compress(np.array([70_000]))
+
+
+def test_mixed_orders_beat_order_nought():
+    """Ids that repeat in pairs cost less than their entropy one by one, and unlike blocks don't lean on each other."""
+    rng = np.random.default_rng(8)
+    follows = rng.integers(0, 1000, 1000)
+    ids = [0]
+    for _ in range(60_000):
+        ids.append(int(follows[ids[-1]]) if rng.random() < 0.7 else int(rng.integers(0, 1000)))
+    share = np.bincount(ids)[np.bincount(ids) > 0] / len(ids)
+    assert 8 * len(rangecoder.compress(np.array(ids))) < 0.9 * len(ids) * -(share * np.log2(share)).sum()
+
+
+def test_encoder_gives_what_the_library_gives():
+    texts = ["a\x1cb", "<|endoftext|> x <|endoftext|>", " x y\u0085z", " lead", "trail ", "É́ İI ΑΣ. Σ", "", "x" * 300 + " y", "it's. It's, 'tis.", "a.b. c.\n\n d,e, f", "Ünï. — a—. b2. ..", "x" * 5000 + ".", "\t tab\tbed", "THE the The. the,"]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        encoder = CachedEncoder(public_tokenizers.path(name), 10)
+        for _ in range(2):
+            assert encoder.encode(texts) == [encoder._direct([t])[0] for t in texts]
 
 
 def test_token_files_hold_what_the_library_gives(spark):
@@ -387,6 +405,13 @@ def test_components_of_odd_rows(spark):
     assert jaccard.join(odd_docs(spark).limit(0)).count() == 0
 
 
+def test_words_of_one_pattern_keep_apart(spark):
+    thue = "".join("ab"[bin(i).count("1") & 1] for i in range(4096))
+    texts = [t for n in (1024, 2048, 4096) for t in (thue[:n], thue[:n].translate({97: "b", 98: "a"}))] + ["a" * 5000, "A" * 5000, "a" * 5001]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.join(docs_of(spark, texts)).collect()}
+    assert got == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 6, 7: 6, 8: 8}
+
+
 def test_prefix_tree_equals_brute_force():
     rng = np.random.default_rng(10)
     sets = [np.unique(rng.integers(0, 40, rng.integers(1, 30))).astype(np.uint64) for _ in range(300)]

@@ -1,29 +1,26 @@
-"""64-bit fingerprints of word shingles, computed on whole texts with numpy inside tasks."""
+"""64-bit fingerprints of words and word shingles, computed on whole texts with numpy inside tasks."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import xxhash
 
 _RANDOM = np.random.default_rng(20_261)
-#: Odd multipliers, one for each word of a shingle, and one value for each byte, from a fixed seed.
+#: Odd multipliers, one for each word of a shingle, from a fixed seed.
 _FACTORS = _RANDOM.integers(1 << 62, (1 << 63) - 1, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BYTES = _RANDOM.integers(1, (1 << 64) - 1, 256, dtype=np.uint64)
-_BYTES[65:91] = _BYTES[97:123]  # A-Z count as a-z
+#: A value for each byte.
+PLAIN = _RANDOM.integers(1, (1 << 64) - 1, 256, dtype=np.uint64)
+#: The same, with A-Z counted as a-z.
+FOLDED = PLAIN.copy()
+FOLDED[65:91] = PLAIN[97:123]
+#: An odd multiplier for each place in a word; longer words are hashed apart.
+_PLACES = _RANDOM.integers(0, (1 << 63) - 1, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_BASE = 0x9E3779B97F4A7C15
-_UNDO = pow(_BASE, -1, 1 << 64)
-_powers = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
-
-
-def _to(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0 to n at least of the base and of its inverse, modulo 2^64."""
-    if len(_powers[0]) <= n:
-        for k, base in enumerate((_BASE, _UNDO)):
-            p = np.full(2 * n + 1, base, dtype=np.uint64)
-            p[0] = 1
-            _powers[k] = np.multiply.accumulate(p)
-    return _powers[0], _powers[1]
+#: Bytes of a text that are worked on at once.
+_PIECE = 1 << 20
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -32,17 +29,45 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def fingerprints(raw: np.ndarray, start: np.ndarray, end: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Fingerprints of the parts of ``raw`` from start to end, in order and without overlap; never nought.
+
+    The sum of the bytes' values times an independent multiplier for each place, which no pattern of bytes defeats
+    as it does a polynomial modulo 2^64. Parts of more than 4096 bytes are hashed by xxh3.
+    """
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    begin, body = int(start[0]), raw[start[0] :]
+    place = np.arange(len(body)) - np.repeat(start - begin, np.diff(start, append=len(raw)))
+    total = np.zeros(len(body) + 1, np.uint64)
+    np.cumsum(values[body] * _PLACES[place & 4095], out=total[1:])
+    size = end - start
+    out = mixed(total[end - begin] - total[start - begin] + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    for k in np.flatnonzero(size > 4096).tolist():
+        out[k] = xxhash.xxh3_64_intdigest(values[raw[start[k] : end[k]]].tobytes())
+    return np.maximum(out, np.uint64(1))
+
+
+def _pieces(raw: np.ndarray) -> Iterator[np.ndarray]:
+    """raw in pieces of about _PIECE bytes that end behind white space."""
+    begin = 0
+    while len(raw) - begin > _PIECE:
+        end = begin + _PIECE
+        while end < len(raw) and not _SPACE[raw[end - 1]]:
+            gap = np.flatnonzero(_SPACE[raw[end : end + _PIECE]])
+            end = end + int(gap[0]) + 1 if len(gap) else min(len(raw), end + _PIECE)
+        yield raw[begin:end]
+        begin = end
+    yield raw[begin:]
+
+
 def word_hashes(text: bytes) -> np.ndarray:
-    """A fingerprint of each word: its bytes' values times rising powers of an odd base, moved to power 0."""
-    raw = np.frombuffer(text, dtype=np.uint8)
-    edge = np.flatnonzero(np.diff(_SPACE[raw].view(np.int8), prepend=1, append=1))
-    if not len(edge):
-        return np.zeros(0, dtype=np.uint64)
-    start, end = edge[::2], edge[1::2]
-    up, down = _to(len(raw))
-    total = np.zeros(len(raw) + 1, dtype=np.uint64)
-    np.cumsum(_BYTES[raw] * up[: len(raw)], out=total[1:])
-    return mixed((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+    """A fingerprint of each word of a text, A-Z as a-z."""
+    out = []
+    for raw in _pieces(np.frombuffer(text, dtype=np.uint8)):
+        edge = np.flatnonzero(np.diff(_SPACE[raw].view(np.int8), prepend=1, append=1))
+        out.append(fingerprints(raw, edge[::2], edge[1::2], FOLDED))
+    return out[0] if len(out) == 1 else np.concatenate(out)
 
 
 def rolling(text: bytes, k: int) -> np.ndarray:
