@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from trailspark.llm.common import written
 from trailspark.llm.components import connected
-from trailspark.llm.shingles import mixed, shingle_set
+from trailspark.llm.shingles import mixed, shingle_sets
 
 #: Shingle counts are kept in 2^SKETCH_BITS bytes that stop at 255; they only order the shingles, so any size is right.
 SKETCH_BITS = 24
@@ -26,6 +27,8 @@ SHARED = 4
 _GROUP_GRAMS = 1_000_000
 #: Sets in a block; a task compares two blocks.
 _BLOCK_SETS = 400
+#: Rows of a few numbers that a side of a join may have at most to be broadcast.
+_SMALL = 500_000
 
 
 def _set_id(grams: np.ndarray) -> int:
@@ -44,8 +47,7 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
         counts = np.zeros(1 << SKETCH_BITS, dtype=np.uint8)
         for batch in batches:
             sizes, ids = [], []
-            for text in batch.column(1).to_pylist():
-                grams = shingle_set(text or b"", k)
+            for grams in shingle_sets([t or b"" for t in batch.column(1).to_pylist()], k):
                 sizes.append(len(grams))
                 ids.append(_set_id(grams) if len(grams) else None)
                 at = _slots(grams)
@@ -118,8 +120,7 @@ def _entries(docs: DataFrame, counts: Broadcast, k: int, num: int, den: int, onl
         seen: set[int] = set()  # sets that this task has met
         for batch in batches:
             tokens, owners, sizes, scores = [], [], [], []
-            for text in batch.column(0).to_pylist():
-                grams = shingle_set(text or b"", k)
+            for grams in shingle_sets([t or b"" for t in batch.column(0).to_pylist()], k):
                 if not len(grams) or (own := _set_id(grams)) in seen:
                     continue
                 if len(seen) < 2_000_000:
@@ -141,6 +142,18 @@ def _entries(docs: DataFrame, counts: Broadcast, k: int, num: int, den: int, onl
     return docs.select(F.col("text").cast("string").cast("binary")).mapInArrow(run, "token long, set_id long, n int, score int")
 
 
+def _shared(entries: DataFrame, num: int, den: int) -> DataFrame:
+    """The tokens that sets of sizes that can link may share: more than one set has them, and not just two of unlike sizes.
+
+    A set goes by the logarithm of its size, in the upper ten bits, and 54 bits of its identity.
+    """
+    level = F.floor(F.log(F.col("n").cast("double")) * 32).cast("long")
+    own = F.shiftleft(level, 54).bitwiseOR(F.shiftrightunsigned("set_id", 10))
+    seen = entries.select("token", own.alias("own")).groupBy("token").agg(F.min("own").alias("low"), F.max("own").alias("high"), F.count("*").alias("c"))
+    apart = F.shiftright("high", 54) - F.shiftright("low", 54)
+    return seen.where((F.col("low") != F.col("high")) & ((F.col("c") > 2) | (apart <= math.floor(32 * math.log(den / num)) + 1))).select("token")
+
+
 #: Bits of the bitmaps that keep what can't match out of shuffles; a full one would only keep less out.
 _BITS = 1 << 25
 
@@ -173,16 +186,21 @@ def _bitmap(values: DataFrame) -> np.ndarray:
     return bitmap
 
 
-def _grams_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """set_id and shingles of the wanted sets (set_id); a few others may come too."""
+def _small(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if it has few rows, else shuffled like any other; df is a written table."""
+    return F.broadcast(df) if df.count() <= _SMALL else df
+
+
+def _with_grams(docs: DataFrame, dealt: DataFrame, k: int) -> DataFrame:
+    """The rows of dealt (set_id and more) with the set's shingles; some rows come twice."""
+    wanted = dealt.select("set_id").distinct()
     shared = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             ids, found = [], []
-            for text in batch.column(0).to_pylist():
-                grams = shingle_set(text or b"", k)
+            for grams in shingle_sets([t or b"" for t in batch.column(0).to_pylist()], k):
                 if not len(grams) or (own := _set_id(grams)) in seen:
                     continue
                 if _in_bitmap(np.array([own], dtype=np.int64).view(np.uint64), shared.value)[0]:
@@ -193,7 +211,7 @@ def _grams_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.binary())], names=["set_id", "grams"])
 
     emitted = docs.select(F.col("text").cast("string").cast("binary")).mapInArrow(run, "set_id long, grams binary")
-    return emitted.groupBy("set_id").agg(F.first("grams").alias("grams"))
+    return emitted.join(_small(dealt), "set_id")
 
 
 class PrefixTree:
@@ -248,9 +266,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) ->
     dealt = pairs.join(parts, "hub").withColumn("part", F.pmod(F.xxhash64("member"), F.col("parts"))).withColumn("task", F.pmod(F.xxhash64("hub", "part"), F.lit(tasks)))
     members = dealt.select(F.col("member").alias("set_id"), "hub", "task", F.lit(False).alias("is_hub"))
     roles = written(members.unionByName(dealt.select(F.col("hub").alias("set_id"), "hub", "task", F.lit(True).alias("is_hub")).distinct()))
-    held = roles.join(_grams_of(docs, roles.select("set_id").distinct(), k), "set_id")
+    held = _with_grams(docs, roles, k)
 
     def compare(batch: pd.DataFrame) -> pd.DataFrame:
+        batch = batch.drop_duplicates(["set_id", "hub", "is_hub"])
         hubs, rest = batch[batch["is_hub"]], batch[~batch["is_hub"]]
         own, a, b = dict(zip(hubs["set_id"], hubs["grams"])), [], []
         for name, some in rest.groupby("hub", sort=False).indices.items():
@@ -278,10 +297,11 @@ def _within(homes: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> Da
     dealt = written(dealt)
     total = dealt.agg(F.count("*").alias("c"), F.sum("n").alias("n")).first()
     tasks = 1 + total["c"] // (4 * _BLOCK_SETS) + (total["n"] or 0) // _GROUP_GRAMS
-    held = dealt.join(_grams_of(docs, dealt.select("set_id").distinct(), k), "set_id").withColumn("task", F.pmod(F.xxhash64("home", "i", "j"), F.lit(tasks)))
+    held = _with_grams(docs, dealt, k).withColumn("task", F.pmod(F.xxhash64("home", "i", "j"), F.lit(tasks)))
 
     def compare(batch: pd.DataFrame) -> pd.DataFrame:
         a, b = [], []
+        batch = batch.drop_duplicates(["set_id", "home", "i", "j"])
         for (_, i, j), some in batch.groupby(["home", "i", "j"], sort=False).indices.items():
             part = batch.iloc[some]
             rows, probes = (part, part) if i == j else (part[~part["probe"]], part[part["probe"]])
@@ -310,6 +330,18 @@ def _within(homes: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> Da
     return held.groupBy("task").applyInPandas(compare, "a long, b long")
 
 
+def _homes(entries: DataFrame, num: int, den: int) -> DataFrame:
+    """(set_id, n, home) of the sets that share as many prefix shingles with others as a link needs.
+
+    A token's hub is the one of its sets whose prefix is shared most; a set's home is the hub that it has most tokens
+    in common with.
+    """
+    hubs = entries.groupBy("token").agg(F.max(F.struct("score", "set_id")).alias("hub"), F.count("*").alias("c")).where("c > 1").select("token", F.col("hub.set_id").alias("hub"))
+    tied = entries.join(hubs, "token").groupBy("set_id", "hub").agg(F.count("*").alias("common"), F.first("n").alias("n"))
+    homes = tied.groupBy("set_id").agg(F.first("n").alias("n"), F.max(F.struct("common", "hub")).alias("home"), F.sum("common").alias("common"))
+    return homes.where(F.col("common") >= F.least(F.lit(SHARED), F.ceil(F.col("n") * num / den))).select("set_id", "n", F.col("home.hub").alias("home"))
+
+
 def similar(a: str, b: str, num: int, den: int) -> Column:
     """Whether two sizes allow a link."""
     return den * F.least(a, b) >= num * F.greatest(a, b)
@@ -333,21 +365,19 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
     rows = written(_sets(docs, k))
     info = rows.where("block is null").select("doc_id", "n", "set_id")
     counts = docs.sparkSession.sparkContext.broadcast(_sketch(rows))
-    common = _entries(docs, counts, k, num, den).groupBy("token").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high")).where("low != high").select("token")
+    common = _shared(_entries(docs, counts, k, num, den), num, den)
     entries = written(_entries(docs, counts, k, num, den, _bitmap(common)).distinct())
     counts.unpersist()  # comes again where a lost executor's rows need it
 
-    hubs = entries.groupBy("token").agg(F.max(F.struct("score", "set_id")).alias("hub"), F.count("*").alias("c")).where("c > 1").select("token", F.col("hub.set_id").alias("hub"))
-    tied = entries.join(hubs, "token").groupBy("set_id", "hub").agg(F.count("*").alias("common"), F.first("n").alias("n"))
-    homes = tied.groupBy("set_id").agg(F.first("n").alias("n"), F.max(F.struct("common", "hub")).alias("home"), F.sum("common").alias("common"))
-    homes = written(homes.where(F.col("common") >= F.least(F.lit(SHARED), F.ceil(F.col("n") * num / den))).select("set_id", "n", F.col("home.hub").alias("home")))
+    homes = written(_homes(entries, num, den))
     links = written(_within(homes, docs, k, num, den))
 
-    homes = _labelled(homes, links)
-    named = written(entries.drop("n", "score").join(homes, "set_id"))
-    most = named.groupBy("token", "home").agg(F.count("*").alias("c"), F.min("label").alias("low"), F.max("label").alias("high"))
-    most = most.groupBy("token").agg(F.max(F.struct("c", "home")).alias("m"), F.count("*").alias("homes"), F.min("low").alias("low"), F.max("high").alias("high")).where("homes > 1 and low != high").select("token", F.col("m.home").alias("most"))
-    left = written(named.join(most, "token"))
+    homes = written(_labelled(homes, links))
+    named = written(entries.drop("n", "score").join(_small(homes), "set_id"))
+    open_ = written(named.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("token"))
+    left = written(named.join(_small(open_), "token"))
+    most = left.groupBy("token", "home").agg(F.count("*").alias("c")).groupBy("token").agg(F.max(F.struct("c", "home")).alias("m"), F.count("*").alias("homes")).where("homes > 1").select("token", F.col("m.home").alias("most"))
+    left = written(left.join(most, "token"))
     a, b = left.where("home != most").alias("a"), left.alias("b")  # a token's most frequent home needs no pairs with itself
     pairs = a.join(b, "token").where("a.label != b.label and a.home != b.home and (b.home = b.most or a.set_id < b.set_id)").where(similar("a.n", "b.n", num, den))
     pairs = pairs.groupBy(F.least("a.set_id", "b.set_id").alias("hub"), F.greatest("a.set_id", "b.set_id").alias("member")).agg(F.count("*").alias("common"), F.first("a.n").alias("hub_n"), F.first("b.n").alias("n"))

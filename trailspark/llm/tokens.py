@@ -14,7 +14,7 @@ import re
 
 import numpy as np
 
-from trailspark.llm.shingles import FOLDED, PLAIN, fingerprints
+from trailspark.llm.shingles import fingerprints
 
 _OTHER_SPACE = re.compile(r"[^\S \n]")
 #: Space to one side only: str.split, the word patterns, or one byte and not another.
@@ -103,7 +103,7 @@ class CachedEncoder:
         blank, both, x, y, upper = self._direct([" \n\t ", "x \n y", "x", "y", "X"])
         self.drops_space = not blank and both == x + y
         self.odd = _ODD_SPACE if self.drops_space else _OTHER_SPACE
-        self.values = FOLDED if upper == x else PLAIN
+        self.lowers = upper == x
         self.limit, self.table = limit, _Table()
 
     def _direct(self, texts: list[str]) -> list[bytes]:
@@ -160,9 +160,11 @@ class CachedEncoder:
         joined = b"".join(texts)
         if not joined:
             return [b""] * len(texts)
+        if self.lowers:
+            joined = joined.lower()  # A-Z alone
         raw, begins = np.frombuffer(joined, np.uint8), np.cumsum(sizes) - sizes
         start, end = self._parts(raw, begins[sizes > 0])
-        code = fingerprints(raw, start, end, self.values)
+        code = fingerprints(raw, start, end)
         table = self.table
         slot, hit = table.find(code)
         first, count = table.first[slot].astype(np.int64), table.count[slot].astype(np.int64)
