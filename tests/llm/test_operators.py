@@ -55,6 +55,15 @@ def test_top_k_equals_brute_force(spark):
     assert sorted(map(tuple, got.collect())) == best_by_force(rows, lambda q: q % 10 == 0, 5)
 
 
+def test_top_k_keeps_repeated_rows_and_refuses_overflow(spark):
+    rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (1, [0.9, 0.9]), (1, [0.9, 0.9]), (2, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert [tuple(r) for r in bitsliced.top_k(df, F.col("vec_id") == 0).orderBy("rank").collect()] == [(0, 1, 1, 58880), (0, 2, 1, 58880), (0, 3, 1, 32768), (0, 4, 2, 0)]
+    assert bitsliced.top_k(df, F.col("vec_id") == 1).count() == 4  # two distinct vectors, two candidates each
+    with pytest.raises(Exception, match="too large"):
+        bitsliced.top_k(df.unionByName(spark.createDataFrame([(3, [1e30, 0.0])], df.schema)), F.col("vec_id") == 0).collect()
+
+
 def test_top_k_of_nothing(spark):
     assert bitsliced.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") == 0).count() == 0
 
@@ -304,8 +313,10 @@ def test_line_dedup_equals_its_sql(spark):
 
 
 def test_line_dedup_of_odd_rows(spark):
-    got = linededup.dedup(odd_docs(spark).withColumn("n_lines", F.lit("old")).withColumn("_gone", F.lit("old")))
-    assert got.count() == 10
+    given = odd_docs(spark).withColumn("n_lines", F.lit("old")).withColumn("_gone", F.lit("old")).withColumn("_k", F.col("doc_id") + 1)
+    got = linededup.dedup(given)
+    assert got.count() == 10 and got.columns == [*(c for c in given.columns if c != "n_lines"), "n_lines", "n_removed"]
+    assert all(r["_gone"] == "old" and (r["doc_id"] is None or r["_k"] == r["doc_id"] + 1) for r in got.collect())
     assert {r["text"] for r in got.where("doc_id in (2, 4, 6)").collect()} == {"", "short one", "...!!!"}
     assert linededup.dedup(odd_docs(spark).limit(0)).count() == 0
 

@@ -115,28 +115,32 @@ class SlicedBlock:
 
 
 def quantised(embedding: Column) -> Column:
-    """floor(256 * x) of each component as long; null for vectors that are null or hold null or non-finite components."""
+    """floor(256 * x) of each component as long; null for vectors that are null or hold null or non-finite components.
+
+    A component that is so large that a product of two such vectors might not fit 64 bits is an error.
+    """
     vector = embedding.cast("array<double>")
     fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    return F.when(fine, F.transform(vector, lambda x: F.floor(x * 256).cast("long")))
+    limit = F.sqrt(F.lit(2.0**62) / F.size(vector)) / 256 - 1
+    inside = F.forall(vector, lambda x: F.abs(x) < limit)
+    return F.when(fine & (F.size(vector) > 0), F.when(inside, F.transform(vector, lambda x: F.floor(x * 256).cast("long"))).otherwise(F.raise_error(F.lit("a component is too large for scores of 64 bits"))))
 
 
 def top_k(vectors: DataFrame, queries: Column, k: int = 5, block_rows: int = 16_384, block_queries: int = 512, bits: int = 5) -> DataFrame:
     """query_id, rank, vec_id and score of each query's k highest integer inner products; ties to smaller vec_id.
 
     vectors: vec_id and embedding; queries: a condition on vec_id. A query's own vec_id is no candidate. Vectors
-    that ``quantised`` refuses, empty ones and null ids take no part; repeated rows of one vec_id count once (the
-    smallest vector), and shorter vectors count as filled up with zeros. Blocks of rows meet blocks of queries,
-    both of bounded size and dealt by a hash of the id; each pair of blocks gives k rows a query at most.
-    Scores must fit 64 bits.
+    that ``quantised`` refuses, empty ones and null ids take no part. Every row is a candidate, so a vec_id that comes
+    with several rows may come several times in an answer; each distinct vector of a query's vec_id is a query of its
+    own. Shorter vectors count as filled up with zeros. Blocks of rows meet blocks of queries, both of bounded size
+    and dealt by a hash; each pair of blocks gives k rows a query at most.
     """
     given = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), quantised(F.col("embedding")).alias("v")).where("v is not null and size(v) > 0 and vec_id is not null")
-    known = written(given.groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("is_query", F.coalesce(queries, F.lit(False))))
-    counts = known.agg(F.count("*").alias("n"), F.sum(F.col("is_query").cast("long")).alias("q")).first()
-    blocks, groups = max(1, -(-counts["n"] // block_rows)), max(1, -(-(counts["q"] or 0) // block_queries))
-    number = F.xxhash64("vec_id")
-    rows = known.select(F.pmod(number, F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"), "vec_id", "v")
-    asked = known.where("is_query").select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(groups)).cast("int").alias("group"), "vec_id", "v")
+    known = written(given.withColumn("number", F.xxhash64("vec_id", "v", F.monotonically_increasing_id())))
+    query = written(known.where(queries).select("vec_id", "v").distinct().withColumn("query", F.xxhash64("vec_id", "v")))
+    blocks, groups = max(1, -(-known.count() // block_rows)), max(1, -(-query.count() // block_queries))
+    rows = known.select(F.pmod("number", F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"), "vec_id", "v")
+    asked = query.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.pmod("query", F.lit(groups)).cast("int").alias("group"), "query", "vec_id", "v")
 
     def compare(key: tuple, candidates: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
@@ -145,17 +149,17 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, block_rows: int = 16_
             wide = lambda vs: np.array([np.pad(v, (0, width - len(v))) for v in vs], dtype=np.int64)
             ids = candidates["vec_id"].to_numpy()
             block = SlicedBlock(wide(candidates["v"]), bits)
-            for query_id, q in zip(asked["vec_id"], wide(asked["v"])):
-                some = block.candidates(q, k + 1, bits)
+            for query, query_id, q in zip(asked["query"], asked["vec_id"], wide(asked["v"])):
+                some = block.candidates(q, k + int((ids == query_id).sum()), bits)
                 some = some[ids[some] != query_id]
                 scores = block.values[some] @ q
                 if len(some) > k:  # boundary rows, with all that tie
                     keep = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
                     some, scores = some[keep], scores[keep]
                 best = np.lexsort((ids[some], -scores))[:k]
-                out += [(query_id, ids[some[i]], scores[i]) for i in best]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
+                out += [(query, query_id, ids[some[i]], scores[i]) for i in best]
+        return pd.DataFrame(out, columns=["query", "query_id", "vec_id", "score"]).astype("int64")
 
-    met = rows.groupBy("block", "group").cogroup(asked.groupBy("block", "group")).applyInPandas(compare, "query_id long, vec_id long, score long")
-    ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+    met = rows.groupBy("block", "group").cogroup(asked.groupBy("block", "group")).applyInPandas(compare, "query long, query_id long, vec_id long, score long")
+    ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

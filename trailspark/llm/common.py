@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trailspark.tables import shared_folder, table, written
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["bounded_share", "free_name", "in_share", "remainder", "shared_folder", "table", "written"]
 
 
 def remainder(doc_id: Column | str, n: int) -> Column:
@@ -18,22 +16,6 @@ def remainder(doc_id: Column | str, n: int) -> Column:
     return F.coalesce(F.crc32(col.cast("string").cast("binary")) % n, F.lit(-1).cast("long"))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new path under spark.checkpoint.dir; a default is set only where the session has none (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "/tmp/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again: later jobs and retries start from there."""
-    spark, path = df.sparkSession, shared_folder(df.sparkSession)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def free_name(name: str, df: DataFrame) -> str:
     """name, or one with further underscores that no column of df has."""
     taken = {c.lower() for c in df.columns}

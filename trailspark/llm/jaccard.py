@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailspark.llm.common import written
-from trailspark.llm.components import connected
 from trailspark.llm.shingles import mixed, shingle_sets
+from trailspark.operators import graph
 
 #: Shingle counts are kept in 2^SKETCH_BITS bytes that stop at 255; they only order the shingles, so any size is right.
 SKETCH_BITS = 24
@@ -347,6 +347,11 @@ def similar(a: str, b: str, num: int, den: int) -> Column:
     return den * F.least(a, b) >= num * F.greatest(a, b)
 
 
+def connected(links: DataFrame) -> DataFrame:
+    """node and label, the least node of its component, for the nodes of links (a, b)."""
+    return graph.connected(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+
+
 def _labelled(sets: DataFrame, links: DataFrame) -> DataFrame:
     """Every row of sets with the label of its component."""
     return sets.join(connected(links).withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))

@@ -49,19 +49,19 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield pd.DataFrame({"lang": lang, "size": order, "code": code, "n": n.astype(np.int64)})
 
 
-def fit(labelled: DataFrame, max_docs_per_language: int = 1500, max_contexts: int = 12_000, min_count: int = 3) -> Model | None:
+def fit(labelled: DataFrame, max_docs_per_language: int = 1500, max_contexts: int = 4000, min_count: int = 3) -> Model | None:
     """Count byte contexts of a bounded sample of labelled documents and freeze their code lengths.
 
-    The sample holds about ``max_docs_per_language`` whole documents of each language, chosen by a hash of their
-    text; with fewer, all. Contexts seen fewer than ``min_count`` times, and those beyond the
-    ``max_contexts`` most frequent ones, are left to their shorter suffix. None if nothing is labelled.
+    The sample holds about ``max_docs_per_language`` distinct whole texts of each language, chosen by a hash; with
+    fewer, all. Contexts seen fewer than ``min_count`` times in a language, and those beyond its ``max_contexts`` most
+    frequent ones, are left to their shorter suffix, unless another language keeps them. None if nothing is labelled.
     """
     known = labelled.where("text is not null and lang is not null and text != ''").select("text", "lang")
-    totals = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    totals = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.countDistinct(F.xxhash64("text")).alias("n")).collect()}
     if not totals:
         return None
     shares = F.create_map(*[F.lit(x) for k, n in totals.items() for x in (k, bounded_share(n, max_docs_per_language))])
-    sample = known.where(in_share("text", shares[F.col("lang")]))
+    sample = known.where(in_share("text", shares[F.col("lang")])).dropDuplicates(["lang", "text"])
     counts = sample.mapInPandas(_counted, "lang string, size int, code long, n long").groupBy("lang", "size", "code").agg(F.sum("n").alias("n")).toPandas()
     return None if counts.empty else frozen(counts, max_contexts, min_count)
 
@@ -78,10 +78,10 @@ def frozen(counts: pd.DataFrame, max_contexts: int, min_count: int) -> Model:
     symbol[seen] = np.arange(len(seen))
     symbols = len(seen) + 1
 
-    totals = counts.assign(context=counts["code"] // 256).groupby(["size", "context"], as_index=False)["n"].sum()
+    totals = counts.assign(context=counts["code"] // 256).groupby(["lang", "size", "context"], as_index=False)["n"].sum()
     totals = totals[(totals["size"] > 0) & (totals["n"] >= min_count)].sort_values(["n", "size", "context"], ascending=[False, True, True])
     kept: dict[tuple[int, int], int] = {(0, 0): 0}
-    for size, context in totals[["size", "context"]].head(max_contexts).itertuples(index=False):
+    for size, context in totals.groupby("lang").head(max_contexts)[["size", "context"]].itertuples(index=False):
         kept[int(size), int(context)] = 0
     order = sorted(kept)  # shorter contexts first
     kept = {key: k for k, key in enumerate(order)}
@@ -112,7 +112,7 @@ def _suffix_row(kept: dict[tuple[int, int], int], size: int, context: int) -> in
     return kept[size, context & ((1 << (8 * size)) - 1)]
 
 
-def code_lengths(model: Model, texts: list[bytes], step: int = 1 << 20) -> np.ndarray:
+def code_lengths(model: Model, texts: list[bytes], step: int = 1 << 18) -> np.ndarray:
     """Bits of each whole text in each language: (texts, languages)."""
     out = np.zeros((len(texts), len(model.languages)))
     group: list[int] = []

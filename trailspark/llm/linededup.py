@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailspark.llm.common import written
+from trailspark.llm.common import free_name, written
 
 #: Weight of the line before in the rolling hash.
 FACTOR = 131
@@ -38,10 +38,13 @@ def _windows(docs: DataFrame, min_lines: int) -> DataFrame:
     return each.select("_doc", "_text_hash", "w.a", F.expr(f"w.a + {min_lines - 1}").alias("b"), "w.h")
 
 
-def _keyed(docs: DataFrame) -> tuple[DataFrame, list[str]]:
-    """docs with _doc and _text_hash, which tell texts apart, and the columns that are handed on."""
-    columns = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed", "_doc", "_text_hash", "_gone", "_l", "_k")]
-    return docs.select(*[f"`{c}`" for c in columns]).withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))).withColumn("_text_hash", F.xxhash64("text")), columns
+def _keyed(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with _doc and _text_hash, which tell texts apart, and the columns that are handed on: name while at work, own name."""
+    columns: dict[str, str] = {}
+    for c in docs.columns:
+        if c.lower() not in ("n_lines", "n_removed"):
+            columns[free_name(f"{c}_", docs) if c.lower() in ("_doc", "_text_hash", "_gone", "_l", "_k") else c] = c
+    return docs.select(*[F.col(f"`{c}`").alias(name) for name, c in columns.items()]).withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))).withColumn("_text_hash", F.xxhash64("text")), columns
 
 
 def _repeats(keyed: DataFrame, chunks: DataFrame, order: list[str]) -> DataFrame:
@@ -59,13 +62,13 @@ def _repeats(keyed: DataFrame, chunks: DataFrame, order: list[str]) -> DataFrame
     return rest.select("r._doc", "r._text_hash", "r.a", "r.b")
 
 
-def _cut(keyed: DataFrame, gone: DataFrame, columns: list[str]) -> DataFrame:
+def _cut(keyed: DataFrame, gone: DataFrame, columns: dict[str, str]) -> DataFrame:
     """The columns without the lines that _gone lists by first and last, with n_lines and n_removed."""
     cut = keyed.join(gone, ["_doc", "_text_hash"], "left")
     with_lines = cut.select(*[f"`{c}`" for c in columns], "_gone", F.explode(F.array(F.expr(_lines("text")))).alias("_l"))
     n_lines = F.expr("if(text is null, 0, size(_l))")
     kept = with_lines.withColumn("_k", F.expr("if(_gone is null, _l, filter(_l, (x, i) -> not exists(_gone, g -> i + 1 between g.a and g.b)))"))
-    out = [F.expr("if(text is null, null, if(_gone is null, text, array_join(_k, '\\n')))").alias("text") if c == "text" else F.col(f"`{c}`") for c in columns]
+    out = [F.expr("if(text is null, null, if(_gone is null, text, array_join(_k, '\\n')))").alias("text") if c == "text" else F.col(f"`{name}`").alias(c) for name, c in columns.items()]
     return kept.select(*out, n_lines.alias("n_lines"), F.expr("if(_gone is null, 0, size(_l) - size(_k))").alias("n_removed"))
 
 
@@ -75,8 +78,7 @@ def dedup(docs: DataFrame, divisor: int = 3, min_lines: int = 2) -> DataFrame:
     Lines are what "\\n" separates. A chunk of min_lines or more lines that stands elsewhere with the same bytes is
     kept where it comes first, by doc_id and then by position, and removed everywhere else. Chunks that meet by
     hash are compared byte by byte. Rows with equal doc_id and text are treated alike; a null doc_id comes last; a
-    null text stays null with 0 lines; a text may become empty. Columns n_lines and n_removed in docs are replaced, and
-    _doc, _text_hash, _gone, _l and _k, which are used inside, are left out.
+    null text stays null with 0 lines; a text may become empty. Columns n_lines and n_removed in docs are replaced.
 
     Only hashes are shuffled to find repeats; texts move once for the comparison, from documents that have some,
     and once to be cut. Counts per hash have partial sums, and joins on a hot hash can be split.

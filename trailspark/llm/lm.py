@@ -138,7 +138,7 @@ def word_model(docs: DataFrame, train: str, vocabulary: str) -> tuple[DataFrame,
     whole = sum(weight.values())
     logs = {p: math.log10(w / whole) for p, w in weight.items()}
     n = max(totals["N"], 1)
-    reserve = DISCOUNT * totals["V"] / n if totals["V"] else 1.0
+    reserve = DISCOUNT * known["v"] / n if known["v"] else 1.0  # the end token gives nothing up
     totals["reserve"] = reserve
 
     def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,9 +22,9 @@ with v as (
   select vec_id, list_transform(embedding, lambda x: cast(floor(256 * x::double) as bigint)) as v from embeddings
   where vec_id is not null and embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
 ), scored as (
-  select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::bigint as score
-  from v q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id
-), ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from scored)
+  select q.vec_id as query_id, q.v as q, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::bigint as score
+  from (select distinct vec_id, v from v where vec_id % 50 = 0) q join v c on q.vec_id <> c.vec_id
+), ranked as (select *, row_number() over (partition by query_id, q order by score desc, vec_id)::int as rank from scored)
 select query_id, rank, vec_id, score from ranked where rank <= 5
 """
 
