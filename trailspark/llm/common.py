@@ -2,14 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailspark.tables import shared_folder, table, written
+from trailspark import tables
+from trailspark.tables import shared_folder, written
 
 __all__ = ["bounded_share", "free_name", "in_share", "remainder", "shared_folder", "table", "written"]
 
 
+#: Rows of whole texts that go to a Python worker at once; the default of 10,000 would hold tens of MB several times over.
+BATCH_ROWS = "1000"
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder; lowers the session's Arrow batches to BATCH_ROWS where nothing else is set."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    return tables.table(spark, sf_dir, name)
+
+
 def remainder(doc_id: Column | str, n: int) -> Column:
     """crc32 of the id's text modulo n; -1 for a null id, so that it is never held out."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -49,7 +49,7 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield pd.DataFrame({"lang": lang, "size": order, "code": code, "n": n.astype(np.int64)})
 
 
-def fit(labelled: DataFrame, max_docs_per_language: int = 1500, max_contexts: int = 4000, min_count: int = 3) -> Model | None:
+def fit(labelled: DataFrame, max_docs_per_language: int = 1500, max_contexts: int = 3000, min_count: int = 3) -> Model | None:
     """Count byte contexts of a bounded sample of labelled documents and freeze their code lengths.
 
     The sample holds about ``max_docs_per_language`` distinct whole texts of each language, chosen by a hash; with
@@ -86,8 +86,14 @@ def frozen(counts: pd.DataFrame, max_contexts: int, min_count: int) -> Model:
     order = sorted(kept)  # shorter contexts first
     kept = {key: k for k, key in enumerate(order)}
 
-    prob = np.empty((len(order), symbols, len(languages)))
-    by = {key: (g["code"].to_numpy() & 255, g["n"].to_numpy()) for key, g in counts.assign(context=counts["code"] // 256).groupby(["size", "context", "lang"])}
+    prob = np.empty((len(order), symbols, len(languages)), np.float32)
+    counts = counts.assign(context=counts["code"] // 256)
+    place = counts["size"].to_numpy() << 32 | counts["context"].to_numpy()
+    counts = counts[np.isin(place, [size << 32 | context for size, context in order])].sort_values(["size", "context", "lang"])
+    keys = list(zip(counts["size"].tolist(), counts["context"].tolist(), counts["lang"]))
+    first = [i for i in range(len(keys)) if not i or keys[i] != keys[i - 1]]
+    byte, times = (counts["code"] & 255).to_numpy(), counts["n"].to_numpy()
+    by = {keys[i]: (byte[i:j], times[i:j]) for i, j in zip(first, [*first[1:], len(keys)])}
     for k, (size, context) in enumerate(order):
         below = np.full((symbols, len(languages)), 1 / 256) if size == 0 else prob[_suffix_row(kept, size - 1, context)]
         prob[k] = below
@@ -103,7 +109,7 @@ def frozen(counts: pd.DataFrame, max_contexts: int, min_count: int) -> Model:
                 digits = [int(symbol[context >> (8 * i) & 255]) for i in range(size)]  # the nearest byte first
                 at = sum(d * symbols**i for i, d in enumerate(digits))
                 row[at :: symbols**size] = k
-    return Model(languages, symbol, symbols, row, (-np.log2(prob)).astype(np.float32).reshape(-1, len(languages)))
+    return Model(languages, symbol, symbols, row, np.negative(np.log2(prob, out=prob), out=prob).reshape(-1, len(languages)))
 
 
 def _suffix_row(kept: dict[tuple[int, int], int], size: int, context: int) -> int:
