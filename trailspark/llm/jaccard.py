@@ -357,14 +357,37 @@ def _labelled(sets: DataFrame, links: DataFrame) -> DataFrame:
     return sets.join(connected(links).withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
 
 
+def _open(entries: DataFrame, labelled: DataFrame) -> DataFrame:
+    """The tokens, with their sets, that sets of more than one component share."""
+    named = written(entries.drop("n", "score").join(_small(labelled), "set_id"))
+    tokens = written(named.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("token"))
+    return written(named.join(_small(tokens), "token"))
+
+
+def _nearest_labels(left: DataFrame, num: int, den: int) -> DataFrame:
+    """(hub, member, n): one pair of sets for components that share tokens, where sizes allow a link.
+
+    In each token the component with most sets meets every other one, each by its least set, so rows are linear in the
+    token's. Of a pair of components, the sets that meet most often are compared. A large group of copies whose sets
+    have several homes is tied together here, before all its sets would be paired.
+    """
+    each = left.groupBy("token", "label").agg(F.count("*").alias("c"), F.min(F.struct("set_id", "n")).alias("x"))
+    top = each.groupBy("token").agg(F.max(F.struct("c", "label", "x")).alias("m"))
+    met = each.join(top, "token").where("label != m.label").select("label", F.col("m.label").alias("other"), "x", F.col("m.x").alias("y"))
+    met = met.where(similar("x.n", "y.n", num, den)).groupBy("label", "other", "x", "y").agg(F.count("*").alias("common"))
+    best = met.groupBy(F.least("label", "other").alias("p"), F.greatest("label", "other").alias("q")).agg(F.max(F.struct("common", "x", "y")).alias("b"))
+    return best.select(F.col("b.y.set_id").alias("hub"), F.col("b.x.set_id").alias("member"), F.greatest("b.x.n", "b.y.n").alias("n"))
+
+
 def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of docs (doc_id, text; other columns are ignored).
 
     Two documents link when den * |x & y| >= num * |x | y| of their sets of k-word shingles; component_id is the
     smallest doc_id that links reach. Documents with equal sets are one set from the first pass on. The sets that
     share a rare shingle have a hub, the one of them whose prefix is shared most; each set's home is the hub it has
-    most prefix shingles in common with. Sets of one home meet in blocks, as tries; sets of different homes and components are paired where they share as many prefix shingles as
-    a link needs. So no link between components is lost. Documents without words have an empty set and stand alone.
+    most prefix shingles in common with. Sets of one home meet in blocks, as tries; then components that share prefix
+    shingles meet by one pair of sets each, and last, all sets of different homes and components are paired where they
+    share as many prefix shingles as a link needs. So no link between components is lost. Documents without words have an empty set and stand alone.
     Repeated rows are kept, each with its component.
     """
     rows = written(_sets(docs, k))
@@ -377,10 +400,9 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
     homes = written(_homes(entries, num, den))
     links = written(_within(homes, docs, k, num, den))
 
-    homes = written(_labelled(homes, links))
-    named = written(entries.drop("n", "score").join(_small(homes), "set_id"))
-    open_ = written(named.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("token"))
-    left = written(named.join(_small(open_), "token"))
+    left = _open(entries, written(_labelled(homes, links)))
+    links = written(links.unionByName(_verified(_nearest_labels(left, num, den), docs, k, num, den)))
+    left = _open(entries, written(_labelled(homes, links)))
     most = left.groupBy("token", "home").agg(F.count("*").alias("c")).groupBy("token").agg(F.max(F.struct("c", "home")).alias("m"), F.count("*").alias("homes")).where("homes > 1").select("token", F.col("m.home").alias("most"))
     left = written(left.join(most, "token"))
     a, b = left.where("home != most").alias("a"), left.alias("b")  # a token's most frequent home needs no pairs with itself

@@ -88,7 +88,7 @@ def frozen(counts: pd.DataFrame, max_contexts: int, min_count: int) -> Model:
 
     prob = np.empty((len(order), symbols, len(languages)), np.float32)
     counts = counts.assign(context=counts["code"] // 256)
-    place = counts["size"].to_numpy() << 32 | counts["context"].to_numpy()
+    place = counts["size"].to_numpy(np.int64) << 32 | counts["context"].to_numpy(np.int64)
     counts = counts[np.isin(place, [size << 32 | context for size, context in order])].sort_values(["size", "context", "lang"])
     keys = list(zip(counts["size"].tolist(), counts["context"].tolist(), counts["lang"]))
     first = [i for i in range(len(keys)) if not i or keys[i] != keys[i - 1]]
