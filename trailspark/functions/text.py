@@ -33,11 +33,25 @@ def road_label(name: Column) -> Column:
     return F.when(digits, F.concat(F.lit("road "), name)).when(name.rlike(r"(?i)^f\s?\d+"), F.upper(F.regexp_replace(name, r"\s+", ""))).otherwise(title_case(name))
 
 
+def one_decimal(x: Column) -> Column:
+    """x, not below nought, with one decimal: the nearer one to its exact binary value, and the upper of two as near.
+
+    The doubt is only where x is the double next to a half: twenty times that double, less its odd numerator, is exact in
+    two steps, and its sign tells on which side of the half it lies.
+    """
+    k = js_round(x * 10)
+    odd = (2 * k - 1).cast("double")
+    half = odd / 20
+    up = (x > half) | ((x == half) & ((half * 16 - odd) + half * 4 >= 0))
+    n = F.when(up, k).otherwise(k - 1)
+    return F.concat(F.floor(n / 10).cast("string"), F.lit("."), (n % 10).cast("string"))
+
+
 def search_distance(km: Column) -> Column:
     """Tens of metres below 1 km, one decimal below 10 km, then whole kilometres."""
     return (
-        F.when(km < 1, F.concat(F.greatest(F.lit(10), js_round(km * 100) * 10).cast("string"), F.lit(" m")))
-        .when(km < 10, F.concat(F.format_string("%.1f", js_round(km * 10) / 10.0), F.lit(" km")))
+        F.when(km < 1, F.concat(F.greatest(F.lit(10), js_round(km * 1000 / 10) * 10).cast("string"), F.lit(" m")))
+        .when(km < 10, F.concat(one_decimal(km), F.lit(" km")))
         .otherwise(F.concat(js_round(km).cast("string"), F.lit(" km")))
     )
 
@@ -45,20 +59,20 @@ def search_distance(km: Column) -> Column:
 def stats_distance(metres: Column) -> Column:
     return (
         F.when(metres < 1000, F.concat(js_round(metres).cast("string"), F.lit(" m")))
-        .when(metres < 10000, F.concat(F.format_string("%.1f", js_round(metres / 100) / 10.0), F.lit(" km")))
+        .when(metres < 10000, F.concat(one_decimal(metres / 1000), F.lit(" km")))
         .otherwise(F.concat(js_round(metres / 1000).cast("string"), F.lit(" km")))
     )
 
 
 def stats_duration(ms: Column) -> Column:
-    """Minutes, hours and minutes, or days and hours."""
+    """Minutes, hours and minutes, one day and hours, or from two days on whole days, rounded."""
     minutes = js_round(ms / 60000)
-    hours, days = F.floor(minutes / 60), F.floor(minutes / 1440)
-    rest = F.floor((minutes - days * 1440) / 60)
+    hours = F.floor(minutes / 60)
     return (
         F.when(minutes < 60, F.concat(minutes.cast("string"), F.lit(" min")))
         .when(minutes < 1440, F.concat(hours.cast("string"), F.lit(" h"), F.when(minutes % 60 > 0, F.concat(F.lit(" "), (minutes % 60).cast("string"), F.lit(" min"))).otherwise("")))
-        .otherwise(F.concat(days.cast("string"), F.when(days == 1, " day").otherwise(" days"), F.when(rest > 0, F.concat(F.lit(" "), rest.cast("string"), F.lit(" h"))).otherwise("")))
+        .when(hours < 48, F.concat(F.lit("1 day"), F.when(hours > 24, F.concat(F.lit(" "), (hours - 24).cast("string"), F.lit(" h"))).otherwise("")))
+        .otherwise(F.concat(js_round(hours / 24).cast("string"), F.lit(" days")))
     )
 
 

@@ -20,11 +20,13 @@ def deletions(local: DataFrame, remote: DataFrame, now_ms: int) -> DataFrame:
 
 
 def last_writer(local: DataFrame, remote: DataFrame, deleted: DataFrame, now_ms: int) -> DataFrame:
-    """id, side and changed of the rows that stay: the later change wins, equal ones stay local, and a deletion at or after it removes."""
-    cap = lambda c: F.least(c, F.lit(now_ms + AHEAD_MS))
-    a = changed(local).select("id", cap(F.col("changed")).alias("l"))
-    b = changed(remote).select("id", cap(F.col("changed")).alias("r"))
-    both = a.join(b, "id", "full_outer").select("id", F.when(F.col("l").isNull() | (F.col("r") > F.col("l")), "remote").otherwise("local").alias("side"), F.greatest("l", "r").alias("changed"))
+    """id, side and changed of the rows that stay: the later change wins, equal ones stay local, and a deletion at or after it removes.
+
+    Times are compared as they are; the winner's is then held at now and five minutes.
+    """
+    a = changed(local).select("id", F.col("changed").alias("l"))
+    b = changed(remote).select("id", F.col("changed").alias("r"))
+    both = a.join(b, "id", "full_outer").select("id", F.when(F.col("l").isNull() | (F.col("r") > F.col("l")), "remote").otherwise("local").alias("side"), F.least(F.greatest("l", "r"), F.lit(now_ms + AHEAD_MS)).alias("changed"))
     return both.join(deleted, "id", "left").where("at is null or at < changed").select("id", "side", "changed")
 
 

@@ -56,9 +56,9 @@ def smoothed(values: Column, factor: float) -> Column:
 
 
 def held(ideal: Column, step: float = 0.5, margin: float = 0.15) -> Column:
-    """Value after following ``ideal`` in steps, moving only once it is off by more than half a step and the margin."""
+    """Value after following ``ideal`` in steps, moving only once it is off by more than half a step and the margin; an unknown ideal changes nothing."""
     near = lambda v: F.floor(v / step + 0.5) * step
-    return F.aggregate(ideal, F.lit(None).cast("double"), lambda s, v: F.when(s.isNull(), near(v)).when(F.abs(v - s) < step / 2 + margin, s).otherwise(near(v)))
+    return F.aggregate(ideal, F.lit(None).cast("double"), lambda s, v: F.when(v.isNull() | F.isnan(v), s).when(s.isNull(), near(v)).when(F.abs(v - s) < step / 2 + margin, s).otherwise(near(v)))
 
 
 def off_route(fixes: Column, far: float = 50.0, near: float = 25.0, rough: float = 60.0, needed: int = 3) -> Column:

@@ -119,7 +119,9 @@ def zoom_bands(spark: SparkSession, d: str) -> DataFrame:
     return s.withColumn("until", F.coalesce(F.lead("start").over(w) - 1, F.lit(14))).where("start <= until").select("bits", "start", "until")
 
 
-_DIST = "case when x < 1 then greatest(10, floor(x * 100 + 0.5) * 10)::bigint || ' m' when x < 10 then printf('%.1f', floor(x * 10 + 0.5) / 10.0) || ' km' else floor(x + 0.5)::bigint || ' km' end"
+#: One decimal of x by its exact binary value, as text.one_decimal has it.
+_ONE = "(case when {x} > (2 * floor({x} * 10 + 0.5) - 1) / 20 or {x} = (2 * floor({x} * 10 + 0.5) - 1) / 20 and ((2 * floor({x} * 10 + 0.5) - 1) / 20 * 16 - (2 * floor({x} * 10 + 0.5) - 1)) + (2 * floor({x} * 10 + 0.5) - 1) / 20 * 4 >= 0 then (floor({x} * 10 + 0.5)::bigint // 10) || '.' || (floor({x} * 10 + 0.5)::bigint % 10) else ((floor({x} * 10 + 0.5)::bigint - 1) // 10) || '.' || ((floor({x} * 10 + 0.5)::bigint - 1) % 10) end)"
+_DIST = "case when x < 1 then greatest(10, floor(x * 1000 / 10 + 0.5) * 10)::bigint || ' m' when x < 10 then " + _ONE.format(x="x") + " || ' km' else floor(x + 0.5)::bigint || ' km' end"
 
 QUERIES = {f.__name__: f for f in (place_search_plain, place_search_near, normalize_documents, place_dedupe, nearest_town, near_name_3km, bbox_range_join, tile_xy, title_case_parts, clean_file_names, escaped_pages, format_distances, zoom_bands)}
 
@@ -147,9 +149,9 @@ select p_partkey, array_to_string(list_transform(string_split(upper(p_name), ' '
   md5(replace(replace(replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&apos;')) as url from pages""",
     "format_distances": f"""with v as (select l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice / 1000 as x, l_extendedprice / 4 as m, floor(l_extendedprice * 3000 / 60000 + 0.5)::bigint as q from lineitem)
 select l_orderkey, l_partkey, l_suppkey, l_linenumber, {_DIST} as search,
-  case when m < 1000 then floor(m + 0.5)::bigint || ' m' when m < 10000 then printf('%.1f', floor(m / 100 + 0.5) / 10.0) || ' km' else floor(m / 1000 + 0.5)::bigint || ' km' end as stats,
+  case when m < 1000 then floor(m + 0.5)::bigint || ' m' when m < 10000 then {_ONE.format(x="(m / 1000)")} || ' km' else floor(m / 1000 + 0.5)::bigint || ' km' end as stats,
   case when q < 60 then q || ' min' when q < 1440 then (q // 60) || ' h' || case when q % 60 > 0 then ' ' || (q % 60) || ' min' else '' end
-    else (q // 1440) || case when q // 1440 = 1 then ' day' else ' days' end || case when (q % 1440) // 60 > 0 then ' ' || ((q % 1440) // 60) || ' h' else '' end end as duration from v""",
+    when q < 2880 then '1 day' || case when q >= 1500 then ' ' || (q // 60 - 24) || ' h' else '' end else floor((q // 60) / 24 + 0.5)::bigint || ' days' end as duration from v""",
     "zoom_bands": """with b as (select distinct p_size % 8 + 14 as bits from part), s as (select bits, case when row_number() over (order by bits) = 1 then 4 else greatest(4, least(14, bits - 11)) end as start from b),
 u as (select *, coalesce(lead(start) over (order by bits) - 1, 14) as until from s) select bits, start, until from u where start <= until""",
 }

@@ -181,7 +181,16 @@ QUERIES = {f.__name__: f for f in (track_stats, cumulative_distance, climb_fold,
 _RUNS = f"""with {A.FIXES}, a as (select *, case when lag(kind) over (partition by track order by n) is not distinct from kind and n > 1 then 0 else 1 end as new from fixes),
 b as (select *, sum(new) over (partition by track order by n)::bigint as run from a), r as (select track, run, any_value(kind) as kind, count(*) as n, min(n) as first, max(n) as last from b group by track, run)"""
 
+_MODE = _fold(
+    "{'mode': 'off', 'paused': false, 'e': ''}",
+    "case x.e when 'long' then {'mode': 'off', 'paused': false, 'e': ''} when 'drag' then {'mode': s.mode, 'paused': s.mode <> 'off', 'e': ''} when 'tap' then {'mode': case when s.paused then s.mode when s.mode = 'north' then 'heading' else 'north' end, 'paused': false, 'e': ''} else s end",
+    "list_transform(ids, lambda i: {'mode': '', 'paused': false, 'e': ['tap', 'drag', 'tap', 'long', 'tap'][i % 5 + 1]})",
+    "",
+)
+
 ORACLES = {
+    "follow_zoom": f"""{_ROWS} select track, {_fold("{'z': null::double, 'v': 0.0::double}", "case when s.z is null then {'z': floor(x.v / 0.5 + 0.5) * 0.5, 'v': x.v} when abs(x.v - s.z) < 0.4 then s else {'z': floor(x.v / 0.5 + 0.5) * 0.5, 'v': x.v} end", "list_transform(vs, lambda v: {'z': null::double, 'v': (10 + floor(v) % 60 / 10.0)::double})", ".z")} as zoom from t""",
+    "mode_machine": f"""{_ROWS}, m as (select track, {_MODE} as m from t) select track, m.mode || case when m.paused then ' paused' else '' end as mode from m""",
     "track_stats": f"""with {_STEPS} select track, round(sum(m), 2) as metres, nullif((epoch_us(max(ts)) - epoch_us(min(ts))) // 1000, 0) as ms,
   round(min(lon), 6) as west, round(min(lat), 6) as south, round(max(lon), 6) as east, round(max(lat), 6) as north from steps group by track""",
     "cumulative_distance": f"""with {A.FIXES}, l as (select *, lag(lon) over v as plon, lag(lat) over v as plat from fixes window v as (partition by track order by ts, i)),
