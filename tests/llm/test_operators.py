@@ -121,6 +121,10 @@ def test_retrieval_misses_few_paraphrases(spark):
             planted.append((j, " ".join([*words[:at], *(w if rng.random() >= rate else rng.choice(pool) for w in item.split()), *words[at:]])))
     ix, rules = decontaminate.index(table(spark, MORE, "documents"), [t.encode() for t in items]), decontaminate.Rules()
     words = decontaminate.Vocabulary(ix.codes)
+    rows = [words.ids(c) for c in decontaminate.terms([t.encode() for _, t in planted])]
+    for x, near in zip(rows, decontaminate.all_candidates(rows, ix, rules, 3000)):
+        alone = decontaminate.candidates(x, ix, rules)
+        assert all({w[1:] for w in some} <= {w[1:] for w in near[item]} for item, some in alone.items())
     true = found = 0
     for (j, _), code in zip(planted, decontaminate.terms([t.encode() for _, t in planted])):
         ids = words.ids(code)
