@@ -74,8 +74,8 @@ def test_top_k_of_nothing(spark):
 def test_toxicity_of_held_out_documents(spark):
     got = queries.op2_toxicity(spark, MORE).toPandas().merge(pd.read_parquet(f"{MORE}/labels.parquet"), on="doc_id")
     got = got[got["held_out"] & got["toxic"].notna()]
-    right = ((got["predicted"] == 1) == (got["toxic"] == 1)).mean()
-    assert right >= 0.9
+    toxic, said = got["toxic"] == 1, got["predicted"] == 1
+    assert said[toxic].mean() >= 0.5 and said[~toxic].mean() <= 0.03  # neither holds for a constant answer
 
 
 def test_toxicity_without_labels_and_of_odd_rows(spark):
