@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailspark.llm import bitsliced, decontaminate, jaccard, langid, linededup, lm, packing, rangecoder, toxicity, urlfilter
-from trailspark.llm.common import remainder, shared_folder, table
+from trailspark.llm import bitsliced, bpe, decontaminate, divergence, jaccard, langid, linededup, lm, packing, rangecoder, toxicity, urlfilter, vectorcodes
+from trailspark.llm.common import remainder, shared_folder, table, written
 
 
 def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,6 +120,29 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
 
 
+def op11_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 11: each source against the other sources of its language and, term by term, against the language."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 12: every document's ids and the text that they decode to, as digests."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    coded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 13: every vector's product code and its squared distance, with the sum over its label."""
+    vectors = table(spark, sf_dir, "embeddings")
+    books = vectorcodes.fit(vectors)
+    if books is None:
+        return vectors.limit(0).selectExpr("vec_id", "'' code", "0L error", "0L label_error", "'' codebooks_sha256")
+    coded = vectorcodes.with_group_error(written(vectorcodes.encode(vectors, books, keep=["label"])), "label")
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk_search": op1_topk_search,
     "op2_toxicity": op2_toxicity,
@@ -132,6 +155,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_passage_dedup": op8_passage_dedup,
     "op9_packing": op9_packing,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_source_audit": op11_source_audit,
+    "op12_tree_bpe": op12_tree_bpe,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 ORACLES: dict[str, str] = {
@@ -139,4 +165,6 @@ ORACLES: dict[str, str] = {
     "op4_url_filter": OP4_SQL,
     "op8_line_dedup": linededup.SQL.format(docs="documents"),
     "op8_passage_dedup": linededup.PASSAGE_SQL.format(docs="documents"),
+    "op11_source_audit": divergence.SQL,
+    "op13_vector_codes": vectorcodes.sql(),
 }
