@@ -42,39 +42,33 @@ def _counted(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Record
 
     At most about ``most`` rows are held, then all are handed on; Spark adds them up.
     """
-    held: dict[tuple[str, str], dict[bytes, list[int]]] = {}
+    held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
     size = 0
 
     def rows() -> pa.RecordBatch:
         langs, sources, terms, n, docs = [], [], [], [], []
-        for (lang, source), found in held.items():
-            langs += [lang] * (len(found) + 1)
-            sources += [source] * (len(found) + 1)
-            terms += [None, *found]
-            n += [0, *(x[0] for x in found.values())]
-            docs += [0, *(x[1] for x in found.values())]
-        return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(sources, pa.string()), pa.array(terms, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.array(docs, pa.int64())], names=["lang", "source", "term", "n", "docs"])
+        for (lang, source), (times, within) in held.items():
+            for column, value in ((langs, lang), (sources, source)):
+                column.append(pa.repeat(pa.scalar(value, pa.string()), len(times) + 1))
+            terms += [None, *times]
+            n += [0, *times.values()]
+            docs += [0, *map(within.__getitem__, times)]
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(langs), pa.concat_arrays(sources), pa.array(terms, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.array(docs, pa.int64())], names=["lang", "source", "term", "n", "docs"])
 
     for batch in batches:
         for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-            found = held.setdefault((lang, source), {})
-            before, raw = len(found), text.as_py().encode().translate(_FOLD)
-            if len(raw) <= _PIECE:
-                counts = Counter(raw.split())
-            else:  # the list of all words of a long text would be many times its size
-                counts, begin = Counter(), 0
-                while begin < len(raw):
-                    end = raw.find(b" ", begin + _PIECE)
-                    end = len(raw) if end < 0 else end
-                    counts.update(raw[begin:end].split())
-                    begin = end
-            for term, n in counts.items():
-                if term in found:
-                    found[term][0] += n
-                    found[term][1] += 1
-                else:
-                    found[term] = [n, 1]
-            size += len(found) - before
+            times, within = held.setdefault((lang, source), (Counter(), Counter()))
+            before, raw = len(times), text.as_py().encode().translate(_FOLD)
+            seen, begin = set(), 0
+            while begin < len(raw):  # the list of all words of a long text would be many times its size
+                end = raw.find(b" ", begin + _PIECE) if len(raw) - begin > _PIECE else -1
+                end = len(raw) if end < 0 else end
+                words = raw[begin:end].split()
+                times.update(words)
+                seen.update(words)
+                begin = end
+            within.update(seen)
+            size += len(times) - before
             if size > most:
                 yield rows()
                 held, size = {}, 0
@@ -96,45 +90,63 @@ def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 def _vectors(batches: Iterator[pa.RecordBatch], ranks: int) -> Iterator[pa.RecordBatch]:
     """Rows of a group's terms in one shard to its compressed vector and, by a heap, the terms that depart most."""
     for batch in batches:
+        column = {c: batch.column(batch.schema.get_field_index(c)) for c in batch.schema.names}
+        offsets = column["terms"].offsets.to_numpy()
+        at, n, total, names = (column["terms"].values.field(c) for c in ("at", "n", "total", "term"))
+        at, n, total = (x.to_numpy() for x in (at, n, total))
+        names = names.cast(pa.binary())
         vectors, tops = [], []
-        for row in batch.to_pylist():
-            terms = sorted(row["terms"], key=lambda t: t["at"])
-            at, n = np.array([t["at"] for t in terms], np.int64), np.array([t["n"] for t in terms], np.int64)
-            vectors.append(_packed(at, n))
+        for k, (size, kept, lang_size) in enumerate(zip(*(column[c].to_pylist() for c in ("size", "kept", "lang_size")))):
+            own = slice(offsets[k], offsets[k + 1])
+            order = np.argsort(at[own])
+            vectors.append(_packed(at[own][order], n[own][order]))
             best = []
-            if len(terms):
-                p, q = share(n, row["size"], row["kept"]), share(np.array([t["total"] for t in terms], np.int64), row["lang_size"], row["kept"])
+            if len(order):
+                p, q = share(n[own], size, kept), share(total[own], lang_size, kept)
                 over = np.flatnonzero(p > q)
-                best = heapq.nsmallest(ranks, zip((-gap(p[over], q[over])).tolist(), (terms[k]["term"].encode() for k in over.tolist())))
+                value = gap(p[over], q[over])
+                if len(over) > ranks:  # what lies below the last rank's value can't be among the best
+                    over = over[value >= np.partition(value, -ranks)[-ranks]]
+                    value = gap(p[over], q[over])
+                best = heapq.nsmallest(ranks, zip((-value).tolist(), names.take(pa.array(over + offsets[k])).to_pylist()))
             tops.append([{"item": t.decode(), "value": -v} for v, t in best])
-        kept = [batch.column(batch.schema.get_field_index(c)) for c in ("lang", "source", "shard", "slot", "size", "kept")]
+        kept = [column[c] for c in ("lang", "source", "shard", "slot", "size", "kept")]
         top_type = pa.list_(pa.struct([("item", pa.string()), ("value", pa.int64())]))
         yield pa.RecordBatch.from_arrays([*kept, pa.array(vectors, pa.binary()), pa.array(tops, top_type)], names=["lang", "source", "shard", "slot", "size", "kept", "vector", "tops"])
 
 
 class _Group:
-    """A group's shares in one shard: of its own terms, and of those it lacks."""
+    """A group's shares of a shard's terms; ``none`` is the share of a term that it lacks."""
 
     def __init__(self, row) -> None:
         self.source, self.kept = row.source, row.kept
-        self.at, n = _unpacked(row.vector)
+        at, n = _unpacked(row.vector)
+        self.p, self.none = np.zeros(0, np.int64), 0
         if self.kept:
-            self.p, self.none = share(n, row.size_, row.kept), share(0, row.size_, row.kept)
+            self.none = int(share(0, row.size_, row.kept))
+            self.p = np.full(at[-1] + 1 if len(at) else 0, self.none)
+            self.p[at] = share(n, row.size_, row.kept)
+
+    def reach(self, terms: int) -> np.ndarray:
+        """The shares of the first terms of the shard."""
+        if len(self.p) < terms:
+            self.p = np.concatenate([self.p, np.full(terms - len(self.p), self.none)])
+        return self.p[:terms]
 
 
 def _meeting(a: _Group, b: _Group, first_shard: bool) -> tuple[int, int]:
     """The sums of f over a shard's terms, of a against b and of b against a.
 
-    Terms that both lack add the same each; their sum over the whole vocabulary is booked in the first shard, and the
-    terms that one of them has correct it.
+    Terms behind the last that either has add the same each; their sum over the whole vocabulary is booked in the first
+    shard, and the terms before correct it.
     """
     if not a.kept:
         return 0, 0
-    at = np.union1d(a.at, b.at)
-    p, q = np.full(len(at), a.none), np.full(len(at), b.none)
-    p[np.searchsorted(at, a.at)], q[np.searchsorted(at, b.at)] = a.p, b.p
-    times = (a.kept if first_shard else 0) - len(at)
-    return int(gap(p, q).sum()) + times * int(gap(a.none, b.none)), int(gap(q, p).sum()) + times * int(gap(b.none, a.none))
+    terms = max(len(a.p), len(b.p))
+    p, q = a.reach(terms), b.reach(terms)
+    square = ((p - q) * (p - q)).view(np.uint64)
+    times = (a.kept if first_shard else 0) - terms
+    return int((square // q.view(np.uint64)).sum()) + times * int(gap(a.none, b.none)), int((square // p.view(np.uint64)).sum()) + times * int(gap(b.none, a.none))
 
 
 _PAIRS = "lang string, source string, item string, value long"
