@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pandas as pd
 import public_tokenizers
 from tokenizers import Tokenizer
@@ -27,14 +28,17 @@ def merged_by_force(ids, ranks):
 
 def test_the_tree_merges_as_a_search_for_the_best_pair_does():
     rng = random.Random(12)
-    for _ in range(300):
+    for _ in range(100):
         n = rng.randrange(2, 6)
         ranks, new = {}, n
         for rank in range(rng.randrange(1, 12)):
             ranks.setdefault((rng.randrange(new), rng.randrange(new)), (rank, new))
             new += 1
-        ids = [rng.randrange(n) for _ in range(rng.choice([0, 1, 2, 3, 7, 8, 9, 40, 200]))]
-        assert bpe.merge(ids, ranks) == merged_by_force(ids, ranks)
+        words = [[rng.randrange(n) for _ in range(rng.choice([1, 1, 2, 3, 4, 5, 7, 8, 9, 17, 40, 64, 65, 66, 200]))] for _ in range(20)]
+        want = [merged_by_force(ids, ranks) for ids in words]
+        assert [bpe.merge(ids, ranks) for ids in words] == want
+        got, count = bpe.Merger(ranks).merge(np.array(sum(words, [])), np.cumsum([len(w) for w in words]))
+        assert (got.tolist(), count.tolist()) == (sum(want, []), [len(w) for w in want])
 
 
 def test_ids_and_texts_equal_the_library(spark):

@@ -70,8 +70,86 @@ def merge(ids: list[int], ranks: dict[tuple[int, int], tuple[int, int]]) -> list
     return [x for x in ids if x >= 0]
 
 
+class Merger:
+    """The merges of a vocabulary for many words at once: one segment tree for each word, side by side in an array."""
+
+    #: Ids of a word up to which trees stand side by side; longer words have ``merge``.
+    LONGEST = 65
+
+    def __init__(self, ranks: dict[tuple[int, int], tuple[int, int]]):
+        self.ranks = ranks
+        self.shift = np.int64(max((x for pair in ranks for x in pair), default=0)).item().bit_length() + 1
+        pairs = np.array([(a << self.shift) + b for a, b in ranks] or [0], np.int64)
+        order = np.argsort(pairs)
+        self.pairs = pairs[order]
+        found = np.array([*ranks.values()] or [(0, 0)], np.int64)
+        self.rank, self.merged = found[order, 0], np.zeros(found[:, 0].max() + 1, np.int64)
+        self.merged[found[:, 0]] = found[:, 1]
+        if not ranks:
+            self.pairs[:] = -1
+
+    def _keys(self, left: np.ndarray, right: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """rank * 128 + position of the pairs that merge; ids below nought stand for nothing."""
+        pair = (left << self.shift) + right
+        k = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+        return np.where((self.pairs[k] == pair) & (left >= 0) & (right >= 0), self.rank[k] * 128 + at, _NEVER)
+
+    def _side_by_side(self, ids: np.ndarray, size: int) -> None:
+        """Merge the columns of ids, of shape (size + 2, words), in place; what was merged away becomes -1."""
+        words = ids.shape[1]
+        tree = np.empty((2 * size, words), np.int64)
+        tree[size:] = self._keys(ids[:size], ids[1 : size + 1], np.arange(size)[:, None])
+        for k in range(size - 1, 0, -1):
+            np.minimum(tree[2 * k], tree[2 * k + 1], out=tree[k])
+        after = np.repeat(np.arange(1, size + 3)[:, None], words, 1)
+        before = np.repeat(np.arange(-1, size + 1)[:, None], words, 1)
+        now = np.flatnonzero(tree[1] < _NEVER)
+        while len(now):
+            least = tree[1, now]
+            i = least % 128
+            gone = after[i, now]
+            new = self.merged[least // 128]
+            ids[i, now], ids[gone, now] = new, -1
+            right, left = after[gone, now], before[i, now]
+            after[i, now] = right
+            before[np.minimum(right, size + 1), now] = i
+            none = left < 0
+            left = np.where(none, i, left)
+            keys = self._keys(np.stack([ids[left, now], new]), np.stack([new, ids[np.minimum(right, size + 1), now]]), np.stack([left, i]))
+            leaf = np.stack([np.where(gone < size, gone, i), np.where(none, i, left), i])
+            tree[size + leaf[0], now] = _NEVER
+            tree[size + leaf[1], now] = keys[0]
+            tree[size + leaf[2], now] = keys[1]  # last, since the others fall back on it
+            node = size + leaf
+            while node[0, 0] > 1:
+                node = node >> 1
+                tree[node, now] = np.minimum(tree[2 * node, now], tree[2 * node + 1, now])
+            now = now[tree[1, now] < _NEVER]
+
+    def merge(self, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of words that end at ``ends``, merged, and how many ids each word has then."""
+        n = np.diff(ends, prepend=0)
+        out, begin = ids.astype(np.int64), ends - n
+        size = np.where(n < 2, 0, np.int64(1) << np.ceil(np.log2(np.maximum(n - 1, 1))).astype(np.int64))
+        for s in np.unique(size[(n >= 2) & (n <= self.LONGEST)]).tolist():
+            chosen = np.flatnonzero((size == s) & (n <= self.LONGEST))
+            for k in range(0, len(chosen), 4096):
+                some = chosen[k : k + 4096]
+                at = begin[some] + np.arange(s + 2)[:, None]
+                inside = at < ends[some]
+                square = np.where(inside, out[np.minimum(at, len(out) - 1)], -1)
+                self._side_by_side(square, s)
+                out[at[inside]] = square[inside]
+        for k in np.flatnonzero(n > self.LONGEST).tolist():
+            own = merge(out[begin[k] : ends[k]].tolist(), self.ranks)
+            out[begin[k] : ends[k]] = own + [-1] * (n[k] - len(own))
+        kept = out >= 0
+        upto = np.append(0, np.cumsum(kept))
+        return out[kept], upto[ends] - upto[begin]
+
+
 class TreeEncoder(CachedEncoder):
-    """Text to ids, with the library's normaliser and word pattern and the merges of ``merge``.
+    """Text to ids, with the library's normaliser and word pattern and the merges of ``Merger``.
 
     Words that were met before come from the table of the base class. The strings of special tokens become their ids,
     as they do in the library.
@@ -85,42 +163,62 @@ class TreeEncoder(CachedEncoder):
             raise ValueError("only byte pair vocabularies with word ends that drop white space are read")
         vocab, suffix = model["vocab"], model["end_of_word_suffix"]
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-        self.ranks = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
-        self.inner = {c: i for c, i in vocab.items() if len(c) == 1}
-        self.last = {c: vocab[c + suffix] for c in self.inner if c + suffix in vocab}
+        self.merger = Merger({(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(pairs)})
+        letters = {c: i for c, i in vocab.items() if len(c) == 1}
+        self.inner, self.last = np.full((2, max(map(ord, letters)) + 1), -1, np.int64)
+        for c, i in letters.items():
+            self.inner[ord(c)], self.last[ord(c)] = i, vocab.get(c + suffix, -1)
         self.special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.cut = re.compile("|".join(map(re.escape, self.special))) if self.special else None
 
-    def _word(self, word: str) -> list[int]:
-        inner = self.inner
-        return merge([*(inner[c] for c in word[:-1]), self.last[word[-1]]], self.ranks)
-
-    def _plain(self, text: str, known: dict[str, list[int]]) -> Iterator[int]:
-        """Ids of a text without special tokens; after normalisation a blank is the only white space, and no word holds it."""
-        for chunk in self.tokenizer.normalizer.normalize_str(text).split(" "):
-            if chunk:
-                if chunk not in known:
-                    known[chunk] = [i for word, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(chunk) for i in self._word(word)]
-                yield from known[chunk]
+    def _merged(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words in byte letters, one behind the other, and how many each has."""
+        ends = np.cumsum([len(w) for w in words])
+        letters = np.frombuffer("".join(words).encode("utf-32-le"), "<u4")
+        ids = self.inner[letters]
+        ids[ends - 1] = self.last[letters[ends - 1]]
+        return self.merger.merge(ids, ends)
+
+    def _plain(self, text: str) -> np.ndarray:
+        """Ids of a text without special tokens; after normalisation a blank is the only white space."""
+        words = [w for w, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(text))]
+        if not words:
+            return np.zeros(0, np.int64)
+        met = list(dict.fromkeys(words))
+        place = dict(zip(met, range(len(met))))
+        ids, n = self._merged(met)
+        first, which = np.cumsum(n) - n, np.array([place[w] for w in words])
+        upto = np.cumsum(n[which])
+        return ids[np.repeat(first[which] - upto + n[which], n[which]) + np.arange(upto[-1])]
 
     def _direct(self, texts: list[str]) -> list[bytes]:
-        if not hasattr(self, "ranks"):  # the base class tries the library's habits first
+        if not hasattr(self, "merger"):  # the base class tries the library's habits first
             return super()._direct(texts)
-        known: dict[str, list[int]] = {}
         out = []
         for text in texts:
-            ids: list[int] = []
-            begin = 0
+            ids, begin = [], 0
             for m in self.cut.finditer(text) if self.cut else ():
-                ids += self._plain(text[begin : m.start()], known)
-                ids.append(self.special[m[0]])
+                ids += [self._plain(text[begin : m.start()]), [self.special[m[0]]]]
                 begin = m.end()
-            ids += self._plain(text[begin:], known)
-            out.append(np.array(ids, "<u4").tobytes())
+            ids.append(self._plain(text[begin:]))
+            out.append(np.concatenate(ids).astype("<u4").tobytes())
         return out
 
     def _separate(self, parts: list[str]) -> list[bytes]:
-        return self._direct(parts)
+        """Ids of many parts without white space: all are normalised and cut into words in one call."""
+        text = self.tokenizer.normalizer.normalize_str(" ".join(parts))
+        chunks = text.split(" ")
+        if len(chunks) != len(parts) or (self.cut and self.cut.search(text)):
+            return self._direct(parts)
+        words = self.tokenizer.pre_tokenizer.pre_tokenize_str(text)
+        if not words:
+            return [b""] * len(parts)
+        ids, n = self._merged([w for w, _ in words])
+        behind = np.cumsum([len(c) + 1 for c in chunks])
+        of = np.searchsorted(behind, [a for _, (a, _) in words], side="right")
+        upto = np.append(0, np.cumsum(np.bincount(of, weights=n, minlength=len(parts)).astype(np.int64))) * 4
+        raw = ids.astype("<u4").tobytes()
+        return [raw[a:b] for a, b in zip(upto[:-1].tolist(), upto[1:].tolist())]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         pieces, of = [], []
