@@ -34,7 +34,7 @@ def even_round(x: Column, scale: int = 0) -> Column:
 
 def _hav(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), F.lit(2)) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), F.lit(2))
-    return F.asin(F.least(F.lit(1.0), F.sqrt(a)))
+    return F.asin(F.when(a > 1, 1.0).when(a.isNotNull(), F.sqrt(a)))  # least() would take an unknown position for the other side of the globe
 
 
 def haversine_km(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:

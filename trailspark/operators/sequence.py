@@ -1,14 +1,18 @@
-"""Operators on ordered rows: runs, folds that keep state, running sums.
+"""Operators on ordered rows: runs, and the steps of folds that keep a state (see ``folding.folded`` and ``streaming.folds``).
 
-A fold collects one track's rows (a track is bounded: one recording) as a sorted array and walks it with
-``aggregate``, so it stays in the JVM and needs one shuffle on the track.
+A step takes a state and consecutive rows of one track, as lists by column, and gives the next state and rows for the output.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trailspark.functions.geo import ROUTE_M
+from trailspark.operators.folding import Step
+
 
 def runs(df: DataFrame, by: list[str], order: list[str], value: str) -> DataFrame:
     """Numbered runs of equal neighbours: by, run (from 1), value, n, first and last of the first order column."""
@@ -18,86 +22,145 @@ def runs(df: DataFrame, by: list[str], order: list[str], value: str) -> DataFram
     return numbered.groupBy(*by, "run").agg(F.first(value).alias(value), F.count("*").alias("n"), F.min(order[0]).alias("first"), F.max(order[0]).alias("last"))
 
 
-def collected(df: DataFrame, by: str, order: list[str], values: list[str]) -> DataFrame:
-    """One row of each ``by`` with ``rows``, its values in order."""
-    return df.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(*order, *[v for v in values if v not in order]))).alias("rows"))
+def _unknown(v: float | None) -> bool:
+    return v is None or v != v
+
 
+def climb(value: str, threshold: float = 3.0) -> tuple[tuple, Step]:
+    """Start and step for metres climbed: a rise counts once it is ``threshold`` above the last low or counted height.
 
-def climb(heights: Column, threshold: float = 3.0) -> Column:
-    """Metres climbed: a rise counts once it is ``threshold`` above the last low or counted height; null without heights."""
-    known = F.filter(heights, lambda h: h.isNotNull())
-    zero = F.struct(F.lit(None).cast("double").alias("ref"), F.lit(0.0).alias("total"))
+    State: that height and the total, both null before a height is known.
+    """
 
-    def step(s: Column, h: Column) -> Column:
-        up = h - s["ref"]
-        return (
-            F.when(s["ref"].isNull() | (h < s["ref"]), F.struct(h.alias("ref"), s["total"].alias("total")))
-            .when(up >= threshold, F.struct(h.alias("ref"), (s["total"] + up).alias("total")))
-            .otherwise(F.struct(s["ref"].alias("ref"), s["total"].alias("total")))
-        )
+    def step(state: tuple, rows: dict[str, list]) -> tuple[tuple, list]:
+        ref, total = state
+        for h in rows[value]:
+            if _unknown(h):
+                continue
+            if ref is None or h < ref:
+                ref = h
+            elif h - ref >= threshold:
+                ref, total = h, (total or 0.0) + h - ref
+            total = total or 0.0
+        return (ref, total), []
 
-    return F.when(F.size(known) == 0, F.lit(None).cast("double")).otherwise(F.aggregate(known, zero, step, lambda s: s["total"]))
+    return (None, None), step
 
 
-def spaced(along: Column, spacing: float) -> Column:
-    """Positions (from 0) kept of rising distances: the first, each at least ``spacing`` from the one kept before, the last."""
-    zero = F.struct(F.lit(-1e18).alias("at"), F.lit(0).alias("i"), F.expr("cast(array() as array<int>)").alias("kept"))
+def spaced(along: str, position: str, spacing: float) -> tuple[tuple, Step]:
+    """Positions kept of rising distances: the first, and each at least ``spacing`` from the one kept before.
 
-    def step(s: Column, d: Column) -> Column:
-        keep = (d - s["at"] >= spacing) | (s["i"] == F.size(along) - 1)
-        return F.struct(F.when(keep, d).otherwise(s["at"]).alias("at"), (s["i"] + 1).alias("i"), F.when(keep, F.concat(s["kept"], F.array(s["i"]))).otherwise(s["kept"]).alias("kept"))
+    State: the distance kept last, and the last position if it isn't kept (a track's last one is to be kept, too).
+    """
 
-    return F.aggregate(along, zero, step, lambda s: s["kept"])
+    def step(state: tuple, rows: dict[str, list]) -> tuple[tuple, list]:
+        at, open_ = state
+        kept = []
+        for d, i in zip(rows[along], rows[position]):
+            keep = at is None or d - at >= spacing
+            at, open_ = (d, None) if keep else (at, i)
+            kept += [(i,)] if keep else []
+        return (at, open_), kept
 
+    return (None, None), step
 
-def smoothed(values: Column, factor: float) -> Column:
-    """Exponential mean; the first known value is taken as it is, unknown ones change nothing."""
-    return F.aggregate(values, F.lit(None).cast("double"), lambda s, v: F.when(v.isNull() | F.isnan(v), s).when(s.isNull(), v).otherwise(s + F.lit(factor) * (v - s)))
 
+def smoothed(value: str, factor: float) -> tuple[tuple, Step]:
+    """Exponential mean; the first known value is taken as it is, unknown ones change nothing. State: the mean."""
 
-def held(ideal: Column, step: float = 0.5, margin: float = 0.15) -> Column:
-    """Value after following ``ideal`` in steps, moving only once it is off by more than half a step and the margin; an unknown ideal changes nothing."""
-    near = lambda v: F.floor(v / step + 0.5) * step
-    return F.aggregate(ideal, F.lit(None).cast("double"), lambda s, v: F.when(v.isNull() | F.isnan(v), s).when(s.isNull(), near(v)).when(F.abs(v - s) < step / 2 + margin, s).otherwise(near(v)))
+    def step(state: tuple, rows: dict[str, list]) -> tuple[tuple, list]:
+        (now,) = state
+        for v in rows[value]:
+            if not _unknown(v):
+                now = float(v) if now is None else now + factor * (float(v) - now)
+        return (now,), []
 
+    return (None,), step
 
-def off_route(fixes: Column, far: float = 50.0, near: float = 25.0, rough: float = 60.0, needed: int = 3) -> Column:
-    """How often a track of fixes (off, accuracy) goes off its route: the ``needed``-th far fix in a row, rough ones ignored."""
-    zero = F.struct(F.lit(0).alias("count"), F.lit(False).alias("off"), F.lit(0).alias("times"))
 
-    def step(s: Column, f: Column) -> Column:
-        count = F.when(f["off"] <= near, 0).when((f["off"] > far) & (f["accuracy"] <= rough), s["count"] + 1).otherwise(s["count"])
-        off = F.when(count == 0, False).otherwise(s["off"] | (count >= needed))
-        return F.struct(count.alias("count"), off.alias("off"), (s["times"] + F.when(off & ~s["off"], 1).otherwise(0)).alias("times"))
+def held(ideal: str, size: float = 0.5, margin: float = 0.15) -> tuple[tuple, Step]:
+    """A value that follows ``ideal`` in steps, once it is off by more than half a step and the margin. State: the value."""
 
-    return F.aggregate(fixes, zero, step, lambda s: s["times"])
+    def step(state: tuple, rows: dict[str, list]) -> tuple[tuple, list]:
+        (now,) = state
+        for v in rows[ideal]:
+            if not _unknown(v) and (now is None or abs(v - now) >= size / 2 + margin):
+                now = math.floor(v / size + 0.5) * size
+        return (now,), []
 
+    return (None,), step
 
-def mode_after(events: Column) -> Column:
-    """Last state of the follow mode: a tap goes off, north, heading, north; a drag pauses; a long press ends."""
 
-    def step(s: Column, e: Column) -> Column:
-        return (
-            F.when(e == "long", F.struct(F.lit("off").alias("mode"), F.lit(False).alias("paused")))
-            .when(e == "drag", F.struct(s["mode"].alias("mode"), (s["mode"] != "off").alias("paused")))
-            .when((e == "tap") & s["paused"], F.struct(s["mode"].alias("mode"), F.lit(False).alias("paused")))
-            .when(e == "tap", F.struct(F.when(s["mode"] == "north", "heading").otherwise("north").alias("mode"), F.lit(False).alias("paused")))
-            .otherwise(F.struct(s["mode"].alias("mode"), s["paused"].alias("paused")))
-        )
+def off_route(off: str, accuracy: str, far: float = 50.0, near: float = 25.0, rough: float = 60.0, needed: int = 3) -> tuple[tuple, Step]:
+    """How often a track goes off its route: the ``needed``-th far fix in a row, rough ones ignored. State: count, off, times."""
 
-    return F.aggregate(events, F.struct(F.lit("off").alias("mode"), F.lit(False).alias("paused")), step, lambda s: F.concat(s["mode"], F.when(s["paused"], " paused").otherwise("")))
+    def step(state: tuple, rows: dict[str, list]) -> tuple[tuple, list]:
+        count, off_now, times = state
+        for metres, acc in zip(rows[off], rows[accuracy]):
+            if _unknown(metres):
+                continue
+            if metres <= near:
+                count, off_now = 0, False
+            elif metres > far and not _unknown(acc) and acc <= rough:
+                count += 1
+                times += count >= needed and not off_now
+                off_now = off_now or count >= needed
+        return (count, off_now, times), []
 
+    return (0, False, 0), step
 
-def thinned(points: Column, distance, turn, keep_m: float = 10.0, turn_m: float = 3.0, turn_deg: float = 20.0) -> Column:
-    """Indexes of points (i, lon, lat, heading) kept while recording: far from the last kept, or less far after a turn.
 
-    ``distance(a, b)`` and ``turn(a, b)`` give expressions of two point structs.
-    """
-    zero = F.struct(F.lit(None).cast("struct<i:int,lon:double,lat:double,heading:double>").alias("p"), F.expr("cast(array() as array<int>)").alias("kept"))
+def mode_after(event: str) -> tuple[tuple, Step]:
+    """State of the follow mode: a tap goes off, north, heading, north; a drag pauses; a long press ends. State: mode, paused."""
 
-    def step(s: Column, p: Column) -> Column:
-        d = distance(s["p"], p)
-        keep = s["p"].isNull() | (d >= keep_m) | ((d >= turn_m) & (F.abs(turn(s["p"], p)) >= turn_deg))
-        return F.when(keep, F.struct(p.alias("p"), F.concat(s["kept"], F.array(p["i"])).alias("kept"))).otherwise(s)
+    def step(state: tuple, rows: dict[str, list]) -> tuple[tuple, list]:
+        mode, paused = state
+        for e in rows[event]:
+            if e == "long":
+                mode, paused = "off", False
+            elif e == "drag":
+                paused = mode != "off"
+            elif e == "tap":
+                mode, paused = mode if paused else "heading" if mode == "north" else "north", False
+        return (mode, paused), []
+
+    return ("off", False), step
+
+
+def thinned(position: str, keep_m: float = 10.0, turn_m: float = 3.0, turn_deg: float = 20.0) -> tuple[tuple, Step]:
+    """position, lon and lat of the fixes a recorder keeps: far from the last kept, or less far where the way turns.
+
+    The way's direction is the bearing from the last kept fix, compared with the one at which that fix was reached; the
+    first fix has none. State: the last kept fix and its bearing. Fixes without a place change nothing.
+    """
 
-    return F.aggregate(points, zero, step, lambda s: s["kept"])
+    def step(state: tuple, rows: dict[str, list]) -> tuple[tuple, list]:
+        lon, lat, heading = state
+        kept = []
+        for i, x, y in zip(rows[position], rows["lon"], rows["lat"]):
+            if _unknown(x) or _unknown(y):
+                continue
+            way = None
+            if lon is not None:
+                d, way = metres_between(lon, lat, x, y), bearing_of(lon, lat, x, y)
+                turned = heading is not None and d >= turn_m and abs((way - heading + 540.0) % 360.0 - 180.0) >= turn_deg
+                if d < keep_m and not turned:
+                    continue
+            lon, lat, heading = float(x), float(y), way
+            kept.append((i, lon, lat))
+        return (lon, lat, heading), kept
+
+    return (None, None, None), step
+
+
+def metres_between(lon1: float, lat1: float, lon2: float, lat2: float) -> float:
+    """As ``geo.haversine_m``."""
+    a, b = math.radians(lat1), math.radians(lat2)
+    h = math.sin((b - a) / 2) ** 2 + math.cos(a) * math.cos(b) * math.sin(math.radians(lon2 - lon1) / 2) ** 2
+    return 2 * ROUTE_M * math.asin(min(1.0, math.sqrt(h)))
+
+
+def bearing_of(lon1: float, lat1: float, lon2: float, lat2: float) -> float:
+    """Initial great-circle bearing, -180 to 180."""
+    d, a, b = math.radians(lon2 - lon1), math.radians(lat1), math.radians(lat2)
+    return math.degrees(math.atan2(math.sin(d) * math.cos(b), math.cos(a) * math.sin(b) - math.sin(a) * math.cos(b) * math.cos(d)))

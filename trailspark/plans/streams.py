@@ -24,10 +24,10 @@ def stream_speed(spark: SparkSession, d: str) -> DataFrame:
 
 def stream_thinner(spark: SparkSession, d: str) -> DataFrame:
     """How many fixes a recorder keeps of each track and the last of them, by a stream in two runs."""
-    f = A.fixes(spark, d).select("track", "n", "ts", "lon", "lat", "heading")
+    f = A.fixes(spark, d).select("track", "n", "ts", "lon", "lat")
     return folds.replay(f, "ts", folds.thinned).groupBy("track").agg(F.count("*").alias("kept"), F.max("at").alias("last"))
 
 
 QUERIES = {f.__name__: f for f in (stream_off_route, stream_speed, stream_thinner)}
 
-ORACLES = {"stream_off_route": tracks.ORACLES["off_route_debounce"], "stream_speed": tracks.ORACLES["ema_speed"]}
+ORACLES = {"stream_off_route": tracks.ORACLES["off_route_debounce"], "stream_speed": tracks.ORACLES["ema_speed"], "stream_thinner": tracks.ORACLES["thin_track"]}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from trailspark.functions import geo
-from trailspark.operators import sequence, spatial
+from trailspark.operators import folding, sequence, spatial
 from trailspark.plans import adapters as A
 from trailspark.tables import table
 
@@ -23,7 +23,7 @@ def _steps(spark: SparkSession, d: str) -> DataFrame:
 
 
 _STEPS = f"""{A.FIXES}, lagged as (select *, lag(lon) over v as plon, lag(lat) over v as plat from fixes window v as (partition by track order by ts, i)),
-steps as (select *, coalesce(2 * 6371008.8 * asin(least(1.0, sqrt(pow(sin(radians(lat - plat) / 2), 2) + cos(radians(plat)) * cos(radians(lat)) * pow(sin(radians(lon - plon) / 2), 2)))), 0) as m from lagged)"""
+steps as (select *, case when plon is null then 0 else 2 * 6371008.8 * asin(least(1.0, sqrt(pow(sin(radians(lat - plat) / 2), 2) + cos(radians(plat)) * cos(radians(lat)) * pow(sin(radians(lon - plon) / 2), 2)))) end as m from lagged)"""
 
 
 def track_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -38,45 +38,49 @@ def cumulative_distance(spark: SparkSession, d: str) -> DataFrame:
     return f.withColumn("m", m).select("i", F.round(F.sum("m").over(_in_order().rowsBetween(Window.unboundedPreceding, 0)), 2).alias("along"))
 
 
+def _folded(rows: DataFrame, fold: tuple, out: str, finish=None) -> DataFrame:
+    """A fold over each track's rows in the order of n."""
+    return folding.folded(rows, "track", ["n"], *fold, out, finish)
+
+
 def climb_fold(spark: SparkSession, d: str) -> DataFrame:
-    rows = sequence.collected(A.fixes(spark, d), "track", ["n"], ["ele"])
-    return rows.select("track", geo.js_round(sequence.climb(F.expr("transform(rows, r -> r.ele)"))).alias("climb"))
+    total = _folded(A.fixes(spark, d).select("track", "n", "ele"), sequence.climb("ele"), "total double", lambda s: [(s[1],)])
+    return total.select("track", geo.js_round(F.col("total")).alias("climb"))
 
 
 def spacing_sample(spark: SparkSession, d: str) -> DataFrame:
     """Positions kept so that they lie at least 250 m apart along the track."""
     along = F.round(F.sum("m").over(_in_order().rowsBetween(Window.unboundedPreceding, 0)), 2)
-    rows = sequence.collected(_steps(spark, d).withColumn("along", along), "track", ["n"], ["along"])
-    return rows.select("track", F.array_join(sequence.spaced(F.expr("transform(rows, r -> r.along)"), 250.0), ",").alias("kept"))
+    rows = _steps(spark, d).select("track", "n", along.alias("along"), (F.col("n") - 1).alias("i"))
+    kept = _folded(rows, sequence.spaced("along", "i", 250.0), "i long", lambda s: [] if s[1] is None else [(s[1],)])
+    return kept.groupBy("track").agg(F.array_join(F.array_sort(F.collect_list("i")), ",").alias("kept"))
 
 
 def thin_track(spark: SparkSession, d: str) -> DataFrame:
-    """How many fixes a recorder keeps of each track."""
-    f = A.fixes(spark, d).withColumn("p", F.struct(F.col("n").cast("int").alias("i"), "lon", "lat", "heading"))
-    rows = f.groupBy("track").agg(F.array_sort(F.collect_list("p")).alias("ps"))
-    kept = sequence.thinned(F.col("ps"), lambda a, b: geo.haversine_m(a["lon"], a["lat"], b["lon"], b["lat"]), lambda a, b: geo.turn(a["heading"], b["heading"]))
-    return rows.select("track", F.size(kept).alias("kept"), F.array_max(kept).alias("last"))
+    """How many fixes a recorder keeps of each track, and the last of them."""
+    kept = _folded(A.fixes(spark, d).select("track", "n", "lon", "lat"), sequence.thinned("n"), "n long, lon double, lat double")
+    return kept.groupBy("track").agg(F.count("*").alias("kept"), F.max("n").alias("last"))
 
 
 def ema_speed(spark: SparkSession, d: str) -> DataFrame:
-    rows = sequence.collected(A.fixes(spark, d), "track", ["n"], ["ele"])
-    return rows.select("track", F.round(sequence.smoothed(F.expr("transform(rows, r -> r.ele)"), 0.4), 6).alias("speed"))
+    end = _folded(A.fixes(spark, d).select("track", "n", "ele"), sequence.smoothed("ele", 0.4), "speed double", lambda s: [s])
+    return end.select("track", F.round("speed", 6).alias("speed"))
 
 
 def follow_zoom(spark: SparkSession, d: str) -> DataFrame:
-    rows = sequence.collected(A.fixes(spark, d).withColumn("ideal", 10 + F.floor(F.col("ele")) % 60 / 10.0), "track", ["n"], ["ideal"])
-    return rows.select("track", sequence.held(F.expr("transform(rows, r -> r.ideal)")).alias("zoom"))
+    rows = A.fixes(spark, d).select("track", "n", (10 + F.floor(F.col("ele")) % 60 / 10.0).alias("ideal"))
+    return _folded(rows, sequence.held("ideal"), "zoom double", lambda s: [s])
 
 
 def off_route_debounce(spark: SparkSession, d: str) -> DataFrame:
-    rows = sequence.collected(A.fixes(spark, d).withColumn("off", (F.col("i") * 7 % 110).cast("double")), "track", ["n"], ["off", "accuracy"])
-    return rows.select("track", sequence.off_route(F.col("rows")).alias("times"))
+    rows = A.fixes(spark, d).select("track", "n", (F.col("i") * 7 % 110).cast("double").alias("off"), "accuracy")
+    return _folded(rows, sequence.off_route("off", "accuracy"), "times int", lambda s: [(s[2],)])
 
 
 def mode_machine(spark: SparkSession, d: str) -> DataFrame:
-    f = A.fixes(spark, d).withColumn("e", F.element_at(F.array(F.lit("tap"), F.lit("drag"), F.lit("tap"), F.lit("long"), F.lit("tap")), (F.col("i") % 5 + 1).cast("int")))
-    rows = sequence.collected(f, "track", ["n"], ["e"])
-    return rows.select("track", sequence.mode_after(F.expr("transform(rows, r -> r.e)")).alias("mode"))
+    e = F.element_at(F.array(F.lit("tap"), F.lit("drag"), F.lit("tap"), F.lit("long"), F.lit("tap")), (F.col("i") % 5 + 1).cast("int"))
+    rows = A.fixes(spark, d).select("track", "n", e.alias("e"))
+    return _folded(rows, sequence.mode_after("e"), "mode string", lambda s: [(s[0] + " paused" * s[1],)])
 
 
 def runs_islands(spark: SparkSession, d: str) -> DataFrame:
@@ -188,7 +192,21 @@ _MODE = _fold(
     "",
 )
 
+_HAV = "2 * 6371008.8 * asin(least(1.0, sqrt(pow(sin(radians(lat - s.lat) / 2), 2) + cos(radians(s.lat)) * cos(radians(lat)) * pow(sin(radians(lon - s.lon) / 2), 2))))"
+_WAY = "degrees(atan2(sin(radians(lon - s.lon)) * cos(radians(lat)), cos(radians(s.lat)) * sin(radians(lat)) - sin(radians(s.lat)) * cos(radians(lat)) * cos(radians(lon - s.lon))))"
+
 ORACLES = {
+    "spacing_sample": f"""with recursive {_STEPS}, a as materialized (select track, n, count(*) over (partition by track) as top, round(sum(m) over (partition by track order by ts, i rows unbounded preceding), 2) as along from steps),
+w as (select track, n, top, along, 0.0::double as mark, true as keep from a where n = 1
+  union all select a.track, a.n, a.top, a.along, if(a.along - w.mark >= 250, a.along, w.mark), a.along - w.mark >= 250 or a.n = a.top from w join a on a.track = w.track and a.n = w.n + 1)
+select track, string_agg((n - 1)::varchar, ',' order by n) as kept from w where keep group by track""",
+    "thin_track": f"""with recursive {A.FIXES}, f as materialized (select track, n, lon, lat from fixes),
+w as (select track, n, lon, lat, null::double as way, true as keep from f where n = 1
+  union all select track, n, if(keep, lon2, lon), if(keep, lat2, lat), if(keep, way2, way), keep from (
+    select track, n, s_lon as lon, s_lat as lat, lon2, lat2, way, way2, d >= 10 or (way is not null and d >= 3 and abs((way2 - way + 900) % 360 - 180) >= 20) as keep from (
+      select f.track, f.n, s.lon as s_lon, s.lat as s_lat, f.lon as lon2, f.lat as lat2, s.way, {_HAV.replace("(lat - ", "(f.lat - ").replace("radians(lat)", "radians(f.lat)").replace("(lon - ", "(f.lon - ")} as d,
+        {_WAY.replace("(lon - ", "(f.lon - ").replace("radians(lat)", "radians(f.lat)")} as way2 from w s join f on f.track = s.track and f.n = s.n + 1)))
+select track, count(*) as kept, max(n) as last from w where keep group by track""",
     "follow_zoom": f"""{_ROWS} select track, {_fold("{'z': null::double, 'v': 0.0::double}", "case when s.z is null then {'z': floor(x.v / 0.5 + 0.5) * 0.5, 'v': x.v} when abs(x.v - s.z) < 0.4 then s else {'z': floor(x.v / 0.5 + 0.5) * 0.5, 'v': x.v} end", "list_transform(vs, lambda v: {'z': null::double, 'v': (10 + floor(v) % 60 / 10.0)::double})", ".z")} as zoom from t""",
     "mode_machine": f"""{_ROWS}, m as (select track, {_MODE} as m from t) select track, m.mode || case when m.paused then ' paused' else '' end as mode from m""",
     "track_stats": f"""with {_STEPS} select track, round(sum(m), 2) as metres, nullif((epoch_us(max(ts)) - epoch_us(min(ts))) // 1000, 0) as ms,

@@ -7,7 +7,6 @@ limit on files of a trigger bounds; a track's history isn't kept. Fixes without
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -15,10 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from trailspark.operators import sequence
 from trailspark.tables import shared_folder, written
 
-EARTH_M = 6371008.8
-
 
 def folded(stream: DataFrame, by: str, order: str, start: tuple, step: Callable, state: str, out: str) -> DataFrame:
     """Append-mode stream of what ``step(state, rows in order)`` gives beside the next state; ``by`` is its first column."""
@@ -36,57 +34,41 @@ def folded(stream: DataFrame, by: str, order: str, start: tuple, step: Callable,
 def off_route(stream: DataFrame, by: str = "track", order: str = "n", far: float = 50.0, near: float = 25.0, rough: float = 60.0, needed: int = 3) -> DataFrame:
     """by, upto (last order value), off and times (how often the track went off so far) for each batch of fixes with off and accuracy."""
 
+    start, fold = sequence.off_route("off", "accuracy", far, near, rough, needed)
+
     def step(state: tuple, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
-        count, off, times = state
-        for metres, accuracy in zip(rows["off"], rows["accuracy"]):
-            if metres <= near:
-                count, off = 0, False
-            elif metres > far and accuracy <= rough:
-                count += 1
-                times += count >= needed and not off
-                off = off or count >= needed
+        (count, off, times), _ = fold(state, _lists(rows))
         return (count, off, times), pd.DataFrame({"upto": [int(rows[order].iloc[-1])], "off": [off], "times": [times]})
 
-    return folded(stream, by, order, (0, False, 0), step, "count int, off boolean, times int", "upto long, off boolean, times int")
+    return folded(stream, by, order, start, step, "count int, off boolean, times int", "upto long, off boolean, times int")
 
 
 def speed(stream: DataFrame, by: str = "track", order: str = "n", value: str = "ele", factor: float = 0.4) -> DataFrame:
     """by, upto and speed, the exponential mean so far, for each batch; null until a value is known."""
 
+    start, fold = sequence.smoothed(value, factor)
+
     def step(state: tuple, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
-        (now,) = state
-        for v in rows[value].dropna():
-            now = float(v) if now is None else now + factor * (float(v) - now)
+        (now,), _ = fold(state, _lists(rows))
         return (now,), pd.DataFrame({"upto": [int(rows[order].iloc[-1])], "speed": pd.Series([now], dtype="float64")})
 
-    return folded(stream, by, order, (None,), step, "speed double", "upto long, speed double")
+    return folded(stream, by, order, start, step, "speed double", "upto long, speed double")
 
 
 def thinned(stream: DataFrame, by: str = "track", order: str = "n", keep_m: float = 10.0, turn_m: float = 3.0, turn_deg: float = 20.0) -> DataFrame:
     """by, at (order value), lon and lat of the fixes a recorder keeps: far from the last kept, or less far after a turn."""
 
-    def step(state: tuple, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
-        lon, lat, heading = state
-        kept = []
-        for at, x, y, h in rows[[order, "lon", "lat", "heading"]].itertuples(index=False):
-            d = None if lon is None else _metres(lon, lat, x, y)
-            if d is None or d >= keep_m or (d >= turn_m and abs(_turn(heading, h)) >= turn_deg):
-                lon, lat, heading = float(x), float(y), float(h)
-                kept.append((int(at), lon, lat))
-        return (lon, lat, heading), pd.DataFrame(kept, columns=["at", "lon", "lat"]).astype({"at": "int64", "lon": "float64", "lat": "float64"})
-
-    return folded(stream.where("lon is not null and lat is not null"), by, order, (None, None, None), step, "lon double, lat double, heading double", "at long, lon double, lat double")
+    start, fold = sequence.thinned(order, keep_m, turn_m, turn_deg)
 
+    def step(state: tuple, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
+        now, kept = fold(state, _lists(rows))
+        return now, pd.DataFrame(kept, columns=["at", "lon", "lat"]).astype({"at": "int64", "lon": "float64", "lat": "float64"})
 
-def _metres(lon1: float, lat1: float, lon2: float, lat2: float) -> float:
-    a, b = math.radians(lat1), math.radians(lat2)
-    h = math.sin((b - a) / 2) ** 2 + math.cos(a) * math.cos(b) * math.sin(math.radians(lon2 - lon1) / 2) ** 2
-    return 2 * EARTH_M * math.asin(min(1.0, math.sqrt(h)))
+    return folded(stream.where("lon is not null and lat is not null"), by, order, start, step, "lon double, lat double, heading double", "at long, lon double, lat double")
 
 
-def _turn(before: float, after: float) -> float:
-    d = (after - before) % 360
-    return d - 360 if d > 180 else d
+def _lists(rows: pd.DataFrame) -> dict[str, list]:
+    return {c: rows[c].tolist() for c in rows.columns}
 
 
 def replay(rows: DataFrame, time: str, fold: Callable[[DataFrame], DataFrame]) -> DataFrame:
