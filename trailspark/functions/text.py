@@ -29,8 +29,9 @@ def title_case(s: Column) -> Column:
 
 
 def road_label(name: Column) -> Column:
-    digits = name.rlike(r"^\d+$")
-    return F.when(digits, F.concat(F.lit("road "), name)).when(name.rlike(r"(?i)^f\s?\d+"), F.upper(F.regexp_replace(name, r"\s+", ""))).otherwise(title_case(name))
+    """How a road's name is said: numbers as roads, F-roads in one word, other names in title case; empty names are unknown."""
+    name = F.when(name != "", F.trim(name))
+    return F.when(name.rlike(r"^\d+$"), F.concat(F.lit("road "), name)).when(name.rlike(r"(?i)^f\s?\d+$"), F.upper(F.regexp_replace(name, r"\s", ""))).otherwise(title_case(name))
 
 
 def one_decimal(x: Column) -> Column:

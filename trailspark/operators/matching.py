@@ -47,7 +47,7 @@ def way(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
 
 
 def turns(points: DataFrame) -> DataFrame:
-    """points (track, n, lon, lat, along) with ``turn``: degrees, right positive, from the way in over the last 30 m to the way out.
+    """points (track, n, lon, lat, along) with ``way_in`` over the last 30 m, ``way_out`` over the next 30 m, and ``turn``, right positive.
 
     The places 30 m back and ahead lie between points; near an end the first or last point stands for them. They come
     from frames by distance: the last point that lies that far back, and the one behind it.
@@ -72,7 +72,12 @@ def turns(points: DataFrame) -> DataFrame:
     target = {"_b": F.col("along") - FRAME_M, "_a": F.col("along") + FRAME_M}
     into = way(between("_b", target["_b"], "_first", "lon"), between("_b", target["_b"], "_first", "lat"), F.col("lon"), F.col("lat"))
     out = way(F.col("lon"), F.col("lat"), between("_a", target["_a"], "_last", "lon"), between("_a", target["_a"], "_last", "lat"))
-    return marked.withColumn("turn", F.pmod(out - into + 540.0, F.lit(360.0)) - 180.0).select(*points.columns, "turn")
+    return marked.withColumn("way_in", into).withColumn("way_out", out).withColumn("turn", between_ways(F.col("way_in"), F.col("way_out"))).select(*points.columns, "way_in", "way_out", "turn")
+
+
+def between_ways(into: Column, out: Column) -> Column:
+    """Degrees from one direction to another, -180 up to below 180."""
+    return F.pmod(out - into + 540.0, F.lit(360.0)) - 180.0
 
 
 def _same(n: str | None = None) -> Column:

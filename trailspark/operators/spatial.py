@@ -1,8 +1,8 @@
-"""Joins by place: range joins on a grid, nearest neighbours in growing rings, points on lines."""
+"""Joins by place: range joins on a grid, nearest neighbours in growing rings, as-of lookups."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailspark.functions import geo
@@ -49,19 +49,6 @@ def nearest(points: DataFrame, targets: DataFrame, key: str, radii_km: tuple[flo
     return found
 
 
-def on_segments(points: DataFrame, segments: DataFrame, on: str) -> DataFrame:
-    """Distance of points (x, y) to segments (ax, ay, bx, by) of the same ``on``, in a plane scaled at the point's latitude.
-
-    t is the place on the segment, held between its ends.
-    """
-    k = F.cos(F.radians(F.col("y")))
-    dx, dy = (F.col("bx") - F.col("ax")) * k, F.col("by") - F.col("ay")
-    px, py = (F.col("x") - F.col("ax")) * k, F.col("y") - F.col("ay")
-    length = dx * dx + dy * dy
-    met = points.join(segments, on).withColumn("t", F.when(length == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (px * dx + py * dy) / length))))
-    return met.withColumn("m", F.lit(geo.DEGREE_M) * F.sqrt(F.pow(px - F.col("t") * dx, F.lit(2)) + F.pow(py - F.col("t") * dy, F.lit(2))))
-
-
 def asof(left: DataFrame, right: DataFrame, on: list[str], by: str, values: list[str], strict: bool = False) -> DataFrame:
     """Each left row with the values of the last right row of the same ``on`` whose ``by`` isn't beyond its own.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trailspark.functions import geo
-from trailspark.operators import graph, raster, spatial
+from trailspark.operators import graph, raster, snap
 from trailspark.plans import adapters as A
 from trailspark.tables import table
 
@@ -70,11 +70,9 @@ def route_totals(spark: SparkSession, d: str) -> DataFrame:
 
 def point_on_line(spark: SparkSession, d: str) -> DataFrame:
     """Each place's nearest of four lines across the map, and where on it; the first segment wins ties."""
-    lines = spark.createDataFrame([(0, i, -24.0 + 3 * i, 63.0 + 0.7 * i, -21.0 + 3 * i, 66.5 - 0.5 * i) for i in range(4)], "g int, seg int, ax double, ay double, bx double, by double")
-    p = A.places(spark, d).select("place_id", F.lit(0).alias("g"), F.col("lon").alias("x"), F.col("lat").alias("y"))
-    met = spatial.on_segments(p, F.broadcast(lines), "g")  # four rows
-    best = met.groupBy("place_id").agg(F.min(F.struct(F.round("m", 3).alias("m"), "seg", F.round("t", 6).alias("t"))).alias("b"))
-    return best.select("place_id", "b.seg", "b.t", "b.m")
+    lines = spark.createDataFrame([(i, -24.0 + 3 * i, 63.0 + 0.7 * i, -21.0 + 3 * i, 66.5 - 0.5 * i) for i in range(4)], "seg int, ax double, ay double, bx double, by double")
+    p = A.places(spark, d).select("place_id", F.col("lon").alias("x"), F.col("lat").alias("y"))
+    return snap.nearest_segment(p, lines, "place_id", ["seg"], zoom=10).select("place_id", "seg", F.round("t", 6).alias("t"), "m")
 
 
 def polygon_area(spark: SparkSession, d: str) -> DataFrame:

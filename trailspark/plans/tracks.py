@@ -118,21 +118,6 @@ def monotone_unwrap(spark: SparkSession, d: str) -> DataFrame:
     return start.withColumn("until", F.lead("start").over(w)).groupBy("l_orderkey").agg(F.max("start").alias("top"), F.sum(F.coalesce(F.col("until") - F.col("start"), F.lit(0).cast("long"))).alias("covered"))
 
 
-def turn_angles(spark: SparkSession, d: str) -> DataFrame:
-    """Turns by kind: slight from 20, plain from 45, sharp from 135, u-turn from 170 degrees."""
-    f = A.fixes(spark, d).withColumn("turn", geo.turn(F.lag("heading").over(_in_order()), F.col("heading"))).where("turn is not null")
-    a = F.abs("turn")
-    kind = F.when(a < 20, "straight").when(a < 45, "slight").when(a < 135, "turn").when(a < 170, "sharp").otherwise("u-turn")
-    return f.groupBy("track", kind.alias("kind"), (F.col("turn") > 0).alias("right")).agg(F.count("*").alias("n"), F.round(F.sum("turn"), 3).alias("sum"))
-
-
-def close_turn_suppress(spark: SparkSession, d: str) -> DataFrame:
-    """Instructions that aren't followed by another within 20 m."""
-    t = _steps(spark, d).withColumn("along", F.round(F.sum("m").over(_in_order().rowsBetween(Window.unboundedPreceding, 0)), 2))
-    gap = F.lead("along").over(_in_order()) - F.col("along")
-    return t.withColumn("gap", gap).where("gap is null or gap >= 20").groupBy("track").agg(F.count("*").alias("kept"))
-
-
 def asof_purchase(spark: SparkSession, d: str) -> DataFrame:
     """Each click with the latest purchase before it by the same user: an as-of join in one pass."""
     e = table(spark, d, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
@@ -180,7 +165,7 @@ def _fold(init: str, step: str, items: str, pick: str) -> str:
 
 _ROWS = f"with {A.FIXES}, t as (select track, list(ele order by n) as vs, list(i order by n) as ids, list(accuracy order by n) as acc from fixes group by track)"
 
-QUERIES = {f.__name__: f for f in (track_stats, cumulative_distance, climb_fold, spacing_sample, thin_track, ema_speed, follow_zoom, off_route_debounce, mode_machine, runs_islands, repeat_coalesce, consecutive_dedupe, delta_encode, monotone_unwrap, turn_angles, close_turn_suppress, asof_purchase, nearest_rank_quantiles, photos_by_day, just_taken, session_windows)}
+QUERIES = {f.__name__: f for f in (track_stats, cumulative_distance, climb_fold, spacing_sample, thin_track, ema_speed, follow_zoom, off_route_debounce, mode_machine, runs_islands, repeat_coalesce, consecutive_dedupe, delta_encode, monotone_unwrap, asof_purchase, nearest_rank_quantiles, photos_by_day, just_taken, session_windows)}
 
 _RUNS = f"""with {A.FIXES}, a as (select *, case when lag(kind) over (partition by track order by n) is not distinct from kind and n > 1 then 0 else 1 end as new from fixes),
 b as (select *, sum(new) over (partition by track order by n)::bigint as run from a), r as (select track, run, any_value(kind) as kind, count(*) as n, min(n) as first, max(n) as last from b group by track, run)"""
@@ -225,10 +210,6 @@ select track, sum(abs(delta))::bigint as moved, 1 as ok from q group by track"""
     "monotone_unwrap": """with a as (select *, l_partkey * 7919 % 16777216 as r from lineitem), b as (select *, case when r < lag(r) over w then 1 else 0 end as fell from a window w as (partition by l_orderkey order by l_partkey, l_suppkey, l_linenumber)),
 c as (select *, r + sum(fell) over (partition by l_orderkey order by l_partkey, l_suppkey, l_linenumber rows unbounded preceding) * 16777216 as start from b),
 e as (select *, lead(start) over (partition by l_orderkey order by l_partkey, l_suppkey, l_linenumber) as until from c) select l_orderkey, max(start)::bigint as top, sum(coalesce(until - start, 0))::bigint as covered from e group by l_orderkey""",
-    "turn_angles": f"""with {A.FIXES}, h as (select *, (heading - lag(heading) over (partition by track order by ts, i) + 360) % 360 as d from fixes), t as (select *, case when d > 180 then d - 360 else d end as turn from h where d is not null)
-select track, case when abs(turn) < 20 then 'straight' when abs(turn) < 45 then 'slight' when abs(turn) < 135 then 'turn' when abs(turn) < 170 then 'sharp' else 'u-turn' end as kind, turn > 0 as right, count(*) as n, round(sum(turn), 3) as sum from t group by all""",
-    "close_turn_suppress": f"""with {_STEPS}, a as (select *, round(sum(m) over (partition by track order by ts, i rows unbounded preceding), 2) as along from steps),
-g as (select *, lead(along) over (partition by track order by ts, i) - along as gap from a) select track, count(*) as kept from g where gap is null or gap >= 20 group by track""",
     "asof_purchase": """with e as (select event_id, user_id, epoch_us(ts) as us from events), r as (select user_id, us, max(event_id) as last_id from e where event_id % 5 = 0 group by all)
 select l.event_id, r.last_id from (select * from e where event_id % 5 <> 0) l asof left join r on l.user_id = r.user_id and l.us >= r.us""",
     "nearest_rank_quantiles": """with r as (select *, count(*) over (partition by event_type) as n, row_number() over (partition by event_type order by value, event_id) - 1 as k from events)
