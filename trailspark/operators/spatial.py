@@ -1,11 +1,14 @@
-"""Joins by place: range joins on a grid, nearest neighbours in growing rings, as-of lookups."""
+"""Joins by place: range joins on a grid, nearest neighbours on the sphere, as-of lookups."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailspark.functions import geo
+from trailspark.tables import written
 
 
 def bbox_join(left: DataFrame, right: DataFrame, cell: float) -> DataFrame:
@@ -26,27 +29,75 @@ def bbox_join(left: DataFrame, right: DataFrame, cell: float) -> DataFrame:
     return overlap.where(owner).drop("_cx", "_cy")
 
 
-def nearest(points: DataFrame, targets: DataFrame, key: str, radii_km: tuple[float, ...], tie: str) -> DataFrame:
-    """Each point (key, lon, lat) with its nearest target (t_lon, t_lat, ...) and km, within the last radius.
+def _unit(lon: str, lat: str) -> list[Column]:
+    """A place as a point of the unit sphere. Straight lines between such points grow with the distance on the ground, and neither
+    poles nor longitude 180 are special."""
+    x, y = F.radians(lon), F.radians(lat)
+    return [F.cos(y) * F.cos(x), F.cos(y) * F.sin(x), F.sin(y)]
+
+
+def nearest(points: DataFrame, targets: DataFrame, key: str, tie: str, most_km: float | None = None, depth: int = 9) -> DataFrame:
+    """Each point (key, lon, lat, ...) with its nearest target (t_lon, t_lat, ...) on the sphere and km.
 
-    A ring of radius r uses cells of at least r on either axis, so its nine neighbours hold every target within r; what
-    finds none goes on to the next ring. Equal distances go to the smaller ``tie``. A point without a
-    target in the last ring is left out.
+    Equal distances go to the smaller ``tie`` (a column of targets). Without ``most_km`` only rows with an unknown place are left
+    out, or all if there is no target. key is unique.
+
+    Places lie in the cells of an octree around the sphere. Points first meet the targets of their own cell and its neighbours
+    (6371 / 2^(depth - 1) km wide); a find nearer than a cell is wide is final. The others come down the tree by the cells that
+    hold targets, and of each level only those stay that can hold something nearer than the farthest corner of another.
     """
-    waiting, found = points, None
-    for r in radii_km:
-        size = r / 111.0
-        row = F.floor(F.col("lat") / size)
-        # a target lands in the columns of the three rows it can be met from, each with that row's width
-        width = lambda row: F.lit(size) / F.greatest(F.lit(0.05), F.cos(F.radians(F.least(F.lit(87.0), F.greatest(F.abs(row * size), F.abs((row + 1) * size))))))
-        here = waiting.withColumn("_r", row).withColumn("_c", F.floor(F.col("lon") / width(F.col("_r"))))
-        there = targets.withColumn("_r", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor(F.col("t_lat") / size) + d)))
-        there = there.withColumn("_c", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor(F.col("t_lon") / width(F.col("_r"))) + d)))
-        met = here.join(there, ["_r", "_c"]).withColumn("km", geo.haversine_km(F.col("lon"), F.col("lat"), F.col("t_lon"), F.col("t_lat"))).where(F.col("km") <= r)
-        best = met.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy("km", tie))).where("_n = 1").drop("_n", "_r", "_c")
-        found = best if found is None else found.unionByName(best)
-        waiting = waiting.join(best.select(key), key, "left_anti")
-    return found
+    size = 2.0 / (1 << depth)
+    axes = ("_x", "_y", "_z")
+    cells = [f"_c{a}" for a in axes]
+
+    def placed(df: DataFrame, lon: str, lat: str, names: tuple) -> DataFrame:
+        df = df.where(F.col(lon).isNotNull() & F.col(lat).isNotNull())
+        return df.select("*", *[v.alias(n) for n, v in zip(names, _unit(lon, lat))])
+
+    def cell(v: Column, level: int) -> Column:
+        return F.least(F.floor((v + 1.0) * (1 << level) / 2), F.lit((1 << level) - 1)).cast("long")
+
+    there = placed(targets, "t_lon", "t_lat", ("_tx", "_ty", "_tz"))
+    there = written(there.select("*", *[cell(F.col(f"_t{a[1]}"), depth).alias(c) for a, c in zip(axes, cells)]).drop("_tx", "_ty", "_tz"))
+    here = written(placed(points, "lon", "lat", axes))
+    value = [c for c in targets.columns if c != tie]
+
+    def best(near: DataFrame) -> DataFrame:
+        met = near.join(there, cells).withColumn("km", geo.haversine_km(F.col("lon"), F.col("lat"), F.col("t_lon"), F.col("t_lat")))
+        return met.groupBy(key).agg(F.min(F.struct("km", tie, *value)).alias("_b"))
+
+    near = here.select(key, "lon", "lat", *axes)
+    ring = near
+    for a, c in zip(axes, cells):
+        ring = ring.withColumn(c, F.explode(F.array(*[cell(F.col(a), depth) + v for v in (-1, 0, 1)])))
+    chord = lambda km: 2 * F.sin(F.least(km, F.lit(geo.SEARCH_KM * math.pi)) / (2 * geo.SEARCH_KM))
+    seen = written(here.join(best(ring), key, "left").withColumn("_d", chord(F.col("_b.km"))))
+    sure = F.coalesce(F.col("_d") < size * (1 - 1e-9), F.lit(False))
+    found = seen.where(sure).select(key, "_b")
+    bound = F.lit(9.0) if most_km is None else chord(F.lit(float(most_km))) + 1e-9
+    open_ = seen.where(~sure).select(key, "lon", "lat", *axes, F.least(F.coalesce("_d", F.lit(9.0)) + 1e-9, bound).alias("_ub"))
+    if not open_.isEmpty():
+        occupied = written(there.select(*cells).distinct())
+        steps = [*range(depth % 2 or 2, depth, 2), depth]
+        up = lambda level: [F.shiftright(c, depth - level).alias(c) for c in cells]
+        near = _nearer(open_.join(F.broadcast(occupied.select(*up(steps[0])).distinct())), key, axes, cells, 2.0 / (1 << steps[0]))  # 64 cells at most
+        for level, below in zip(steps, steps[1:]):
+            down = occupied.select(*up(below)).distinct().select(*[F.col(c).alias(f"_n{c}") for c in cells], *[F.shiftright(c, below - level).alias(c) for c in cells])
+            near = near.join(down, cells).drop(*cells).withColumnsRenamed({f"_n{c}": c for c in cells})
+            near = _nearer(near, key, axes, cells, 2.0 / (1 << below))
+        found = found.unionByName(best(near))
+    done = points.join(found, key).select("*", "_b.*").drop("_b")
+    return done if most_km is None else done.where(F.col("km") <= most_km)
+
+
+def _nearer(near: DataFrame, key: str, axes: tuple, cells: list[str], size: float) -> DataFrame:
+    """Pairs of point and cell of which the cell's nearest side isn't beyond the least farthest corner."""
+    off = [F.abs(F.col(a) - ((F.col(c) + 0.5) * size - 1.0)) for a, c in zip(axes, cells)]
+    span = lambda parts: F.sqrt(sum((F.pow(p, F.lit(2)) for p in parts), F.lit(0.0)))
+    least, most = span([F.greatest(o - size / 2, F.lit(0.0)) for o in off]) - 1e-9, span([o + size / 2 for o in off]) + 1e-9
+    met = near.withColumn("_lb", least).withColumn("_most", most).where("_lb <= _ub")
+    met = met.withColumn("_ub", F.least("_ub", F.min("_most").over(Window.partitionBy(key))))  # a point has few cells
+    return met.where("_lb <= _ub").drop("_lb", "_most")
 
 
 def asof(left: DataFrame, right: DataFrame, on: list[str], by: str, values: list[str], strict: bool = False) -> DataFrame:

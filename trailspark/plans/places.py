@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from trailspark.functions import geo, text
 from trailspark.operators import spatial
 from trailspark.plans import adapters as A
+from trailspark.plans import network
 from trailspark.tables import table
 
 # Limits and radii of place search.
@@ -39,7 +40,7 @@ def search_near(df: DataFrame, query: str, lon: float, lat: float, limit: int =
     d2 = dx * dx + (F.col("lat") - lat) * (F.col("lat") - lat)
     limit2 = (NEAR_KM / geo.DEGREE_KM) ** 2
     s = s.withColumn("bucket", F.when(F.col("norm") == query, -1).otherwise(F.col("score"))).withColumn("near", d2 < limit2)
-    town = F.when((F.col("bucket") == -1) & ~F.shiftright(F.col("type"), 8).between(1, 13), 1).otherwise(0)
+    town = F.when((F.col("bucket") == -1) & ~((F.col("kind") == "point") & F.shiftright(F.col("type"), 8).between(1, 13)), 1).otherwise(0)
     return s.orderBy("bucket", town, F.desc("near"), F.when(F.col("near"), d2).otherwise(0.0), "rank", F.length("norm"), "name", "place_id").limit(limit)
 
 
@@ -67,19 +68,37 @@ def place_dedupe(spark: SparkSession, d: str) -> DataFrame:
 
 
 def nearest_town(spark: SparkSession, d: str) -> DataFrame:
-    """Each place's nearest town and how far and where it lies."""
-    found = spatial.nearest(A.places(spark, d), A.towns(spark, d), "place_id", (30.0, 120.0, 1000.0), "town_id")
+    """Each place's nearest town and how far and where it lies; for a town within half a kilometre of one, nothing is said.
+
+    Places on the streets over the date line are among them; they are thousands of kilometres from any town.
+    """
+    far = network.nodes(spark, d).where("node % 10 = 3").select((-F.col("node")).alias("place_id"), "lon", "lat", F.lit("line").alias("kind"), F.lit(0).alias("type"))
+    places = A.places(spark, d).select("place_id", "lon", "lat", "kind", "type").unionByName(far)
+    found = spatial.nearest(places, A.towns(spark, d), "place_id", "town_id")
     b = geo.bearing(F.col("t_lon"), F.col("t_lat"), F.col("lon"), F.col("lat"))
-    where = F.when(F.col("km") < 2, F.concat(F.lit("in "), F.col("town"))).when(F.col("km") < 15, F.concat(F.lit("near "), F.col("town"))).otherwise(F.concat(geo.js_round(F.col("km")).cast("string"), F.lit(" km "), geo.octant(b), F.lit(" of "), F.col("town")))
-    return found.select("place_id", "town_id", F.round("km", 3).alias("km"), where.alias("described"))
+    town = text.title_case(F.col("town"))
+    where = F.when(F.col("km") < 2, F.concat(F.lit("in "), town)).when(F.col("km") < 15, F.concat(F.lit("near "), town)).otherwise(F.concat(text.search_distance(F.col("km")), F.lit(" "), geo.octant(b), F.lit(" of "), town))
+    own = (F.col("kind") == "point") & F.shiftright("type", 8).between(1, 13) & (F.col("km") < 0.5)
+    return found.select("place_id", "town_id", F.round("km", 3).alias("km"), F.when(~own, where).alias("described"))
+
+
+def near_name(points: DataFrame, places: DataFrame, key: str, most_km: float = 3.0) -> DataFrame:
+    """Each point's nearest named point place within 3 km: key, near_id, label, km. Names of digits, blanks and ``. , -`` alone don't count.
+
+    A height at a name's end is left out of the label. Of equal distances the later place counts.
+    """
+    named = places.where((F.col("kind") == "point") & ~F.col("name").rlike(r"^[\d\s.,-]+$"))
+    named = named.select((-F.col("place_id")).alias("_last"), F.col("place_id").alias("near_id"), F.col("name").alias("near"), F.col("lon").alias("t_lon"), F.col("lat").alias("t_lat"))
+    found = spatial.nearest(points, named, key, "_last", most_km, depth=12)
+    return found.select(key, "near_id", F.concat(F.lit("Near "), text.title_case(F.regexp_replace("near", r"\s+\d+\s?m$", ""))).alias("label"), "km")
 
 
 def near_name_3km(spark: SparkSession, d: str) -> DataFrame:
-    """Lines and areas with the nearest point place within 3 km."""
-    p = A.places(spark, d)
-    points = p.where("kind = 'point'").where(~F.col("name").rlike(r"^[+-]?(\d+(\.\d*)?|\.\d+)$")).select(F.col("place_id").alias("near_id"), F.col("name").alias("near"), F.col("lon").alias("t_lon"), F.col("lat").alias("t_lat"))
-    found = spatial.nearest(p.where("kind != 'point'").drop("name"), points, "place_id", (3.0,), "near_id")
-    return found.select("place_id", "near_id", F.concat(F.lit("Near "), F.col("near")).alias("label"), F.round("km", 3).alias("km"))
+    """Pins of customers, half of them beside a place, named after the nearest point place within 3 km."""
+    pins = table(spark, d, "customer").select(F.col("c_custkey").alias("pin"), (F.lit(-24.0) + (F.col("c_custkey") * 7919 % 110000) / 10000.0 + F.col("c_custkey") % 2 * 0.013).alias("lon"), (F.lit(63.0) + (F.col("c_custkey") * 104729 % 35000) / 10000.0 + F.col("c_custkey") % 3 * 0.011).alias("lat"))
+    k = F.col("place_id")
+    name = F.when(k % 4 == 0, F.concat(F.upper("name"), F.lit(" "), (k % 900).cast("string"), F.lit(" m"))).when(k % 9 == 1, F.concat((k % 90).cast("string"), F.lit(" - "), (k % 7).cast("string"))).otherwise(F.col("name"))
+    return near_name(pins, A.places(spark, d).withColumn("name", name), "pin").withColumn("km", F.round("km", 3))
 
 
 def bbox_range_join(spark: SparkSession, d: str) -> DataFrame:
@@ -128,17 +147,21 @@ QUERIES = {f.__name__: f for f in (place_search_plain, place_search_near, normal
 ORACLES = {
     "place_search_plain": f"{_SCORED_SQL} select place_id, name, score from s where score is not null order by score, rank, length(norm), name, place_id limit {LIMIT}",
     "place_search_near": f"""{_SCORED_SQL}, t as (select *, case when norm = '{QUERY}' then -1 else score end as bucket, pow((lon - {LON}) * cos(radians({LAT})), 2) + pow(lat - {LAT}, 2) as d2 from s where score is not null),
-u as (select *, d2 < pow({NEAR_KM} / {geo.DEGREE_KM}, 2) as near, case when bucket = -1 and not (type >> 8) between 1 and 13 then 1 else 0 end as town from t)
+u as (select *, d2 < pow({NEAR_KM} / {geo.DEGREE_KM}, 2) as near, case when bucket = -1 and not (kind = 'point' and (type >> 8) between 1 and 13) then 1 else 0 end as town from t)
 select place_id, name, score, near from u order by bucket, town, near desc, case when near then d2 else 0 end, rank, length(norm), name, place_id limit {LIMIT}""",
     "normalize_documents": f"select doc_id, md5({_NORM_SQL.format(c='text')}) as digest from documents",
     "place_dedupe": f"with {A.PLACES} select {_NORM_SQL.format(c='name')} as norm, kind, floor(lon * 20 + 0.5)::bigint as cx, floor(lat * 20 + 0.5)::bigint as cy, min(place_id) as place_id, count(*) as copies from places group by all",
-    "nearest_town": f"""with {A.PLACES}, {A.TOWNS}, m as (select p.*, t.*, {_HAV.format(r=6371.0, a='p.', b='t_').replace('t_lat', 't.t_lat').replace('t_lon', 't.t_lon')} as km from places p, towns t),
+    "nearest_town": f"""with {A.PLACES}, {A.TOWNS}, {network.STRETCHES}, p as (select place_id, lon, lat, kind, type from places union all select -node, lon, lat, 'line', 0 from nodes where node % 10 = 3),
+m as (select p.*, t.*, {_HAV.format(r=6371.0, a='p.', b='t_').replace('t_lat', 't.t_lat').replace('t_lon', 't.t_lon')} as km from p, towns t),
 b as (select *, row_number() over (partition by place_id order by km, town_id) as n from m),
 c as (select *, (degrees(atan2(sin(radians(lon - t_lon)) * cos(radians(lat)), cos(radians(t_lat)) * sin(radians(lat)) - sin(radians(t_lat)) * cos(radians(lat)) * cos(radians(lon - t_lon)))) + 360) % 360 as a from b where n = 1)
-select place_id, town_id, round(km, 3) as km, case when km < 2 then 'in ' || town when km < 15 then 'near ' || town
+select place_id, town_id, round(km, 3) as km, case when kind = 'point' and (type >> 8) between 1 and 13 and km < 0.5 then null when km < 2 then 'in ' || town when km < 15 then 'near ' || town
   else floor(km + 0.5)::bigint || ' km ' || ['N','NE','E','SE','S','SW','W','NW'][(floor(a / 45 + 0.5)::bigint % 8 + 1)] || ' of ' || town end as described from c""",
-    "near_name_3km": f"""with {A.PLACES}, m as (select a.place_id, b.place_id as near_id, 'Near ' || b.name as label, {_HAV.format(r=6371.0, a='a.', b='b.')} as km from places a, places b where a.kind <> 'point' and b.kind = 'point' and not regexp_matches(b.name, '^[+-]?(\\d+(\\.\\d*)?|\\.\\d+)$')),
-b as (select *, row_number() over (partition by place_id order by km, near_id) as n from m where km <= 3) select place_id, near_id, label, round(km, 3) as km from b where n = 1""",
+    "near_name_3km": f"""with {A.PLACES}, pins as (select c_custkey as pin, -24.0::double + (c_custkey * 7919 % 110000) / 10000.0::double + c_custkey % 2 * 0.013::double as lon, 63.0::double + (c_custkey * 104729 % 35000) / 10000.0::double + c_custkey % 3 * 0.011::double as lat from customer),
+named as (select *, case when place_id % 4 = 0 then upper(name) || ' ' || (place_id % 900) || ' m' when place_id % 9 = 1 then (place_id % 90) || ' - ' || (place_id % 7) else name end as said from places where kind = 'point'),
+m as (select a.pin, b.place_id as near_id, regexp_replace(said, '\\s+\\d+\\s?m$', '') as said, {_HAV.format(r=6371.0, a='a.', b='b.')} as km from pins a, named b where not regexp_matches(said, '^[\\d\\s.,-]+$')),
+b as (select *, row_number() over (partition by pin order by km, near_id desc) as n from m where km <= 3)
+select pin, near_id, 'Near ' || case when said = upper(said) and said <> lower(said) then array_to_string(list_transform(string_split(said, ' '), lambda w: upper(w[1:1]) || lower(w[2:])), ' ') else said end as label, round(km, 3) as km from b where n = 1""",
     "bbox_range_join": f"with {A.BOXES} select l.box_id as l_id, r.box_id as r_id from boxes l join boxes r on l.box_id < r.box_id and l.west <= r.east and r.west <= l.east and l.south <= r.north and r.south <= l.north",
     "tile_xy": f"with {A.PLACES}, z as (select *, unnest(range(4, 15))::int as zoom from places) select zoom, floor((lon + 180) / 360 * pow(2, zoom))::bigint as x, floor((1 - asinh(tan(radians(lat))) / pi()) / 2 * pow(2, zoom))::bigint as y, count(*) as n from z group by all",
     "title_case_parts": """with t as (select *, case when p_partkey % 3 = 0 then p_size::varchar when p_partkey % 3 = 1 then 'f ' || p_size else upper(p_type) end as r from part)
