@@ -31,3 +31,15 @@ def test_the_later_of_two_future_edits_wins(spark):
     gone = spark.createDataFrame([(3, 900_000)], "id long, at long")
     got = merge.last_writer(rows((1, 5, 800_000), (2, 5, None), (3, 5, 950_000)), rows((1, 5, 900_000), (2, 4, None)), gone, 0).collect()
     assert sorted(map(tuple, got)) == [(1, "remote", 300_000), (2, "local", 5)]
+
+
+def test_accents_go_by_decomposition(spark):
+    want = {"Þórsmörk": "thorsmork", "ÆGIR – Ǻrø": "aegir aro", "ṩố ǹ": "so n", "é x̣": "e x", "Ⅳ½ 5": "ⅳ½ 5", "...": "", "日本 ガ": "日本 カ"}
+    got = spark.createDataFrame([(k,) for k in want], "s string").select("s", text.normalize(F.col("s")).alias("n")).collect()
+    assert {r["s"]: r["n"] for r in got} == want
+
+
+def test_entities_are_read_once(spark):
+    want = {"a &lt; b &AMP; c": "a < b & c", "&amp;lt;": "&lt;", "&#65;&#x42;&#X1F600;": "AB😀", "&#0;&#xD800;&#1114112;": "&#0;&#xD800;&#1114112;", "&nbsp; & && &": "&nbsp; & && &", "&quot;x&apos;\n&gt;": "\"x'\n>", "none": "none", "": ""}
+    got = spark.createDataFrame([(k,) for k in want], "s string").select("s", text.unescape(F.col("s")).alias("n")).collect()
+    assert {r["s"]: r["n"] for r in got} == want

@@ -2,24 +2,40 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from trailspark.functions.geo import js_round
 
-_MARKED = "àáâãäåçèéêëìíîïñòóôõùúûüýÿ"
-_PLAIN = "aaaaaaceeeeiiiinoooouuuuyy"
-
 #: Spelt out in names before accents go.
 LETTERS = (("þ", "th"), ("ð", "d"), ("æ", "ae"), ("ö", "o"), ("ø", "o"))
 
 
+@lru_cache
+def _accents() -> tuple[str, str]:
+    """Letters whose canonical decomposition is one letter and marks, and those letters, by the rule of Unicode."""
+    marked, plain = [], []
+    for ch in map(chr, range(0xC0, 0x30000)):
+        if (d := unicodedata.decomposition(ch)) and not d.startswith("<"):
+            base = [c for c in unicodedata.normalize("NFD", ch) if not unicodedata.category(c).startswith("M")]
+            if len(base) == 1:
+                marked.append(ch)
+                plain.append(base[0])
+    return "".join(marked), "".join(plain)
+
+
 def normalize(s: Column) -> Column:
-    """Lower case without accents; every run of other than letters and digits is one blank."""
+    """Lower case without accents; every run of other than letters and digits is one blank.
+
+    Accents go by canonical decomposition. Hangul syllables, which would fall into their letters, stay whole.
+    """
     s = F.lower(s)
     for a, b in LETTERS:
         s = F.replace(s, F.lit(a), F.lit(b))
-    return F.trim(F.regexp_replace(F.translate(s, _MARKED, _PLAIN), r"[^\p{L}\p{N}]+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(F.translate(s, *_accents()), r"\p{M}+", ""), r"[^\p{L}\p{N}]+", " "))
 
 
 def title_case(s: Column) -> Column:
@@ -83,10 +99,23 @@ def clean_file_name(s: Column, default: str = "Route") -> Column:
 
 
 def unescape(s: Column) -> Column:
-    """The five named entities; the ampersand last."""
-    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
-        s = F.replace(s, F.lit(a), F.lit(b))
-    return s
+    """The five named entities in any case and numeric ones, decimal or hexadecimal, each read once.
+
+    Text is cut before each ampersand, and each part begins with an entity or doesn't. Numbers that name no character stay.
+    """
+    named = (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("amp", "&"))
+
+    def part(p: Column) -> Column:
+        name, rest = F.lower(F.regexp_extract(p, r"^&([A-Za-z]{2,4});", 1)), F.regexp_extract(p, r"(?s)^&[^;]*;(.*)$", 1)
+        digits, sixteen = F.regexp_extract(p, r"^&#([0-9]{1,7});", 1), F.regexp_extract(p, r"^&#[xX]([0-9A-Fa-f]{1,6});", 1)
+        code = F.when(digits != "", digits.try_cast("long")).when(sixteen != "", F.conv(sixteen, 16, 10).try_cast("long"))
+        known = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        found = F.when(known, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+        for n, c in named:
+            found = F.coalesce(found, F.when(name == n, c))
+        return F.coalesce(F.concat(found, rest), p)
+
+    return F.when(F.contains(s, F.lit("&")), F.array_join(F.transform(F.split(s, "(?=&)"), part), "")).otherwise(s)
 
 
 def escape(s: Column) -> Column:

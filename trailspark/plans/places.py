@@ -121,7 +121,9 @@ def clean_file_names(spark: SparkSession, d: str) -> DataFrame:
 
 
 def escaped_pages(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "pages").select("page_id", F.md5(text.unescape(F.col("html"))).alias("plain"), F.md5(text.escape(F.col("url"))).alias("url"))
+    """Pages' sources with some entities more, unescaped; and their escaped addresses."""
+    more = F.concat("html", F.lit("&#"), (F.col("page_id") % 900 + 100).cast("string"), F.lit(";&#x1F60"), (F.col("page_id") % 10).cast("string"), F.lit(";&AMP;lt; & &no;"))
+    return table(spark, d, "pages").select("page_id", F.md5(text.unescape(more)).alias("plain"), F.md5(text.escape(F.col("url"))).alias("url"))
 
 
 def format_distances(spark: SparkSession, d: str) -> DataFrame:
@@ -168,8 +170,14 @@ select pin, near_id, 'Near ' || case when said = upper(said) and said <> lower(s
 select p_partkey, array_to_string(list_transform(string_split(upper(p_name), ' '), lambda w: array_to_string(list_transform(string_split(w, '-'), lambda p: upper(p[1:1]) || lower(p[2:])), '-')), ' ') as title,
   case when p_partkey % 3 = 0 then 'road ' || r when p_partkey % 3 = 1 then upper(replace(r, ' ', '')) else array_to_string(list_transform(string_split(r, ' '), lambda w: array_to_string(list_transform(string_split(w, '-'), lambda p: upper(p[1:1]) || lower(p[2:])), '-')), ' ') end as road from t""",
     "clean_file_names": "with c as (select doc_id, trim(regexp_replace(regexp_replace(text, '[^\\p{L}\\p{N} _-]+', ' ', 'g'), ' +', ' ', 'g')) as t from documents) select doc_id, md5(case when t = '' then 'Route' else t end) as digest from c",
-    "escaped_pages": """select page_id, md5(replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', ''''), '&amp;', '&')) as plain,
-  md5(replace(replace(replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&apos;')) as url from pages""",
+    "escaped_pages": """with p as (select page_id, url, string_split(html || '&#' || (page_id % 900 + 100) || ';&#x1F60' || (page_id % 10) || ';&AMP;lt; & &no;', '&') as parts from pages),
+q as (select page_id, url, parts[1] || array_to_string(list_transform(parts[2:], lambda x: case
+  when regexp_matches(x, '^#[0-9]{1,7};') then chr(regexp_extract(x, '^#([0-9]{1,7});', 1)::int) || regexp_extract(x, '^[^;]*;(.*)$', 1, 's')
+  when regexp_matches(x, '^#[xX][0-9A-Fa-f]{1,6};') then chr(('0x' || regexp_extract(x, '^#[xX]([0-9A-Fa-f]{1,6});', 1))::int) || regexp_extract(x, '^[^;]*;(.*)$', 1, 's')
+  when regexp_matches(x, '^(lt|gt|quot|apos|amp);', 'i') then case lower(regexp_extract(x, '^([a-zA-Z]+);', 1)) when 'lt' then '<' when 'gt' then '>' when 'quot' then '"' when 'apos' then chr(39) else '&' end || regexp_extract(x, '^[^;]*;(.*)$', 1, 's')
+  else '&' || x end), '') as plain from p)
+select page_id, md5(plain) as plain,
+  md5(replace(replace(replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&apos;')) as url from q""",
     "format_distances": f"""with v as (select l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice / 1000 as x, l_extendedprice / 4 as m, floor(l_extendedprice * 3000 / 60000 + 0.5)::bigint as q from lineitem)
 select l_orderkey, l_partkey, l_suppkey, l_linenumber, {_DIST} as search,
   case when m < 1000 then floor(m + 0.5)::bigint || ' m' when m < 10000 then {_ONE.format(x="(m / 1000)")} || ' km' else floor(m / 1000 + 0.5)::bigint || ' km' end as stats,

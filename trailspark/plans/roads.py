@@ -85,8 +85,11 @@ def polygon_area(spark: SparkSession, d: str) -> DataFrame:
 
 
 def raster_bilinear(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") * 7 % 500 / 10.0).alias("y"), (F.col("o_orderkey") * 11 % 390 / 10.0).alias("x"))
-    return raster.bilinear(o, A.raster(spark, d), 50, A.COLS).select("id", F.round("z", 3).alias("z"))
+    """Heights at orders' places, all over the raster and a little beyond its last rows and columns."""
+    heights = A.raster(spark, d)
+    rows = heights.agg(F.max("row")).first()[0] + 1  # the raster's own extent
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") * 7919 % (rows * 10 + 5) / 10.0).alias("y"), (F.col("o_orderkey") * 11 % 393 / 10.0).alias("x"))
+    return raster.bilinear(o, heights, rows, A.COLS).select("id", F.round("z", 3).alias("z"))
 
 
 def terrain_rgb(spark: SparkSession, d: str) -> DataFrame:
@@ -126,8 +129,8 @@ select place_id, seg::int as seg, round(t, 6) as t, m from q qualify row_number(
     "polygon_area": """with p as (select l_orderkey, l_partkey, l_suppkey, l_linenumber, l_partkey % 1000 as x, l_suppkey * 37 % 1000 as y from lineitem),
 n as (select *, coalesce(lead(x) over w, first_value(x) over w) as nx, coalesce(lead(y) over w, first_value(y) over w) as ny from p window w as (partition by l_orderkey order by l_partkey, l_suppkey, l_linenumber))
 select l_orderkey, abs(sum(x * ny - nx * y)) / 2.0 as area from n group by l_orderkey""",
-    "raster_bilinear": f"""with {A.RASTER}, p as (select o_orderkey as id, (o_orderkey * 7 % 500) / 10.0::double as y, (o_orderkey * 11 % 390) / 10.0::double as x from orders),
-c as (select id, y between 0 and 49 and x between 0 and {A.COLS - 1} as inside, unnest([{{'r': least(floor(y) + a, 49), 'c': least(floor(x) + b, {A.COLS - 1}), 'w': (case a when 0 then 1 - (y - floor(y)) else y - floor(y) end) * (case b when 0 then 1 - (x - floor(x)) else x - floor(x) end)}}]) as k from p, range(2) ra(a), range(2) rb(b))
+    "raster_bilinear": f"""with {A.RASTER}, top as (select max(row) as top from raster), p as (select o_orderkey as id, top, (o_orderkey * 7919 % (top * 10 + 15)) / 10.0::double as y, (o_orderkey * 11 % 393) / 10.0::double as x from orders, top),
+c as (select id, y between 0 and top and x between 0 and {A.COLS - 1} as inside, unnest([{{'r': least(floor(y) + a, top), 'c': least(floor(x) + b, {A.COLS - 1}), 'w': (case a when 0 then 1 - (y - floor(y)) else y - floor(y) end) * (case b when 0 then 1 - (x - floor(x)) else x - floor(x) end)}}]) as k from p, range(2) ra(a), range(2) rb(b))
 select id, round(case when any_value(inside) then sum(k.w * coalesce(h, 0)) end, 3) as z from c left join raster on row = k.r and col = k.c group by id""",
     "terrain_rgb": f"with {A.RASTER}, v as (select row, col, round_even((greatest(h, 0) + 10000) * 10, 0)::bigint as v from raster) select row, col, (v >> 16) & 255 as r, (v >> 8) & 255 as g, v & 255 as b from v",
     "overview_decimate": f"with {A.RASTER} select row, col, h from raster where row % 8 = 0 and col % 8 = 0",
