@@ -11,9 +11,11 @@ from trailspark.functions import geo
 from trailspark.tables import written
 
 
-def bbox_join(left: DataFrame, right: DataFrame, cell: float) -> DataFrame:
+def bbox_join(left: DataFrame, right: DataFrame, cell: float, equal: list[tuple[str, str]] | None = None) -> DataFrame:
     """Pairs of rows whose boxes (l_ and r_ west, south, east, north) overlap, borders included.
 
+    ``equal`` names pairs of columns, of left and right, that must be equal too.
+
     Both sides go to the grid cells that they cover; a pair counts only in the cell that holds the lower left corner
     of the overlap, so it comes once without a distinct. Costs grow with the cells a box covers: choose ``cell``
     about as large as a common box.
@@ -23,10 +25,14 @@ def bbox_join(left: DataFrame, right: DataFrame, cell: float) -> DataFrame:
         span = lambda a, b: F.explode(F.sequence(F.floor(F.col(f"{side}_{a}") / cell), F.floor(F.col(f"{side}_{b}") / cell)))
         return df.withColumn("_cx", span("west", "east")).withColumn("_cy", span("south", "north"))
 
-    met = cells(left, "l").join(cells(right, "r"), ["_cx", "_cy"])
+    there = cells(right, "r").withColumnsRenamed({"_cx": "_rx", "_cy": "_ry"})
+    on = (F.col("_cx") == F.col("_rx")) & (F.col("_cy") == F.col("_ry"))
+    for a, b in equal or ():
+        on = on & (F.col(a) == F.col(b))
+    met = cells(left, "l").join(there, on)
     overlap = met.where("l_west <= r_east and r_west <= l_east and l_south <= r_north and r_south <= l_north")
     owner = (F.floor(F.greatest("l_west", "r_west") / cell) == F.col("_cx")) & (F.floor(F.greatest("l_south", "r_south") / cell) == F.col("_cy"))
-    return overlap.where(owner).drop("_cx", "_cy")
+    return overlap.where(owner).drop("_cx", "_cy", "_rx", "_ry")
 
 
 def _unit(lon: str, lat: str) -> list[Column]:

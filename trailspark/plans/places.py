@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trailspark.functions import geo, text
-from trailspark.operators import spatial
+from trailspark.operators import labels, spatial
 from trailspark.plans import adapters as A
 from trailspark.plans import network
 from trailspark.tables import table
@@ -101,6 +101,15 @@ def near_name_3km(spark: SparkSession, d: str) -> DataFrame:
     return near_name(pins, A.places(spark, d).withColumn("name", name), "pin").withColumn("km", F.round("km", 3))
 
 
+def label_survivors(spark: SparkSession, d: str) -> DataFrame:
+    """Labels of areas made from orders, many of one name near each other, that no larger one stands for."""
+    k = F.col("o_orderkey")
+    ax, ay, half = k * 7919 % 100000 / 10.0, k * 104729 % 60000 / 10.0, (k % 11 + 1) * 4.0
+    name = F.when(k % 13 == 0, F.concat((k % 40).cast("string"), F.lit(" street"))).when(k % 17 != 0, F.concat(F.lit("area "), (k % 97).cast("string")))
+    rows = table(spark, d, "orders").select(k.alias("id"), name.alias("name"), (k % 50).alias("size"), ax.alias("ax"), ay.alias("ay"), (ax - half).alias("west"), (ay - half).alias("south"), (ax + half).alias("east"), (ay + half * 2).alias("north"))
+    return labels.survivors(rows, 128.0, 100.0).select("id", "name")
+
+
 def bbox_range_join(spark: SparkSession, d: str) -> DataFrame:
     b = A.boxes(spark, d)
     named = lambda s: b.select(F.col("box_id").alias(f"{s}_id"), *[F.col(c).alias(f"{s}_{c}") for c in ("west", "south", "east", "north")])
@@ -144,7 +153,7 @@ def zoom_bands(spark: SparkSession, d: str) -> DataFrame:
 _ONE = "(case when {x} > (2 * floor({x} * 10 + 0.5) - 1) / 20 or {x} = (2 * floor({x} * 10 + 0.5) - 1) / 20 and ((2 * floor({x} * 10 + 0.5) - 1) / 20 * 16 - (2 * floor({x} * 10 + 0.5) - 1)) + (2 * floor({x} * 10 + 0.5) - 1) / 20 * 4 >= 0 then (floor({x} * 10 + 0.5)::bigint // 10) || '.' || (floor({x} * 10 + 0.5)::bigint % 10) else ((floor({x} * 10 + 0.5)::bigint - 1) // 10) || '.' || ((floor({x} * 10 + 0.5)::bigint - 1) % 10) end)"
 _DIST = "case when x < 1 then greatest(10, floor(x * 1000 / 10 + 0.5) * 10)::bigint || ' m' when x < 10 then " + _ONE.format(x="x") + " || ' km' else floor(x + 0.5)::bigint || ' km' end"
 
-QUERIES = {f.__name__: f for f in (place_search_plain, place_search_near, normalize_documents, place_dedupe, nearest_town, near_name_3km, bbox_range_join, tile_xy, title_case_parts, clean_file_names, escaped_pages, format_distances, zoom_bands)}
+QUERIES = {f.__name__: f for f in (place_search_plain, place_search_near, normalize_documents, place_dedupe, nearest_town, near_name_3km, label_survivors, bbox_range_join, tile_xy, title_case_parts, clean_file_names, escaped_pages, format_distances, zoom_bands)}
 
 ORACLES = {
     "place_search_plain": f"{_SCORED_SQL} select place_id, name, score from s where score is not null order by score, rank, length(norm), name, place_id limit {LIMIT}",
@@ -164,6 +173,10 @@ named as (select *, case when place_id % 4 = 0 then upper(name) || ' ' || (place
 m as (select a.pin, b.place_id as near_id, regexp_replace(said, '\\s+\\d+\\s?m$', '') as said, {_HAV.format(r=6371.0, a='a.', b='b.')} as km from pins a, named b where not regexp_matches(said, '^[\\d\\s.,-]+$')),
 b as (select *, row_number() over (partition by pin order by km, near_id desc) as n from m where km <= 3)
 select pin, near_id, 'Near ' || case when said = upper(said) and said <> lower(said) then array_to_string(list_transform(string_split(said, ' '), lambda w: upper(w[1:1]) || lower(w[2:])), ' ') else said end as label, round(km, 3) as km from b where n = 1""",
+    "label_survivors": """with l as materialized (select o_orderkey as id, case when o_orderkey % 13 = 0 then (o_orderkey % 40) || ' street' when o_orderkey % 17 <> 0 then 'area ' || (o_orderkey % 97) end as name, o_orderkey % 50 as size,
+  o_orderkey * 7919 % 100000 / 10.0::double as ax, o_orderkey * 104729 % 60000 / 10.0::double as ay, (o_orderkey % 11 + 1) * 4.0::double as half from orders)
+select id, name from l where name is null or not exists (select 1 from l o where o.name = l.name and (o.size, o.ax, o.ay) > (l.size, l.ax, l.ay)
+  and ((o.ax - o.half <= l.ax + l.half and l.ax - l.half <= o.ax + o.half and o.ay - o.half <= l.ay + 2 * l.half and l.ay - l.half <= o.ay + 2 * o.half) or (not regexp_matches(l.name, '^[0-9]') and sqrt(pow(o.ax - l.ax, 2) + pow(o.ay - l.ay, 2)) < 128)))""",
     "bbox_range_join": f"with {A.BOXES} select l.box_id as l_id, r.box_id as r_id from boxes l join boxes r on l.box_id < r.box_id and l.west <= r.east and r.west <= l.east and l.south <= r.north and r.south <= l.north",
     "tile_xy": f"with {A.PLACES}, z as (select *, unnest(range(4, 15))::int as zoom from places) select zoom, floor((lon + 180) / 360 * pow(2, zoom))::bigint as x, floor((1 - asinh(tan(radians(lat))) / pi()) / 2 * pow(2, zoom))::bigint as y, count(*) as n from z group by all",
     "title_case_parts": """with t as (select *, case when p_partkey % 3 = 0 then p_size::varchar when p_partkey % 3 = 1 then 'f ' || p_size else upper(p_type) end as r from part)
