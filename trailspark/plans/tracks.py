@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from trailspark.functions import geo
-from trailspark.operators import folding, sequence, spatial
+from trailspark.operators import clusters, folding, sequence, spatial
 from trailspark.plans import adapters as A
 from trailspark.tables import table
 
@@ -142,6 +144,19 @@ def photos_by_day(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy("day").agg(F.count("*").alias("photos"), F.sum("bytes").alias("bytes")).join(names, "day").orderBy(F.desc("day"))
 
 
+#: Zooms of the maps, pixels across the world at zoom 0, and of a group.
+ZOOMS, WORLD, GROUP_PX = (12, 16), 512.0, 56.0
+
+
+def photo_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Groups of the pictures taken at all fixes on maps of two zooms: each group's first picture and how many it has."""
+    f = A.fixes(spark, d).select(F.col("i").alias("n"), "lon", "lat", F.explode(F.array(*[F.lit(z) for z in ZOOMS])).alias("zoom"))
+    scale = F.lit(WORLD) * F.pow(F.lit(2.0), F.col("zoom"))
+    y = (1 - F.asinh(F.tan(F.radians("lat"))) / math.pi) / 2 * scale
+    placed = f.select("zoom", "n", F.round((F.col("lon") + 180) / 360 * scale, 3).alias("x"), F.round(y, 3).alias("y"))
+    return clusters.clustered(placed, "zoom", GROUP_PX).groupBy("zoom", F.col("founder").alias("first")).agg(F.count("*").alias("photos"))
+
+
 def just_taken(spark: SparkSession, d: str) -> DataFrame:
     """Purchases with the fixes of the same user less than three minutes away."""
     e = table(spark, d, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
@@ -165,7 +180,7 @@ def _fold(init: str, step: str, items: str, pick: str) -> str:
 
 _ROWS = f"with {A.FIXES}, t as (select track, list(ele order by n) as vs, list(i order by n) as ids, list(accuracy order by n) as acc from fixes group by track)"
 
-QUERIES = {f.__name__: f for f in (track_stats, cumulative_distance, climb_fold, spacing_sample, thin_track, ema_speed, follow_zoom, off_route_debounce, mode_machine, runs_islands, repeat_coalesce, consecutive_dedupe, delta_encode, monotone_unwrap, asof_purchase, nearest_rank_quantiles, photos_by_day, just_taken, session_windows)}
+QUERIES = {f.__name__: f for f in (track_stats, cumulative_distance, climb_fold, spacing_sample, thin_track, ema_speed, follow_zoom, off_route_debounce, mode_machine, runs_islands, repeat_coalesce, consecutive_dedupe, delta_encode, monotone_unwrap, asof_purchase, nearest_rank_quantiles, photos_by_day, photo_clusters, just_taken, session_windows)}
 
 _RUNS = f"""with {A.FIXES}, a as (select *, case when lag(kind) over (partition by track order by n) is not distinct from kind and n > 1 then 0 else 1 end as new from fixes),
 b as (select *, sum(new) over (partition by track order by n)::bigint as run from a), r as (select track, run, any_value(kind) as kind, count(*) as n, min(n) as first, max(n) as last from b group by track, run)"""
@@ -216,6 +231,13 @@ select l.event_id, r.last_id from (select * from e where event_id % 5 <> 0) l as
 select event_type, max(value) filter (where k = least(n - 1, floor(n * 0.5))) as p50, max(value) filter (where k = least(n - 1, floor(n * 0.95))) as p95, max(value) as top from r group by event_type""",
     "photos_by_day": """with e as (select *, strftime(ts, '%Y-%m-%d') as day, floor(value * 1000)::bigint as bytes from events), f as (select day, event_type, min(event_id) as f from e group by all),
 n as (select day, array_to_string(list(event_type order by f)[1:2], ', ') as names from f group by day) select day, count(*) as photos, sum(bytes)::bigint as bytes, any_value(names) as names from e join n using (day) group by day""",
+    "photo_clusters": f"""with recursive {A.FIXES}, p as materialized (select z.zoom, i as n, round((lon + 180) / 360 * {WORLD} * pow(2, z.zoom), 3) as x, round((1 - asinh(tan(radians(lat))) / pi()) / 2 * {WORLD} * pow(2, z.zoom), 3) as y from fixes, (values {", ".join(f"({z})" for z in ZOOMS)}) z(zoom)),
+rest(k, zoom, n, x, y) as (select 0, zoom, n, x, y from p
+  union all select k + 1, zoom, n, x, y from (select *, first_value(n) over w as fn, first_value(x) over w as fx, first_value(y) over w as fy from rest window w as (partition by zoom order by n)) where n <> fn and (x - fx) * (x - fx) + (y - fy) * (y - fy) > {GROUP_PX**2}),
+founders as (select f.zoom, f.n, p.x, p.y from (select zoom, k, min(n) as n from rest group by zoom, k) f join p using (zoom, n)),
+met as (select p.zoom, p.n, f.n as first, row_number() over (partition by p.zoom, p.n order by (p.x - f.x) * (p.x - f.x) + (p.y - f.y) * (p.y - f.y), floor(f.x / {GROUP_PX}), floor(f.y / {GROUP_PX}), f.n) as k
+  from p join founders f on f.zoom = p.zoom and f.n <= p.n and (p.x - f.x) * (p.x - f.x) + (p.y - f.y) * (p.y - f.y) <= {GROUP_PX**2})
+select zoom, first, count(*) as photos from met where k = 1 group by all""",
     "just_taken": "with e as (select event_id, user_id, epoch_us(ts) as us from events) select p.event_id as photo, f.event_id as fix from e p join e f using (user_id) where p.event_id % 10 = 0 and f.event_id % 10 <> 0 and abs(f.us - p.us) < 180000000",
     "session_windows": """with a as (select user_id, epoch_us(ts) as us, case when epoch_us(ts) - lag(epoch_us(ts)) over (partition by user_id order by ts) < 3600000000 then 0 else 1 end as new from events),
 b as (select *, sum(new) over (partition by user_id order by us) as s from a) select user_id, min(us) as start_us, count(*) as n from b group by user_id, s""",
