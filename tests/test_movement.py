@@ -41,3 +41,34 @@ def test_gpx_writer_keeps_order_heights_times_and_signs(spark, tmp_path):
 def test_trip_lines_skip_what_is_no_fix(spark, tmp_path):
     (tmp_path / "t.csv").write_text("1000,64.1,-20.5\nbad\n2000,91,0\n,64,0\n3000, 64.2 ,-20.6\n4000,64.2,-20.6,9\n5000,NaN,0\n")
     assert sorted((r["time"], r["lat"], r["lon"]) for r in movement.trip_lines(spark, str(tmp_path)).collect()) == [(1000, 64.1, -20.5), (3000, 64.2, -20.6)]
+
+
+def encoded(v):
+    """A number in the encoded-polyline form, bit by bit."""
+    s, out = (v << 1) ^ (v >> 63), ""
+    while s >= 32:
+        out += chr((32 | s & 31) + 63)
+        s >>= 5
+    return out + chr(s + 63)
+
+
+def test_trips_in_addresses(spark):
+    from urllib.parse import quote
+
+    points = [(64.12345, -21.98765, 1_700_000_001_999), (64.12346, -21.98765, 1_700_000_002_000), (-33.0, 179.99999, 1_700_000_000_500), (0.0, 0.0, 1_700_000_090_000)]
+    df = spark.createDataFrame([("a", k, *p) for k, p in enumerate(points)] + [("b", 0, 1.0, 2.0, 5000), ("c", 0, None, 2.0, 5000)], "trip string, n int, lat double, lon double, time long")
+    got = {r["trip"]: r["fragment"] for r in movement.trip_fragments(df, "trip", "n").collect()}
+    coords, secs, before = "", "", (0, 0, 1_700_000_000)
+    for lat, lon, t in points:
+        now = (round(lat * 1e5), round(lon * 1e5), t // 1000)
+        coords, secs, before = coords + encoded(now[0] - before[0]) + encoded(now[1] - before[1]), secs + encoded(now[2] - before[2]), now
+    assert got["a"] == "trip=1.1700000000500.1700000090000." + quote(coords, safe="?@_~") + "." + quote(secs, safe="?@_~") and set(got) == {"a", "b"}
+
+    a = got["a"]
+    others = {"hash": "#" + a, "cut": a[:-2] + ".", "bad": a.replace("trip=1", "trip=2"), "broken": a + "%", "odd": "trip=1.5.6.????.?", "none": "trip=1.5.6..", "space": "trip=1.5.6.?+.?", "open": "trip=1.5.6.??._", None: a}
+    lines = spark.createDataFrame([(k, v) for k, v in others.items()], "k string, fragment string").where("k is not null")
+    back = movement.trip_points(lines, "k").orderBy("k", "n").collect()
+    assert [(r["k"], r["n"], r["lat"], r["lon"], r["time"]) for r in back] == [("hash", k, lat, lon, t // 1000 * 1000) for k, (lat, lon, t) in enumerate(points)]
+    assert {(r["start"], r["end"]) for r in back} == {(1_700_000_000_500, 1_700_000_090_000)}
+    ids = spark.createDataFrame([(1_700_000_000_500,), (35,)], "t long")
+    assert [r[0] for r in ids.select(movement.trip_id(ids["t"])).collect()] == ["trip-loyw3vg4", "trip-z"]
