@@ -63,3 +63,13 @@ def test_no_vectors_odd_lengths_and_overflow(spark):
         vectorcodes.fit(spark.createDataFrame([(1, [1.0] * 9, 1)], schema))
     with pytest.raises(Exception, match="too large"):
         vectorcodes.fit(spark.createDataFrame([(1, [1e30] * 8, 1)], schema))
+
+
+def test_queries_of_empty_tables(spark, tmp_path):
+    from trailspark.llm import queries
+
+    for t in ("embeddings", "documents"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").limit(0).write.parquet(str(tmp_path / f"{t}.parquet"))
+    for q in ("op11_source_audit", "op12_tree_bpe", "op13_vector_codes"):
+        got, whole = (queries.QUERIES[q](spark, d) for d in (str(tmp_path), "/root/testdata/sf0.001"))
+        assert got.count() == 0 and got.dtypes == whole.dtypes
