@@ -40,3 +40,23 @@ def restorable(incoming: DataFrame, here: DataFrame, deleted: DataFrame) -> Data
 def upsert(current: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
     """Current rows, those of new in the place of rows with their key."""
     return current.join(new.select(key), key, "left_anti").unionByName(new)
+
+
+def delete(current: DataFrame, gone: DataFrame, ids: DataFrame, now_ms: int) -> tuple[DataFrame, DataFrame]:
+    """The rows without those of ``ids`` (id), and the deletions with these, at now in the place of earlier ones.
+
+    Undoing an addition is the same: the added rows go and leave deletions.
+    """
+    ids = ids.select("id").where("id is not null").distinct()
+    return current.join(ids, "id", "left_anti"), gone.join(ids, "id", "left_anti").unionByName(ids.withColumn("at", F.lit(now_ms).cast(gone.schema["at"].dataType)))
+
+
+def put_back(current: DataFrame, gone: DataFrame, rows: DataFrame, now_ms: int) -> tuple[DataFrame, DataFrame]:
+    """The rows with ``rows`` in their place, changed now, and the deletions without theirs: the undoing of a deletion."""
+    stamped = rows.withColumn("updated", F.lit(now_ms).cast(current.schema["updated"].dataType))
+    return upsert(current, stamped), gone.join(rows.select("id"), "id", "left_anti")
+
+
+def restore(current: DataFrame, gone: DataFrame, backup: DataFrame, now_ms: int) -> tuple[DataFrame, DataFrame]:
+    """What of a backup is new here or newer and wasn't deleted since comes back, changed now; nothing is deleted."""
+    return put_back(current, gone, backup.join(restorable(backup, current, gone).select("id"), "id", "left_semi"), now_ms)

@@ -43,6 +43,15 @@ def upsert_by_id(spark: SparkSession, d: str) -> DataFrame:
     return merge.upsert(local, remote.where("id % 7 = 0"))
 
 
+def edits(spark: SparkSession, d: str) -> DataFrame:
+    """Rows and deletions after every seventh row was deleted, half of these put back, and another copy restored."""
+    local, remote, gone = A.collections(spark, d)
+    rows, gone = merge.delete(local, gone, local.where("id % 7 = 3"), NOW)
+    rows, gone = merge.put_back(rows, gone, local.where("id % 14 = 3"), NOW + 1)
+    rows, gone = merge.restore(rows, gone, remote, NOW + 2)
+    return rows.select("id", "added", "updated", F.lit(None).cast("long").alias("at")).unionByName(gone.select("id", F.lit(None).cast("long").alias("added"), F.lit(None).cast("long").alias("updated"), F.col("at").cast("long").alias("at")))
+
+
 def idempotent_insert(spark: SparkSession, d: str) -> DataFrame:
     """Remote rows whose id isn't stored yet."""
     local, remote, _ = A.collections(spark, d)
@@ -87,7 +96,7 @@ def content_hash(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").groupBy("p_brand").agg(F.substring(F.sha2(F.array_join(F.array_sort(F.collect_list(row)), "\n"), 256), 1, 12).alias("digest"))
 
 
-QUERIES = {f.__name__: f for f in (lww_merge, deletions_merge, restore_newer_only, picture_sync_sets, upsert_by_id, idempotent_insert, same_collections, row_validators, retention_last_k, next_free_colour, draw_level_running, content_hash)}
+QUERIES = {f.__name__: f for f in (lww_merge, deletions_merge, restore_newer_only, picture_sync_sets, upsert_by_id, edits, idempotent_insert, same_collections, row_validators, retention_last_k, next_free_colour, draw_level_running, content_hash)}
 
 _CAP = NOW + merge.AHEAD_MS
 ORACLES = {
@@ -99,6 +108,13 @@ where (l.id is null or coalesce(r.updated, r.added) > coalesce(l.updated, l.adde
     "picture_sync_sets": f"""with {A.COLLECTIONS} select id, 'up' as action from local where id not in (select id from remote)
 union all select id, case when id in (select id from deleted) then 'delete' else 'down' end from remote where id not in (select id from local)""",
     "upsert_by_id": f"with {A.COLLECTIONS} select * from local where id not in (select id from remote where id % 7 = 0) union all select * from remote where id % 7 = 0",
+    "edits": f"""with {A.COLLECTIONS}, cut as (select id from local where id % 7 = 3), back as (select * from local where id % 14 = 3),
+gone1 as (select * from deleted where id not in (select id from cut) union all select id, {NOW} from cut where id not in (select id from back)),
+gone2 as (select * from gone1 where id not in (select id from back)),
+rows1 as (select * from local where id not in (select id from cut) union all select id, added, {NOW + 1} from back),
+fit as (select r.* from remote r left join rows1 l using (id) left join gone2 g using (id) where (l.id is null or coalesce(r.updated, r.added) > coalesce(l.updated, l.added)) and (g.id is null or g.at < coalesce(r.updated, r.added)))
+select id, added, updated, null::bigint as at from rows1 where id not in (select id from fit) union all select id, added, {NOW + 2}, null from fit
+union all select id, null, null, "at" from gone2 where id not in (select id from fit)""",
     "idempotent_insert": f"with {A.COLLECTIONS} select * from remote where id not in (select id from local)",
     "same_collections": f"with {A.COLLECTIONS} select (select count(*) from (select * from local except all select * from remote)) as here, (select count(*) from (select * from remote except all select * from local)) as there",
     "row_validators": f"""with {A.PLACES}, p as (select place_id, name, case when place_id % 97 = 0 then 200.0 else lon end as lon, case when place_id % 89 = 0 then 'nan'::double else lat end as lat from places)
