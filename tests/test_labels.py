@@ -32,3 +32,9 @@ def test_survivors_equal_all_pairs(spark):
     got = sorted(r["id"] for r in labels.survivors(df, 3.0, 5.0).collect())
     assert got == sorted(r[0] for r in rows if not gone(r)) and len(got) < len(rows) / 2
     assert labels.survivors(df.limit(0), 3.0, 5.0).count() == 0
+
+
+def test_addresses_near_each_other_stay(spark):
+    rows = [(1, "12 road", 2.0, 0.0, 0.0), (2, "12 road", 1.0, 2.0, 0.0), (3, "road", 2.0, 0.0, 0.0), (4, "road", 1.0, 2.0, 0.0)]
+    df = spark.createDataFrame(rows, "id long, name string, size double, ax double, ay double").selectExpr("*", "ax west", "ay south", "ax east", "ay north")
+    assert sorted(r["id"] for r in labels.survivors(df, 3.0, 5.0).collect()) == [1, 2, 3]

@@ -33,7 +33,7 @@ def survivors(labels: DataFrame, distance: float, cell: float) -> DataFrame:
     larger = F.struct(*[F.col(f"_{c}") for c in _SIZE]) > F.struct(*_SIZE)
 
     side = distance / math.sqrt(2) * (1 - 1e-12)
-    placed = known.where(~F.col("name").rlike(r"^\\d")).withColumn("_cx", F.floor(F.col("ax") / side)).withColumn("_cy", F.floor(F.col("ay") / side))
+    placed = known.where(~F.col("name").rlike("^[0-9]")).withColumn("_cx", F.floor(F.col("ax") / side)).withColumn("_cy", F.floor(F.col("ay") / side))
     top = placed.groupBy("name", "_cx", "_cy").agg(F.max(F.struct(*_SIZE)).alias("_top"))
     firsts = top.select("name", "_cx", "_cy", "_top.*")  # the place of the label that may stay; its boxes follow by the join below
     around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-2, 3) for j in range(-2, 3)]))
@@ -41,7 +41,7 @@ def survivors(labels: DataFrame, distance: float, cell: float) -> DataFrame:
     others = placed.select("name", "_cx", "_cy", *[F.col(c).alias(f"_{c}") for c in _SIZE]).distinct()
     beaten = asked.join(others, ["name", "_cx", "_cy"]).where(larger & (F.hypot(F.col("ax") - F.col("_ax"), F.col("ay") - F.col("_ay")) < distance)).select("name", *_SIZE).distinct()
     apart = firsts.drop("_cx", "_cy").join(beaten, ["name", *_SIZE], "left_anti")
-    left = written(known.join(apart, ["name", *_SIZE], "left_semi").unionByName(known.where(F.col("name").rlike(r"^\\d"))))
+    left = written(known.join(apart, ["name", *_SIZE], "left_semi").unionByName(known.where(F.col("name").rlike("^[0-9]"))))
 
     boxes = known.groupBy("name", *_BOX).agg(F.max(F.struct(*_SIZE)).alias("_m")).select(F.col("name").alias("_name"), *[F.col(c).alias(f"r_{c}") for c in _BOX], *[F.col(f"_m.{c}").alias(f"_{c}") for c in _SIZE])
     candidates = left.groupBy("name", *_BOX).agg(F.max(F.struct(*_SIZE)).alias("_m")).select("name", *[F.col(c).alias(f"l_{c}") for c in _BOX], *[F.col(f"_m.{c}").alias(c) for c in _SIZE])
