@@ -42,3 +42,16 @@ def test_pins_are_named_after_named_points(spark):
     named = spark.createDataFrame([(i, n, e * deg, north * deg, "polygon" if n == "Lake" else "point") for i, n, e, north in rows], "place_id long, name string, lon double, lat double, kind string")
     pins = spark.createDataFrame([(1, 0.0, 0.0), (2, 0.0, 20.5 * deg), (3, 0.0, 46.9 * deg), (4, 0.0, 47.1 * deg)], "pin long, lon double, lat double")
     assert sorted((r["pin"], r["near_id"], r["label"]) for r in places.near_name(pins, named, "pin").collect()) == [(1, 1, "Near Hverfjall"), (2, 5, "Near Stone hut"), (4, 6, "Near Far")]
+
+
+def test_the_tree_is_as_deep_as_targets_are_dense(spark):
+    rng = random.Random(4)
+    targets = [(i, rng.uniform(20, 20.2), rng.uniform(50, 50.1)) for i in range(1500)]
+    points = [(i, rng.uniform(19.9, 20.3), rng.uniform(49.9, 50.2)) for i in range(150)] + [(1000 + i, rng.uniform(-180, 180), rng.uniform(-80, 200)) for i in range(150)]
+    p, t = spark.createDataFrame(points, "id long, lon double, lat double"), spark.createDataFrame(targets, "t_id long, t_lon double, t_lat double")
+    got = {r["id"]: (r["t_id"], r["km"]) for r in spatial.nearest(p, t, "id", "t_id").collect()}
+    want = {i: min((km((x, y), (a, b)), k) for k, a, b in targets) for i, x, y in points}
+    assert got == {i: (k, pytest.approx(d, rel=1e-9, abs=1e-9)) for i, (d, k) in want.items()}
+    cells = [(c, [(math.floor(v * 2**19) + 2**19) for v in (math.cos(math.radians(y)) * math.cos(math.radians(x)), math.cos(math.radians(y)) * math.sin(math.radians(x)), math.sin(math.radians(y)))]) for c, x, y in targets]
+    placed = spark.createDataFrame([tuple(v) for _, v in cells], "_c_x long, _c_y long, _c_z long")
+    assert spatial._depth(placed, ["_c_x", "_c_y", "_c_z"]) > 11

@@ -42,68 +42,114 @@ def _unit(lon: str, lat: str) -> list[Column]:
     return [F.cos(y) * F.cos(x), F.cos(y) * F.sin(x), F.sin(y)]
 
 
-def nearest(points: DataFrame, targets: DataFrame, key: str, tie: str, most_km: float | None = None, depth: int = 9) -> DataFrame:
+#: Targets that a target shares its cell with, on average; the octree is as deep as that takes, down to cells of 12 m.
+_CROWD, _DEEPEST = 5, 20
+
+
+def nearest(points: DataFrame, targets: DataFrame, key: str, tie: str, most_km: float | None = None, depth: int | None = None) -> DataFrame:
     """Each point (key, lon, lat, ...) with its nearest target (t_lon, t_lat, ...) on the sphere and km.
 
     Equal distances go to the smaller ``tie`` (a column of targets). Without ``most_km`` only rows with an unknown place are left
     out, or all if there is no target. key is unique.
 
-    Places lie in the cells of an octree around the sphere. Points first meet the targets of their own cell and its neighbours
-    (6371 / 2^(depth - 1) km wide); a find nearer than a cell is wide is final. The others come down the tree by the cells that
-    hold targets, and of each level only those stay that can hold something nearer than the farthest corner of another.
+    Places lie in the cells of an octree around the sphere, whose ``depth`` follows from how densely the targets lie unless given; of several at one
+    place only the first counts. A point first meets the targets of its own cell and its neighbours, as one row; a find nearer than
+    a cell is wide is final. The others go down the tree twice: along the boxes that seem nearest, which gives a bound,
+    and then to all boxes within it, of which few are left, as the boxes fit the targets in a cell. So neither step holds a
+    row for each pair of a point and a target around it.
     """
-    size = 2.0 / (1 << depth)
     axes = ("_x", "_y", "_z")
     cells = [f"_c{a}" for a in axes]
+    value = [c for c in targets.columns if c != tie]
 
-    def placed(df: DataFrame, lon: str, lat: str, names: tuple) -> DataFrame:
-        df = df.where(F.col(lon).isNotNull() & F.col(lat).isNotNull())
-        return df.select("*", *[v.alias(n) for n, v in zip(names, _unit(lon, lat))])
+    def placed(df: DataFrame, lon: str, lat: str) -> DataFrame:
+        return df.select("*", *[v.alias(n) for n, v in zip(axes, _unit(lon, lat))])
 
     def cell(v: Column, level: int) -> Column:
         return F.least(F.floor((v + 1.0) * (1 << level) / 2), F.lit((1 << level) - 1)).cast("long")
 
-    there = placed(targets, "t_lon", "t_lat", ("_tx", "_ty", "_tz"))
-    there = written(there.select("*", *[cell(F.col(f"_t{a[1]}"), depth).alias(c) for a, c in zip(axes, cells)]).drop("_tx", "_ty", "_tz"))
-    here = written(placed(points, "lon", "lat", axes))
-    value = [c for c in targets.columns if c != tie]
-
-    def best(near: DataFrame) -> DataFrame:
-        met = near.join(there, cells).withColumn("km", geo.haversine_km(F.col("lon"), F.col("lat"), F.col("t_lon"), F.col("t_lat")))
-        return met.groupBy(key).agg(F.min(F.struct("km", tie, *value)).alias("_b"))
-
-    near = here.select(key, "lon", "lat", *axes)
-    ring = near
-    for a, c in zip(axes, cells):
-        ring = ring.withColumn(c, F.explode(F.array(*[cell(F.col(a), depth) + v for v in (-1, 0, 1)])))
+    rest = [c for c in value if c not in ("t_lon", "t_lat")]
+    there = targets.where("t_lon is not null and t_lat is not null").groupBy("t_lon", "t_lat").agg(F.min(F.struct(tie, *rest)).alias("_b")).select("t_lon", "t_lat", "_b.*")
+    there = written(placed(there, "t_lon", "t_lat").select("*", *[cell(F.col(a), _DEEPEST).alias(c) for a, c in zip(axes, cells)]))
+    depth = depth or _depth(there, cells)
+    up = lambda by: [F.shiftright(c, by).alias(c) for c in cells]
+    size = 2.0 / (1 << depth)
+    there = there.select(F.struct(tie, *value).alias("_t"), *axes, *up(_DEEPEST - depth))
+    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a small file's points are work for many tasks
+    here = placed(points.select(key, "lon", "lat").where("lon is not null and lat is not null").repartition(tasks, key), "lon", "lat")
+
+    def best() -> Column:
+        km = lambda t: geo.haversine_km(F.col("lon"), F.col("lat"), t["t_lon"], t["t_lat"])
+        return F.array_min(F.transform("_ts", lambda t: F.struct(km(t).alias("km"), *[t[c].alias(c) for c in (tie, *value)])))
+
+    around = there.select("_t", *cells)
+    for c in cells:
+        around = around.withColumn(c, F.explode(F.array(*[F.col(c) + v for v in (-1, 0, 1)])))
+    around = around.groupBy(*cells).agg(F.collect_list("_t").alias("_ts"))
     chord = lambda km: 2 * F.sin(F.least(km, F.lit(geo.SEARCH_KM * math.pi)) / (2 * geo.SEARCH_KM))
-    seen = written(here.join(best(ring), key, "left").withColumn("_d", chord(F.col("_b.km"))))
+    seen = here.select("*", *[cell(F.col(a), depth).alias(c) for a, c in zip(axes, cells)]).join(around, cells, "left")
+    seen = written(seen.withColumn("_b", best()).drop("_ts", *cells).withColumn("_d", chord(F.col("_b.km"))))
     sure = F.coalesce(F.col("_d") < size * (1 - 1e-9), F.lit(False))
     found = seen.where(sure).select(key, "_b")
     bound = F.lit(9.0) if most_km is None else chord(F.lit(float(most_km))) + 1e-9
     open_ = seen.where(~sure).select(key, "lon", "lat", *axes, F.least(F.coalesce("_d", F.lit(9.0)) + 1e-9, bound).alias("_ub"))
     if not open_.isEmpty():
-        occupied = written(there.select(*cells).distinct())
-        steps = [*range(depth % 2 or 2, depth, 2), depth]
-        up = lambda level: [F.shiftright(c, depth - level).alias(c) for c in cells]
-        near = _nearer(open_.join(F.broadcast(occupied.select(*up(steps[0])).distinct())), key, axes, cells, 2.0 / (1 << steps[0]))  # 64 cells at most
-        for level, below in zip(steps, steps[1:]):
-            down = occupied.select(*up(below)).distinct().select(*[F.col(c).alias(f"_n{c}") for c in cells], *[F.shiftright(c, below - level).alias(c) for c in cells])
-            near = near.join(down, cells).drop(*cells).withColumnsRenamed({f"_n{c}": c for c in cells})
-            near = _nearer(near, key, axes, cells, 2.0 / (1 << below))
-        found = found.unionByName(best(near))
+        found = found.unionByName(_descended(open_, there, key, axes, cells, depth, best, chord))
     done = points.join(found, key).select("*", "_b.*").drop("_b")
     return done if most_km is None else done.where(F.col("km") <= most_km)
 
 
-def _nearer(near: DataFrame, key: str, axes: tuple, cells: list[str], size: float) -> DataFrame:
-    """Pairs of point and cell of which the cell's nearest side isn't beyond the least farthest corner."""
-    off = [F.abs(F.col(a) - ((F.col(c) + 0.5) * size - 1.0)) for a, c in zip(axes, cells)]
-    span = lambda parts: F.sqrt(sum((F.pow(p, F.lit(2)) for p in parts), F.lit(0.0)))
-    least, most = span([F.greatest(o - size / 2, F.lit(0.0)) for o in off]) - 1e-9, span([o + size / 2 for o in off]) + 1e-9
-    met = near.withColumn("_lb", least).withColumn("_most", most).where("_lb <= _ub")
-    met = met.withColumn("_ub", F.least("_ub", F.min("_most").over(Window.partitionBy(key))))  # a point has few cells
-    return met.where("_lb <= _ub").drop("_lb", "_most")
+def _depth(there: DataFrame, cells: list[str]) -> int:
+    """The least depth at which a target has no more than _CROWD targets in its cell, itself included, on average."""
+    levels = there.select(F.explode(F.sequence(F.lit(2), F.lit(_DEEPEST))).alias("level"), *cells)
+    levels = levels.select("level", *[F.expr(f"shiftright({c}, {_DEEPEST} - level)").alias(c) for c in cells])
+    crowd = levels.groupBy("level", *cells).agg(F.count("*").alias("n")).groupBy("level").agg((F.sum(F.col("n") * F.col("n")) / F.sum("n")).alias("crowd"))
+    return crowd.where(F.col("crowd") <= _CROWD).agg(F.min("level")).first()[0] or _DEEPEST
+
+
+def _descended(open_: DataFrame, there: DataFrame, key: str, axes: tuple, cells: list[str], depth: int, best, chord) -> DataFrame:
+    """The nearest target of each open point within its ``_ub``, down the tree of the boxes of longitude and latitude around the
+    targets of a cell."""
+    up = lambda by: [F.shiftright(c, by).alias(c) for c in cells]
+    east, north, flat = F.atan2("_y", "_x"), F.atan2(F.col("_z"), F.hypot("_x", "_y")), F.hypot("_x", "_y")
+    sides = [(F.min, "_w", east), (F.max, "_e", east), (F.min, "_s", north), (F.max, "_n", north)]
+    boxes = written(there.groupBy(*cells).agg(*[f(v).alias(c) for f, c, v in sides]))
+    steps = [*range(depth % 2 or 2, depth, 2), depth]
+
+    def at(level: int) -> DataFrame:
+        """Boxes of a level with the sines and cosines of their sides."""
+        df = boxes.select(*up(depth - level), *[c for _, c, _ in sides]).groupBy(*cells).agg(*[f(c).alias(c) for f, c, _ in sides])
+        return df.withColumn("_k", F.struct(*cells, "_w", "_e", *[f(c).alias(f"{c}{n}") for _, c, _ in sides for n, f in (("s", F.sin), ("c", F.cos))]))
+
+    def kids(level: int, below: int) -> DataFrame:
+        return at(below).select("_k", *up(below - level)).groupBy(*cells).agg(F.collect_list("_k").alias("_ks"))  # 64 cells at most
+
+    def near_to(k: Column) -> Column:
+        """The cosine of the angle from a point to the nearest place of a box."""
+        x, y, z = (F.col(a) for a in axes)
+        level = F.when((F.col("_l") >= k["_w"]) & (F.col("_l") <= k["_e"]), F.col("_r")).otherwise(F.greatest(x * k["_wc"] + y * k["_ws"], x * k["_ec"] + y * k["_es"]))
+        ends = F.greatest(z * k["_ss"] + level * k["_sc"], z * k["_ns"] + level * k["_nc"])
+        between = (z * k["_sc"] - level * k["_ss"] > 0) & (z * k["_nc"] - level * k["_ns"] < 0)
+        return F.when(between, F.sqrt(z * z + level * level)).otherwise(ends)
+
+    least = F.array_max(F.transform("_ks", lambda k: F.struct(near_to(k).alias("d"), *[k[c].alias(c) for c in cells])))
+    within = F.explode(F.filter("_ks", lambda k: near_to(k) >= F.col("_least") - 1e-13))
+    point = [key, "lon", "lat", *axes, "_l", "_r"]
+    top = at(steps[0]).agg(F.collect_list("_k").alias("_ks"))  # one row of 64 cells at most
+    leaves = there.groupBy(*cells).agg(F.collect_list("_t").alias("_ts"))
+
+    near = open_.withColumn("_l", east).withColumn("_r", flat).join(F.broadcast(top)).select(*point, "_ub", least.alias("_k"))
+    for level, below in zip(steps, steps[1:]):
+        near = near.select(*point, "_ub", *[F.col(f"_k.{c}") for c in cells]).join(kids(level, below), cells).select(*point, "_ub", least.alias("_k"))
+    near = near.select(*point, "_ub", *[F.col(f"_k.{c}") for c in cells]).join(leaves, cells)
+    ub = F.least("_ub", chord(best()["km"]) + 1e-9)
+    known = written(near.withColumn("_ub", ub).select(*point, (1 - F.col("_ub") * F.col("_ub") / 2).alias("_least")))
+
+    near = known.join(F.broadcast(top)).select(*point, "_least", within.alias("_k"))
+    for level, below in zip(steps, steps[1:]):
+        near = near.select(*point, "_least", *[F.col(f"_k.{c}") for c in cells]).join(kids(level, below), cells).select(*point, "_least", within.alias("_k"))
+    near = near.select(*point, *[F.col(f"_k.{c}") for c in cells]).join(leaves, cells)
+    return near.select(key, best().alias("_b")).groupBy(key).agg(F.min("_b").alias("_b"))
 
 
 def asof(left: DataFrame, right: DataFrame, on: list[str], by: str, values: list[str], strict: bool = False) -> DataFrame:
