@@ -89,7 +89,7 @@ def near_name(points: DataFrame, places: DataFrame, key: str, most_km: float = 3
     """
     named = places.where((F.col("kind") == "point") & ~F.col("name").rlike(r"^[\d\s.,-]+$"))
     named = named.select((-F.col("place_id")).alias("_last"), F.col("place_id").alias("near_id"), F.col("name").alias("near"), F.col("lon").alias("t_lon"), F.col("lat").alias("t_lat"))
-    found = spatial.nearest(points, named, key, "_last", most_km, depth=12)
+    found = spatial.nearest(points, named, key, "_last", most_km)
     return found.select(key, "near_id", F.concat(F.lit("Near "), text.title_case(F.regexp_replace("near", r"\s+\d+\s?m$", ""))).alias("label"), "km")
 
 
