@@ -55,3 +55,11 @@ def test_the_tree_is_as_deep_as_targets_are_dense(spark):
     cells = [(c, [(math.floor(v * 2**19) + 2**19) for v in (math.cos(math.radians(y)) * math.cos(math.radians(x)), math.cos(math.radians(y)) * math.sin(math.radians(x)), math.sin(math.radians(y)))]) for c, x, y in targets]
     placed = spark.createDataFrame([tuple(v) for _, v in cells], "_c_x long, _c_y long, _c_z long")
     assert spatial._depth(placed, ["_c_x", "_c_y", "_c_z"]) > 11
+
+
+def test_boxes_of_one_cell_meet_in_several_tasks(spark):
+    boxes = lambda s: spark.range(60).coalesce(1).selectExpr(f"id {s}_id", *[f"cast(id % 7 + {d} as double) / 10 {s}_{c}" for d, c in ((0, "west"), (0, "south"), (2, "east"), (2, "north"))])
+    met = spatial.bbox_join(boxes("l"), boxes("r"), 1.0)
+    assert sorted(map(tuple, met.select("l_id", "r_id").collect())) == [(a, b) for a in range(60) for b in range(60) if abs(a % 7 - b % 7) <= 2]
+    assert met.columns == [f"{s}_{c}" for s in "lr" for c in ("id", "west", "south", "east", "north")]
+    assert met.selectExpr("spark_partition_id()").distinct().count() > 1

@@ -11,6 +11,10 @@ from trailspark.functions import geo
 from trailspark.tables import written
 
 
+#: Tasks that a cell's left rows are dealt over.
+_SHARES = 4
+
+
 def bbox_join(left: DataFrame, right: DataFrame, cell: float, equal: list[tuple[str, str]] | None = None) -> DataFrame:
     """Pairs of rows whose boxes (l_ and r_ west, south, east, north) overlap, borders included.
 
@@ -18,7 +22,8 @@ def bbox_join(left: DataFrame, right: DataFrame, cell: float, equal: list[tuple[
 
     Both sides go to the grid cells that they cover; a pair counts only in the cell that holds the lower left corner
     of the overlap, so it comes once without a distinct. Costs grow with the cells a box covers: choose ``cell``
-    about as large as a common box.
+    about as large as a common box. Without ``equal`` few cells may hold most pairs, so a cell's left rows are dealt over _SHARES
+    tasks, each with all of its right rows.
     """
 
     def cells(df: DataFrame, side: str) -> DataFrame:
@@ -29,10 +34,16 @@ def bbox_join(left: DataFrame, right: DataFrame, cell: float, equal: list[tuple[
     on = (F.col("_cx") == F.col("_rx")) & (F.col("_cy") == F.col("_ry"))
     for a, b in equal or ():
         on = on & (F.col(a) == F.col(b))
-    met = cells(left, "l").join(there, on)
+    here = cells(left, "l")
+    if not equal:
+        tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by number: the sides are small, the pairs are many
+        here = here.withColumn("_lp", F.pmod(F.xxhash64(*left.columns), F.lit(_SHARES)).cast("int")).repartition(tasks, "_cx", "_cy", "_lp")
+        there = there.withColumn("_rp", F.explode(F.sequence(F.lit(0), F.lit(_SHARES - 1)))).repartition(tasks, "_rx", "_ry", "_rp")
+        on = on & (F.col("_lp") == F.col("_rp"))
+    met = here.join(there, on)
     overlap = met.where("l_west <= r_east and r_west <= l_east and l_south <= r_north and r_south <= l_north")
     owner = (F.floor(F.greatest("l_west", "r_west") / cell) == F.col("_cx")) & (F.floor(F.greatest("l_south", "r_south") / cell) == F.col("_cy"))
-    return overlap.where(owner).drop("_cx", "_cy", "_rx", "_ry")
+    return overlap.where(owner).drop("_cx", "_cy", "_rx", "_ry", "_lp", "_rp")
 
 
 def _unit(lon: str, lat: str) -> list[Column]:
