@@ -201,7 +201,8 @@ def match(points: DataFrame, roads: DataFrame, zoom: int = 14) -> DataFrame:
     and class, as the point at which the stretch begins has it.
     """
     known = points.select("track", F.col("n").cast("long").alias("n"), F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat"), F.col("time").cast("long").alias("time")).where("lon is not null and lat is not null")
-    hits = _steadied(on_roads(turns(along(known)), roads, zoom))
+    known = written(known)
+    hits = _steadied(turns(along(on_roads(known, roads, zoom))))  # roads first, while rows are short; then all goes by track
     alone = F.lag("n").over(in_order()).isNull() & F.lead("n").over(in_order()).isNull()
     hits = hits.withColumn("_alone", alone).select(*known.columns, "along", "turn", F.when(F.col("_alone"), "trail").otherwise(F.col("road")).alias("road"), *[F.when(~F.col("_alone"), F.col(c)).alias(c) for c in ("name", "type", "cls")])
     hits = written(hits)
