@@ -191,6 +191,16 @@ def test_language_of_odd_rows(spark):
     assert {r["lang_pred"] for r in langid.predict(odd_docs(spark), None).collect()} == {"und"}
 
 
+def test_language_model_counts_every_distinct_text_once(spark):
+    texts = [f"word{i} some more of it" for i in range(1700)]  # more than a sample of 1,500 would hold
+    once = langid.fit(docs_of(spark, texts), 100_000, 1)
+    train = pd.concat([f for f in langid._counted(iter([pd.DataFrame({"lang": "en", "text": texts})]))])
+    want = langid.frozen(train, 100_000, 1)
+    again = langid.fit(docs_of(spark, texts + texts[:40] * 3), 100_000, 1)
+    for got in (once, again):
+        assert np.array_equal(got.row, want.row) and np.array_equal(got.bits, want.bits)
+
+
 def test_code_lengths_equal_the_recursion():
     """Escape probabilities, written out for one language without pruning."""
     train = [b"abracadabra abracadabra", b"abba"]

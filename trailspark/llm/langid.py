@@ -8,15 +8,17 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trailspark.llm.common import bounded_share, free_name, in_share
+from trailspark.llm.common import free_name, written
 
 #: Bytes of context at most; a code of order + 1 bytes fits 32 bits.
 ORDER = 3
 #: Stands before each text, so that its first bytes have a context too.
 _LEAD = b"\n" * ORDER
+#: Texts with copies, by two numbers each, that may be broadcast.
+_SMALL = 500_000
 
 
 @dataclass(frozen=True)
@@ -41,29 +43,58 @@ def _grams(text: bytes, order: int) -> np.ndarray:
 
 
 def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for lang, texts in batch.groupby("lang")["text"]:
-            grams = [x.encode() for x in texts]
-            for order in range(ORDER + 1):
-                code, n = np.unique(np.concatenate([_grams(x, order) for x in grams]), return_counts=True)
-                yield pd.DataFrame({"lang": lang, "size": order, "code": code, "n": n.astype(np.int64)})
+    """lang, copies, size, code and n: how often each context of ``size`` bytes and the byte after it stand in a task's texts.
 
+    Only contexts of ORDER bytes are counted, as every byte has one; shorter ones add up from these.
+    """
+    held: dict[tuple, list] = {}
+    kept = 0
 
-def fit(labelled: DataFrame, max_docs_per_language: int = 1500, max_contexts: int = 3000, min_count: int = 3) -> Model | None:
-    """Count byte contexts of a bounded sample of labelled documents and freeze their code lengths.
+    def taken() -> Iterator[pd.DataFrame]:
+        for (lang, copies), parts in held.items():
+            code, n = _added(np.concatenate([c for c, _ in parts]), np.concatenate([n for _, n in parts]))
+            for order in range(ORDER, -1, -1):
+                code, n = _added(code & np.int64((1 << 8 * (order + 1)) - 1), n)
+                yield pd.DataFrame({"lang": lang, "copies": copies, "size": order, "code": code, "n": n})
+        held.clear()
 
-    The sample holds about ``max_docs_per_language`` distinct whole texts of each language, chosen by a hash; with
-    fewer, all. Contexts seen fewer than ``min_count`` times in a language, and those beyond its ``max_contexts`` most
-    frequent ones, are left to their shorter suffix, unless another language keeps them. None if nothing is labelled.
+    for batch in batches:
+        batch = batch if "copies" in batch else batch.assign(copies=1)
+        for key, texts in batch.groupby(["lang", "copies"])["text"]:
+            code, n = np.unique(np.concatenate([_grams(x.encode(), ORDER) for x in texts]).astype(np.uint32), return_counts=True)
+            held.setdefault(key, []).append((code.astype(np.int64), n.astype(np.int64)))
+            kept += len(code)
+        if kept > 8_000_000:
+            yield from taken()
+            kept = 0
+    yield from taken()
+
+
+def _added(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(code, kind="stable")
+    first = np.flatnonzero(np.diff(code[order], prepend=-1))
+    return code[order][first], np.add.reduceat(n[order], first)
+
+
+def fit(labelled: DataFrame, max_contexts: int = 3000, min_count: int = 3) -> Model | None:
+    """Count byte contexts of all labelled documents and freeze their code lengths.
+
+    Every distinct whole text of a language counts once: the counts of a text with copies are taken together and divided
+    by their number, so texts aren't moved for it unless very many have copies. Contexts seen fewer than ``min_count`` times
+    in a language, and those beyond its ``max_contexts`` most frequent ones, are left to their shorter suffix, unless another
+    language keeps them; only kept ones come to the driver. None if nothing is labelled.
     """
-    known = labelled.where("text is not null and lang is not null and text != ''").select("text", "lang")
-    totals = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.countDistinct(F.xxhash64("text")).alias("n")).collect()}
-    if not totals:
-        return None
-    shares = F.create_map(*[F.lit(x) for k, n in totals.items() for x in (k, bounded_share(n, max_docs_per_language))])
-    sample = known.where(in_share("text", shares[F.col("lang")])).dropDuplicates(["lang", "text"])
-    counts = sample.mapInPandas(_counted, "lang string, size int, code long, n long").groupBy("lang", "size", "code").agg(F.sum("n").alias("n")).toPandas()
-    return None if counts.empty else frozen(counts, max_contexts, min_count)
+    known = labelled.where("text is not null and lang is not null and text != ''").select("text", "lang", F.xxhash64("text").alias("same"))
+    again = written(known.groupBy("lang", "same").agg(F.count("*").alias("copies")).where("copies > 1"))
+    again = F.broadcast(again) if again.count() <= _SMALL else again
+    texts = known.join(again, ["lang", "same"], "left").select("lang", "text", F.coalesce("copies", F.lit(1)).alias("copies"))
+    counts = texts.mapInPandas(_counted, "lang string, copies long, size int, code long, n long").groupBy("lang", "copies", "size", "code").agg(F.sum("n").alias("n"))
+    counts = written(counts.groupBy("lang", "size", "code").agg(F.sum(F.expr("n div copies")).alias("n")).withColumn("context", F.shiftright("code", 8)))
+    totals = counts.where("size > 0").groupBy("lang", "size", "context").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "size", "context"))  # byte contexts of a language, however many texts
+    kept = totals.withColumn("place", place).where(F.col("place") <= max_contexts).select("size", "context").distinct()
+    found = counts.join(F.broadcast(kept), ["size", "context"], "left_semi").unionByName(counts.where("size = 0")).select("lang", "size", "code", "n").toPandas()
+    return None if found.empty else frozen(found, max_contexts, min_count)
 
 
 def frozen(counts: pd.DataFrame, max_contexts: int, min_count: int) -> Model:
