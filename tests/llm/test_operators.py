@@ -460,6 +460,26 @@ def test_words_of_one_pattern_keep_apart(spark):
     assert got == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 6, 7: 6, 8: 8}
 
 
+def test_jaccard_pairs_leave_out_what_all_share(spark):
+    """Sets of many homes share three tokens and all but two nothing else: no row for each pair of them."""
+    rows = [(token, i, 40, i % 50, i) for i in range(200) for token in (1, 2, 3, 1000 + i)]
+    rows += [(4, i, 40, i % 50, i) for i in (10, 11)]
+    left = spark.createDataFrame(rows, "token long, set_id long, n int, home long, label long")
+    left = jaccard._across(left, 80, 100)
+    assert {r["set_id"] for r in left.collect()} == {10, 11}
+    left = spark.createDataFrame(rows + [(5 + i // 2, i, 40, i % 50, i) for i in range(200)], "token long, set_id long, n int, home long, label long")
+    left = jaccard._across(left, 80, 100)
+    rare = jaccard._rare(left, 80, 100)
+    assert max(r["count"] for r in rare.groupBy("token").count().collect()) <= 2
+    assert {(r["hub"], r["member"]) for r in jaccard._pairs(left, 80, 100).collect()} == {(i, i + 1) for i in range(0, 200, 2)}
+
+
+def test_jaccard_sizes_that_fit(spark):
+    """Sets stay in a home if another one's size allows a link, by the exact ratio too."""
+    homes = spark.createDataFrame([(1, 80, 7), (2, 100, 7), (3, 200, 7), (4, 100, 8), (5, 300, 8), (6, 1, 9), (7, 1, 9)], "set_id long, n long, home long")
+    assert {r["set_id"] for r in jaccard._fitting(homes, 80, 100).collect()} == {1, 2, 6, 7}
+
+
 def test_prefix_tree_equals_brute_force():
     rng = np.random.default_rng(10)
     sets = [np.unique(rng.integers(0, 40, rng.integers(1, 30))).astype(np.uint64) for _ in range(300)]

@@ -11,7 +11,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailspark.llm.common import written
@@ -28,7 +28,7 @@ _GROUP_GRAMS = 1_000_000
 #: Sets in a block; a task compares two blocks.
 _BLOCK_SETS = 400
 #: Rows of a few numbers that a side of a join may have at most to be broadcast.
-_SMALL = 500_000
+_SMALL = 100_000
 
 
 def _set_id(grams: np.ndarray) -> int:
@@ -283,12 +283,26 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) ->
     return held.groupBy("task").applyInPandas(compare, "a long, b long")
 
 
+def _fitting(homes: DataFrame, num: int, den: int) -> DataFrame:
+    """The sets of homes (set_id, n, home) for which another set of the home has a size that allows a link.
+
+    Sizes go by levels a little wider than the ratio that a link allows, so these are in the same or the next one.
+    """
+    level = F.floor(F.log(F.col("n").cast("double")) / (1.001 * max(math.log(den / num), 0.01)))
+    levelled = homes.withColumn("level", level)
+    each = levelled.groupBy("home", "level").agg(F.count("*").alias("c"))
+    near = each.select("home", F.explode(F.sequence(F.col("level") - 1, F.col("level") + 1)).alias("level"), "c")
+    near = near.groupBy("home", "level").agg(F.sum("c").alias("c")).where("c > 1").select("home", "level")
+    return levelled.join(near, ["home", "level"]).select("set_id", "n", "home")
+
+
 def _within(homes: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Links (a, b) that tie together the sets of each home (set_id, n, home) as far as they link.
 
     A home's sets are dealt into blocks of bounded size, and each pair of blocks meets in one task: one block as a
     trie, the other's sets as probes. What is tied together there isn't compared again.
     """
+    homes = written(_fitting(homes, num, den))
     sizes = homes.groupBy("home").agg(F.count("*").alias("c"), F.sum("n").alias("all")).where("c > 1")
     sizes = sizes.select("home", F.greatest(F.ceil(F.col("c") / _BLOCK_SETS), F.ceil(F.col("all") / _GROUP_GRAMS)).cast("int").alias("blocks"))
     own = homes.join(sizes, "home").withColumn("at", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
@@ -357,28 +371,65 @@ def _labelled(sets: DataFrame, links: DataFrame) -> DataFrame:
     return sets.join(connected(links).withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
 
 
-def _open(entries: DataFrame, labelled: DataFrame) -> DataFrame:
-    """The tokens, with their sets, that sets of more than one component share."""
-    named = written(entries.drop("n", "score").join(_small(labelled), "set_id"))
-    tokens = written(named.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("token"))
-    return written(named.join(_small(tokens), "token"))
+def _open(entries: DataFrame, labelled: DataFrame, num: int, den: int) -> DataFrame:
+    """The tokens, with their sets, that sets of more than one component share; only sets with as many of them as a link needs."""
+    w = Window.partitionBy("token")
+    named = entries.drop("n", "score").join(_small(labelled), "set_id")
+    left = named.withColumn("low", F.min("label").over(w)).withColumn("high", F.max("label").over(w)).where("low != high").drop("low", "high")
+    return written(_able(left, num, den))
+
+
+def _able(left: DataFrame, num: int, den: int) -> DataFrame:
+    """The rows of sets that have as many tokens in left as two linked sets must share."""
+    return left.withColumn("c", F.count("*").over(Window.partitionBy("set_id"))).where(_enough("c", "n", "n", num, den)).drop("c")
+
+
+def _across(left: DataFrame, num: int, den: int) -> DataFrame:
+    """The tokens that sets of more than one home share, with their most frequent home; only sets with enough of them."""
+    most = left.groupBy("token", "home").agg(F.count("*").alias("c")).groupBy("token").agg(F.max(F.struct("c", "home")).alias("m"), F.count("*").alias("homes")).where("homes > 1").select("token", F.col("m.home").alias("most"))
+    return written(_able(left.join(most, "token"), num, den))
 
 
 def _nearest_labels(left: DataFrame, num: int, den: int) -> DataFrame:
     """(hub, member, n): one pair of sets for components that share tokens, where sizes allow a link.
 
     In each token the component with most sets meets every other one, each by its least set, so rows are linear in the
-    token's. Of a pair of components, the sets that meet most often are compared. A large group of copies whose sets
-    have several homes is tied together here, before all its sets would be paired.
+    token's. Of a pair of components, the sets that meet most often are compared, if that is as often as a link needs. A
+    large group of copies whose sets have several homes is tied together here, before all its sets would be paired.
     """
     each = left.groupBy("token", "label").agg(F.count("*").alias("c"), F.min(F.struct("set_id", "n")).alias("x"))
     top = each.groupBy("token").agg(F.max(F.struct("c", "label", "x")).alias("m"))
     met = each.join(top, "token").where("label != m.label").select("label", F.col("m.label").alias("other"), "x", F.col("m.x").alias("y"))
     met = met.where(similar("x.n", "y.n", num, den)).groupBy("label", "other", "x", "y").agg(F.count("*").alias("common"))
     best = met.groupBy(F.least("label", "other").alias("p"), F.greatest("label", "other").alias("q")).agg(F.max(F.struct("common", "x", "y")).alias("b"))
+    best = best.where(_enough("b.common", "b.x.n", "b.y.n", num, den))
     return best.select(F.col("b.y.set_id").alias("hub"), F.col("b.x.set_id").alias("member"), F.greatest("b.x.n", "b.y.n").alias("n"))
 
 
+def _rare(left: DataFrame, num: int, den: int) -> DataFrame:
+    """Each set's tokens without its most frequent ones, one less than a link must share.
+
+    Of the tokens that two linked sets share, the least frequent has as many as were left out, or more, before it in
+    both sets, so it stays in both.
+    """
+    often = left.withColumn("often", F.count("*").over(Window.partitionBy("token")))
+    place = F.row_number().over(Window.partitionBy("set_id").orderBy(F.desc("often"), "token"))
+    return often.withColumn("place", place).where(_enough("place", "n", "n", num, den)).drop("often", "place")
+
+
+def _pairs(left: DataFrame, num: int, den: int) -> DataFrame:
+    """(hub, member, n): the sets of different homes and components that share as many tokens as a link needs."""
+    rare = written(_rare(left, num, den))
+    a, b = rare.where("home != most").alias("a"), rare.alias("b")  # a token's most frequent home needs no pairs with itself
+    pairs = a.join(b, "token").where("a.label != b.label and a.home != b.home and (b.home = b.most or a.set_id < b.set_id)").where(similar("a.n", "b.n", num, den))
+    pairs = pairs.select(F.least("a.set_id", "b.set_id").alias("hub"), F.greatest("a.set_id", "b.set_id").alias("member")).distinct()
+    tokens = written(left.groupBy("set_id").agg(F.first("n").alias("n"), F.collect_list("token").alias("tokens")))
+    for role in ("hub", "member"):
+        pairs = pairs.join(tokens.select(F.col("set_id").alias(role), F.col("n").alias(f"{role}_n"), F.col("tokens").alias(f"{role}_tokens")), role)
+    pairs = pairs.withColumn("common", F.size(F.array_intersect("hub_tokens", "member_tokens")))
+    return pairs.where(_enough("common", "hub_n", "member_n", num, den)).select("hub", "member", F.greatest("hub_n", "member_n").alias("n"))
+
+
 def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of docs (doc_id, text; other columns are ignored).
 
@@ -400,15 +451,11 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
     homes = written(_homes(entries, num, den))
     links = written(_within(homes, docs, k, num, den))
 
-    left = _open(entries, written(_labelled(homes, links)))
+    left = _open(entries, written(_labelled(homes, links)), num, den)
     links = written(links.unionByName(_verified(_nearest_labels(left, num, den), docs, k, num, den)))
-    left = _open(entries, written(_labelled(homes, links)))
-    most = left.groupBy("token", "home").agg(F.count("*").alias("c")).groupBy("token").agg(F.max(F.struct("c", "home")).alias("m"), F.count("*").alias("homes")).where("homes > 1").select("token", F.col("m.home").alias("most"))
-    left = written(left.join(most, "token"))
-    a, b = left.where("home != most").alias("a"), left.alias("b")  # a token's most frequent home needs no pairs with itself
-    pairs = a.join(b, "token").where("a.label != b.label and a.home != b.home and (b.home = b.most or a.set_id < b.set_id)").where(similar("a.n", "b.n", num, den))
-    pairs = pairs.groupBy(F.least("a.set_id", "b.set_id").alias("hub"), F.greatest("a.set_id", "b.set_id").alias("member")).agg(F.count("*").alias("common"), F.first("a.n").alias("hub_n"), F.first("b.n").alias("n"))
-    last = _verified(pairs.where(_enough("common", "n", "hub_n", num, den)).select("hub", "member", F.greatest("n", "hub_n").alias("n")), docs, k, num, den)
+    left = _open(entries, written(_labelled(homes, links)), num, den)
+    left = _across(_across(left, num, den).drop("most"), num, den)  # sets that went leave tokens to one home
+    last = _verified(_pairs(left, num, den), docs, k, num, den)
     labels = connected(written(links.unionByName(last)))
 
     sets = info.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("least"))
