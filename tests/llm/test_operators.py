@@ -282,6 +282,20 @@ def test_mixed_orders_beat_order_nought():
     assert 8 * len(rangecoder.compress(np.array(ids))) < 0.9 * len(ids) * -(share * np.log2(share)).sum()
 
 
+def test_plain_words_go_to_the_model():
+    """Plain words and the marks behind them have the library's ids without passing its normaliser; others go to it whole."""
+    encoder = CachedEncoder(public_tokenizers.path("word_bpe_49k.json"), 10)
+    plain = ["house", "Haus", "\xc4pfel", "stra\xdfe", "\xf1and\xfa!!", "x<|", "a" * 300, "it&&&"]
+    others = ["it's", "don't.", "\u0130x", "\xaa", "a1", "\xd7", "e\u0301", "<|endoftext|>", "x<|endoftext|>", "\u0153uf", "...a"]
+    want = encoder._direct(plain + others)
+    encoder._direct, given = None, []
+    joined = encoder._joined
+    encoder._joined = lambda parts: given.extend(parts) or CachedEncoder._direct(encoder, parts)
+    assert encoder._separate(plain + others) == want and given == others
+    encoder._joined = joined
+    assert not CachedEncoder(public_tokenizers.path("byte_bpe_50k.json"), 10).plain
+
+
 def test_encoder_gives_what_the_library_gives():
     texts = ["a\x1cb", "<|endoftext|> x <|endoftext|>", " x y\u0085z", " lead", "trail ", "É́ İI ΑΣ. Σ", "", "x" * 300 + " y", "it's. It's, 'tis.", "a.b. c.\n\n d,e, f", "Ünï. — a—. b2. ..", "x" * 5000 + ".", "\t tab\tbed", "THE the The. the,"]
     for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):

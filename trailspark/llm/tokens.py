@@ -9,6 +9,7 @@ the library as a whole, since word patterns treat mixed runs together.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
@@ -23,6 +24,13 @@ _MARK = np.isin(np.arange(256), list(b".,;:!?"))
 _LETTER = np.isin(np.arange(256), list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"))
 _BLANKS = np.isin(np.arange(256), list(b" \n"))
 _SPACES = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+#: Normaliser and word pattern under which a run of plain letters, and the marks behind it, are a word each.
+_LOWER_WORDS = [
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+]
+#: Letters of ASCII and Latin-1, then marks of ASCII without the apostrophe: composed already, and each in lower case by itself.
+_PLAIN = re.compile(r"([a-zA-Z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-&(-/:-@\[-`{-~]*)")
 _ENCODERS: dict[tuple[str, int], "CachedEncoder"] = {}
 
 #: Bytes of a part beyond which it is encoded each time.
@@ -105,12 +113,36 @@ class CachedEncoder:
         self.odd = _ODD_SPACE if self.drops_space else _OTHER_SPACE
         self.lowers = upper == x
         self.limit, self.table = limit, _Table()
+        with open(path, encoding="utf-8") as f:
+            given = json.load(f)
+        #: Whether plain words may go to the library's model at once, past its normaliser and word pattern.
+        self.plain = [given["normalizer"], given["pre_tokenizer"]] == _LOWER_WORDS
+        self.model = self.tokenizer.model
+        if self.plain:
+            hidden = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)]
+            self.visible = {b: 256 + k for k, b in enumerate(hidden)}  # as the library writes bytes that have no sign
 
     def _direct(self, texts: list[str]) -> list[bytes]:
         got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, dtype="<u4").tobytes() for x in got]
 
+    def _modelled(self, letters: str, marks: str) -> bytes:
+        """Ids of a plain word and the marks behind it."""
+        word = letters.lower()
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.visible)
+        got = self.model.tokenize(word) + self.model.tokenize(marks) if marks else self.model.tokenize(word)
+        return b"".join([t.id.to_bytes(4, "little") for t in got])
+
     def _separate(self, parts: list[str]) -> list[bytes]:
+        """Ids of many short texts: plain words by the library's model, others in one call."""
+        if not self.plain:
+            return self._joined(parts)
+        met = [_PLAIN.fullmatch(p) for p in parts]
+        rest = iter(self._joined(others) if (others := [p for p, m in zip(parts, met) if m is None]) else ())
+        return [next(rest) if m is None else self._modelled(*m.groups()) for m in met]
+
+    def _joined(self, parts: list[str]) -> list[bytes]:
         """Ids of many short texts in one call: a special token between them keeps them apart."""
         if self.widths is not None:
             joinable = [p for p in parts if p[0] in " \n" and p[-1] not in " \n"]
@@ -122,7 +154,7 @@ class CachedEncoder:
                 return [raw[a:b] for a, b in zip((4 * starts).tolist(), (4 * ends).tolist())]
             others = [p for p in parts if p[0] not in " \n" or p[-1] in " \n"]
             got = dict(zip(others, self._direct(others)))
-            got.update(zip(joinable, self._separate(joinable)) if joinable else ())
+            got.update(zip(joinable, self._joined(joinable)) if joinable else ())
             return [got[p] for p in parts]
         if not self.mark or (joined := self.mark.join(parts)).count(self.mark) != len(parts) - 1:
             return self._direct(parts)
