@@ -5,7 +5,9 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from trailspark.llm import decontaminate
+from trailspark.llm.common import table
 
 
 def test_frequent_terms_are_those_of_all_documents(spark):
@@ -43,3 +45,11 @@ def test_ids_of_terms_whose_last_bits_are_shared():
     codes = np.array([3, 9, 3 + (1 << 40), 1 << 50], np.uint64)
     asked = np.array([9, 3, 4, 3 + (1 << 41), 3 + (1 << 40), 9 + (1 << 40), 1 << 50], np.uint64)
     assert decontaminate.Vocabulary(codes).ids(asked).tolist() == [1, 0, -1, -1, 2, -1, 3]
+
+
+def test_the_pipelines_stage_draws_no_share(spark, monkeypatch):
+    drawn = []
+    monkeypatch.setattr(decontaminate, "in_share", lambda *a: drawn.append(a) or F.lit(True))
+    small = "/root/testdata/sf0.001"
+    docs = table(spark, small, "documents").limit(30)
+    assert 0 < corpus_pipeline.decontaminate_benchmark(spark, docs, small).count() <= 30 and not drawn
